@@ -20,6 +20,8 @@ SHARE, MOST_REPEATS = 1.5, 2
 #: Slope of a source's weight over time, by place of the source: rising, level, falling. Each keeps the same integral.
 SLOPES = (0.5, 0.0, -0.5)
 WORDS_IN_BUCKET = 4_000_000
+#: Positions are whole ticks of training time.
+TICKS = 1_000_000_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     out = copies.withColumns({"first": first, "demand": demand})
     out = out.withColumn("taken", part(0) + part(1))
     share = F.col("first").cast("double") / F.col("demand").cast("double")
-    position = F.when(F.col("taken") > 0, F.round(inverse_demand(share, pick(SLOPES, F.col("place"))), 9))
+    position = F.when(F.col("taken") > 0, F.rint(inverse_demand(share, pick(SLOPES, F.col("place"))) * TICKS).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("position"), "first", "demand", "place", "h")
 
 

@@ -23,8 +23,8 @@ BITS = 20
 #: Most labelled documents used for the fit; the only bound in this module. Those with the smallest hashes of doc_id are taken.
 SAMPLE_ROWS = 20_000
 #: Words of fewer sample documents (at least 4, and one in a thousand) get no weight: they can only be learned by heart.
-MIN_DOCS, MIN_SHARE = 4, 0.001
-EPOCHS, RATE, SPARSE = 150, 0.5, 1.5e-3
+MIN_DOCS, MIN_SHARE = 4, 0.0005
+EPOCHS, RATE, SPARSE = 250, 1.0, 2e-5
 CACHE_WORDS = 400_000
 _SPLIT = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,15 +93,14 @@ def fit_bags(y: np.ndarray, counts: np.ndarray, ids: np.ndarray, sentence: np.nd
     ids = place[ids]
     sentence, ids = sentence[ids >= 0], ids[ids >= 0]
     weights, seen = np.zeros(len(used)), np.full(len(used), 1e-8)
-    bias, bias_seen = -3.0, 1e-8
-    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    bias, bias_seen = -8.0, 1e-8
     model = Model(weights, bias)
     for _ in range(EPOCHS):
         z = np.bincount(sentence, weights[ids], minlength=n) + bias
         p = np.clip(model.probability(z), 1e-9, 1 - 1e-9)
         clean = np.exp(np.bincount(doc, np.log1p(-p), minlength=len(y)))
         toxic = np.clip(1 - clean, 1e-9, 1)
-        grad = balance[doc] * np.where(y[doc] == 1, -p * (clean / toxic)[doc], p) / len(y)
+        grad = np.where(y[doc] == 1, -p * (clean / toxic)[doc], p) / len(y)
         g = np.bincount(ids, grad[sentence], minlength=len(used))
         seen += g * g
         step = RATE / np.sqrt(seen)
