@@ -1,0 +1 @@
+"""Analytics of directed money-transfer networks on Spark."""
