@@ -1,74 +1,19 @@
-"""Shared folders, cut tables and graph components used by several operators."""
+"""Text rules, hashes and graph components used by several operators."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cuts import Scratch, fingerprint, importable
+
+__all__ = ["LOWER", "UPPER", "WORD", "WS_CHARS", "Scratch", "components", "fingerprint", "hash60", "importable", "let", "lower_ascii"]
+
 #: The white space of the word rule, as characters and as regular expressions.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (tests, local runs) a folder of our own."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-    return _own_dirs[app]
-
-
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package from where the driver has it."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join(x for x in [root, *paths] if x)
-
-
-class Scratch:
-    """Tables of one operator call, written as Parquet into the shared folder.
-
-    Writing a table cuts the lineage, so that a lost executor costs a re-read instead of a recomputation. The tables live
-    until `drop` or the end of the driver, as a lazy result may still read them.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        importable(spark)
-        self.root = f"{shared_dir(spark)}/ledgerlens/{uuid.uuid4().hex}"
-        self.count = 0
-        atexit.register(self.drop)
-
-    def write(self, df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
-        (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame | None = None) -> None:
-        """Deletes one table, or all of them."""
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.root if df is None else df._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session has ended: the folder's owner cleans up
-            if df is not None:
-                raise
-
 
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for a row."""
@@ -85,10 +30,6 @@ def hash60(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def fingerprint(df: DataFrame, *cols: str) -> tuple:
-    return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*cols))).first())
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of an undirected graph given as (u, v): component is the smallest node reachable.
 
