@@ -61,7 +61,9 @@ class LineRuns:
         self.done.append(self.scratch.write(merged.filter(F.col("n_docs") >= self.min_docs).select("h1", "h2"), "settled", sort=["h1", "h2"]))
         for run in runs:
             self.scratch.drop(run)
-        return merged.filter(F.col("n_docs") < self.min_docs)
+        left = self.scratch.write(merged.filter(F.col("n_docs") < self.min_docs), f"left{level}", sort=["h1", "h2"])
+        self.scratch.drop(merged)
+        return left
 
     def settled(self) -> DataFrame:
         """Compacts what is left and returns (h1, h2) of all keys found in at least min_docs documents."""

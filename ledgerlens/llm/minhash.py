@@ -117,10 +117,8 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     node = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
                     out.append((doc_id, row, len(s), node, a, b, _sketch(mins)))
                 else:
-                    out.append((doc_id, row, 0, None, None, None, None))
-            frame = pd.DataFrame(out, columns=["doc_id", "row", "n", "node", "a", "b", "sketch"])
-            frame["node"] = frame["node"].astype("Int64")
-            yield frame
+                    out.append((doc_id, row, 0, 0, None, None, None))
+            yield pd.DataFrame(out, columns=["doc_id", "row", "n", "node", "a", "b", "sketch"])
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("string"), row_key().alias("row"), "text")  # pandas would turn ids with nulls to doubles
     schema = "doc_id string, row long, n long, node long, a array<long>, b array<long>, sketch array<long>"
-    signed = scratch.write(rows.mapInPandas(_sign, schema).withColumn("doc_id", F.col("doc_id").cast("long")), "signed")
+    signed = scratch.write(rows.mapInPandas(_sign, schema).withColumns({"doc_id": F.col("doc_id").cast("long"), "node": F.when(F.col("n") > 0, F.col("node"))}), "signed")
     members = signed.select("doc_id", "row", "n", "node")
     nodes = scratch.write(signed.filter("node is not null").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("row", F.struct("doc_id", "row")).alias("row"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("sketch").alias("sketch")), "nodes")
     buckets = _buckets(nodes, scratch)
