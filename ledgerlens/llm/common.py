@@ -21,7 +21,8 @@ def let(value: Column, body) -> Column:
 
 
 def lower_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """c with A-Z lower-cased; lower() does the same, and much faster, where there is nothing else to lower."""
+    return let(c, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER)))
 
 
 def hash60(*cols: Column) -> Column:

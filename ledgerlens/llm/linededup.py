@@ -13,23 +13,38 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, Scratch, lower_ascii
+from .common import WS_CHARS, Scratch, let, lower_ascii
 
 MIN_DOCS = 10
 FANOUT = 4
 BATCHES = 5
 
 
+def line_key(line: Column) -> Column:
+    """A line stripped and with A-Z lower-cased."""
+    return lower_ascii(F.btrim(line, F.lit(WS_CHARS)))
+
+
+def key_hash(key: Column) -> Column:
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
+
+
 def line_hash(line: Column) -> Column:
-    """Two hashes of a line's key (stripped, A-Z lower-cased); null for an empty key."""
-    key = lower_ascii(F.btrim(line, F.lit(WS_CHARS)))
-    return F.when(F.length(key) > 0, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+    """Two hashes of a line's key; null for an empty key."""
+    return let(line_key(line), lambda x: F.when(F.length(x) > 0, key_hash(x)))
 
 
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def line_keys(text: str) -> Column:
+    """Distinct keys of a text's lines, as hashes."""
+    # Texts are made distinct before they are hashed: for structs the function compares all pairs.
+    keys = F.array_distinct(F.filter(F.transform(lines(F.col(text)), line_key), lambda x: F.length(x) > 0))
+    return F.transform(keys, key_hash)
+
+
 class LineRuns:
     """The runs; `add` a batch, then `settled` has the keys of at least min_docs documents."""
 
@@ -40,9 +55,12 @@ class LineRuns:
         self.done: list[DataFrame] = []
 
     def add(self, docs: DataFrame) -> None:
-        """Counts the documents of each key in the batch, without the settled keys, as a new run."""
-        hashes = F.array_distinct(F.filter(F.transform(lines(F.col("text")), line_hash), lambda x: x.isNotNull()))
-        counts = docs.select(F.explode(hashes).alias("h")).select("h.*").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
+        """Adds a batch of documents (text)."""
+        self.add_lines(docs.select(F.explode_outer(line_keys("text")).alias("h")).filter("h IS NOT NULL").select("h.*"))
+
+    def add_lines(self, keys: DataFrame) -> None:
+        """Adds a batch given as (h1, h2), once a document: counts them, without the settled keys, as a new run."""
+        counts = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
         for run in self.done:
             counts = counts.join(run, ["h1", "h2"], "left_anti")
         self._push(0, self.scratch.write(counts, "run0", sort=["h1", "h2"]))
@@ -85,13 +103,19 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
     """
     spark = docs.sparkSession
     runs = LineRuns(spark, min_docs)
-    slice_of = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))
+    slice_of = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    # Outer generators: an inner one is given a filter on its array's size, which computes the array once more.
+    keys = docs.select(slice_of.alias("batch"), F.explode_outer(line_keys("text")).alias("h")).filter("h IS NOT NULL").select("batch", "h.*")
+    keys = runs.scratch.write(keys, "keys")  # texts are read once, batches are slices of their hashes
     for b in range(batches):
-        runs.add(docs.filter(slice_of == b).select("text"))
+        runs.add_lines(keys.filter(F.col("batch") == b))
+    runs.scratch.drop(keys)
     frequent = runs.settled()
     key = F.xxhash64("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(2), "text"))
-    each = docs.select(key.alias("__k"), F.posexplode(F.transform(lines(F.col("text")), line_hash)).alias("pos", "h")).filter("h is not null")
-    each = each.select("__k", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
+    # The document's key travels inside the elements: a column made from the text beside them would copy it for each line.
+    elements = let(key, lambda k: F.transform(lines(F.col("text")), lambda x: F.struct(k.alias("k"), line_hash(x).alias("h"))))
+    each = docs.select(F.posexplode_outer(elements).alias("pos", "e")).filter("e.h IS NOT NULL")
+    each = each.select(F.col("e.k").alias("__k"), "pos", F.col("e.h.h1").alias("h1"), F.col("e.h.h2").alias("h2"))
     gone = each.join(frequent, ["h1", "h2"]).groupBy("__k").agg(F.collect_set("pos").alias("__gone"))
     kept = F.filter(lines(F.col("text")), lambda x, i: ~F.array_contains("__gone", i))
     out = docs.withColumn("__k", key).join(gone.hint("shuffle_hash"), "__k", "left")
