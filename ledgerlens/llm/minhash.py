@@ -159,13 +159,36 @@ def _buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(kept.join(nodes.select("node", "n", "sketch"), "node"), "buckets")
 
 
-def _links(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def _rest(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (x, y) of nodes of different components that share a table and may be linked.
+
+    Two nodes share a table when they share an A key and a B key. They meet at every A key they share, and count only at the
+    least of them, so that no pair is made twice. 32-bit hashes of the full sets travel along and decide inside the join: a
+    common shingle has a common hash, and hashes that fell together in both sets are added, so the overlap is never put too
+    low, and only pairs at or above the threshold leave the join. A key whose nodes are of one component is left out.
+    """
+    small = sets.select("node", F.array_distinct(F.transform("shingles", lambda s: F.hash(s))).alias("h"))
+    found = rows.select("node", "comp").distinct().join(nodes.select("node", "n", "a", "b", "sketch"), "node").join(small, "node")
+    found = scratch.write(found, "rest")
+    keys = found.select("node", "comp", F.explode("a").alias("key"))
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    keyed = found.select("*", F.explode("a").alias("key")).join(mixed, "key", "left_semi")
+    side = lambda s: keyed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in found.columns))
+    cheap = (F.col("node_x") > F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & _fits("n_x", "n_y") & _agree("sketch_x", "sketch_y")
+    once = (F.array_min(F.array_intersect("a_x", "a_y")) == F.col("key")) & F.arrays_overlap("b_x", "b_y")
+    fallen = F.least(F.col("n_x") - F.size("h_x"), F.col("n_y") - F.size("h_y"))
+    overlap = F.size(F.array_intersect("h_x", "h_y")) + fallen
+    near = overlap * (100 + PERCENT) >= PERCENT * (F.col("n_x") + F.col("n_y"))
+    return side("x").join(side("y"), "key").filter(cheap & once & near).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
+
+
+def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Confirmed links (u, v) that connect all nodes which any chain of links in the buckets connects.
 
     Round by round each bucket picks one leader by hash, and only members of other components are compared with it, so a
     group of g near copies costs g comparisons a round instead of g^2. What several components still share a bucket with
-    is compared pair by pair. A pair goes to the full sets only if sizes allow a link and the sketches agree. Nothing is
-    capped.
+    is compared pair by pair, in `_rest`. A pair goes to the full sets only if sizes allow a link and the sketches agree.
+    Nothing is capped.
     """
     links, tested = None, None
     rows = rows.withColumn("comp", F.col("node"))
@@ -190,9 +213,7 @@ def _links(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(named)
         if not rows.take(1):
             return links
-    side = lambda s: rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "sketch")))
-    met = (F.col("node_x") > F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & _fits("n_x", "n_y") & _agree("sketch_x", "sketch_y")
-    pairs = side("x").join(side("y"), "bucket").filter(met).select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
+    pairs = _rest(rows, nodes, sets, scratch)
     good = _verify(pairs.join(tested, ["x", "y"], "left_anti"), sets).filter("link").select(F.col("x").alias("u"), F.col("y").alias("v"))
     return scratch.write(links.unionByName(good), "links")
 
@@ -214,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = buckets.select("node").distinct().join(nodes.select("node", "row"), "node").select("row", "node")
     texts = rows.select("row", "text").join(wanted.select("row").distinct(), "row", "left_semi")
     sets = scratch.write(texts.mapInPandas(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-    links = _links(buckets, sets, scratch)
+    links = _links(buckets, nodes, sets, scratch)
     group = components(links, scratch).distinct().withColumnRenamed("component", "root")
     named = nodes.select("node", "doc_id").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.write(named, "groups")
