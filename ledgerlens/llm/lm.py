@@ -1,12 +1,14 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models, one of a target corpus and one of the background (all documents), share one vocabulary and one set of
-bigrams. A document's score is the mean over its tokens of the target's loss minus the background's: the lower, the more the
-document looks like the target.
-
-Counts are taken over all documents and summed by shuffles. Only words and bigrams with a share of at least MIN_SHARE of
-their corpus enter the models: as shares add up to one, each table has at most 2 / MIN_SHARE rows at any input size, so
-it may be broadcast. Rarer words are one common token, rarer bigrams are left to the smoothing.
+bigrams: every word and every bigram, at any input size. A document's score is the mean over its tokens of the target's loss
+minus the background's: the lower, the more the document looks like the target.
+
+Words are counted in a shuffled table. Each document's distinct bigrams then go once, in packets, to a bucket where all
+occurrences of the bigram meet: it counts them and sends back sums by document. Only the way differs for what is frequent:
+words with a share of HOT_WORD and bigrams with a share of HOT_PAIR have their counts broadcast (at most 2 / share rows), so
+that no bucket gets more than a fixed share of a frequent key. Frequent bigrams are chosen on a sample of documents and
+counted over all of them; a wrong choice costs time, never a count.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +26,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, importable
 from .minhash import CACHE_WORDS, WordHashes
 
-MIN_SHARE = 2e-6
+#: Shares of all tokens from which on counts are broadcast rather than met in a bucket.
+HOT_WORD, HOT_PAIR = 2e-6, 5e-6
+#: One in so many documents is looked at to choose the frequent bigrams.
+SAMPLE = 16
+#: Tokens a bucket holds on average, and those that are packed together.
+TOKENS_IN_BUCKET, TOKENS_IN_PACKET = 1_000_000, 1_500_000
+LEAST_BUCKETS = 64
 #: Weight of the unigrams in the smoothing, in tokens.
 PRIOR = 50.0
 #: Documents counted together before their counts leave Python.
@@ -99,27 +108,27 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _counted(batches, keys)
 
 
-def _frequent(counts: DataFrame, share: float) -> tuple[pd.DataFrame, tuple[int, int]]:
-    """Rows with at least that share of all or of the target, and the sums. At most 2 / share rows reach the driver."""
-    n, t = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    rows = counts.filter((F.col("n") >= F.lit(share * n)) | ((F.col("t") > 0) & (F.col("t") >= F.lit(share * t)))).toPandas()
-    return rows, (n, t)
+SCHEMA = "key long, n long, t long"
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
 
+def fit(docs: DataFrame) -> Counts:
+    """Counts of docs (text, target), all in the driver: for small inputs. `lm_digest` doesn't use it.
 
-def fit(docs: DataFrame, min_share: float = MIN_SHARE) -> Counts:
-    """Counts of docs (text, target): target says which rows form the target corpus, all rows form the background."""
+    target says which rows form the target corpus, all rows form the background.
+    """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    importable(spark)
     source = docs.select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    schema = "key long, n long, t long"
-    merged = lambda parts: parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    counts = scratch.write(merged(source.mapInPandas(_count_words, schema)), "words")
-    rows, total = _frequent(counts, min_share)
+    rows = _merged(source.mapInPandas(_count_words, SCHEMA)).toPandas()
     words = rows["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     words = words[order]
-    known = np.stack([rows["n"].to_numpy(np.int64)[order], rows["t"].to_numpy(np.int64)[order]])
-    uni = np.concatenate([np.array(total, np.int64)[:, None] - known.sum(axis=1, keepdims=True), known], axis=1)
+    known = np.stack([rows[c].to_numpy(np.int64)[order] for c in "nt"])
+    uni = np.concatenate([np.zeros((2, 1), np.int64), known], axis=1)
     sent = spark.sparkContext.broadcast(words)
     size = len(words) + 1
 
@@ -133,10 +142,7 @@ def fit(docs: DataFrame, min_share: float = MIN_SHARE) -> Counts:
 
         yield from _counted(batches, keys)
 
-    pairs = scratch.write(merged(source.mapInPandas(count_bigrams, schema)), "bigrams")
-    rows, _ = _frequent(pairs, min_share)
-    rows = rows.sort_values("key")
-    scratch.drop()
+    rows = _merged(source.mapInPandas(count_bigrams, SCHEMA)).toPandas().sort_values("key")
     return Counts(words, uni, rows["key"].to_numpy(np.int64), np.stack([rows["n"].to_numpy(np.int64), rows["t"].to_numpy(np.int64)]))
 
 
@@ -172,33 +178,334 @@ class Losses:
         return out[0], out[1]
 
 
-def score(docs: DataFrame, counts: Counts) -> DataFrame:
-    """(doc_id, n_tokens, loss_target, loss_background, score) of every row of docs, whole texts.
+RARE, START = np.uint64(1 << 63), np.uint64(0)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Columns of a packet by kind, and their types; a column lies byte by byte, so that small numbers compress.
+POSTINGS = {"a": "u8", "b": "u8", "at": "u4", "c": "u4"}
+DOCS = {"doc": "i8", "target": "u1"}
+SUMS = {"doc": "i8", "tokens": "i8", "copies": "i8", "bg": "f8", "tg": "f8"}
+WORDS = {"id": "u8", "n": "i8", "t": "i8", "en": "i8", "et": "i8"}
+OPEN = {"b": "u8", "doc": "i8", "c": "u4", "n": "i8", "t": "i8", "n_a": "i8", "t_a": "i8", "en_a": "i8", "et_a": "i8"}
+#: bucket, kind (one of the four above), rows, packed columns.
+PACKET = "bucket int, kind string, size int, data binary"
+BOTH = (("n", "en"), ("t", "et"))
+
+
+def pack(columns: dict, kinds: dict) -> bytes:
+    return b"".join(columns[c].astype(k).view(np.uint8).reshape(len(columns[c]), -1).T.tobytes() for c, k in kinds.items())
+
+
+def unpack(data: bytes, n: int, kinds: dict) -> dict:
+    out, at = {}, 0
+    for c, k in kinds.items():
+        w = np.dtype(k).itemsize
+        out[c] = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * w, at).reshape(w, n).T).view(k).reshape(n)
+        at += n * w
+    return out
+
+
+def _joined(parts: list[dict], kinds: dict) -> dict:
+    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, k) for c, k in kinds.items()}
+
+
+def _of(rows: list[tuple], kind: str, kinds: dict) -> dict:
+    """Columns of all packets of a kind."""
+    return _joined([unpack(data, n, kinds) for _, k, n, data in rows if k == kind], kinds)
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a ^ (a >> np.uint64(29))) * _MIX + b
+
+
+def _dealt(x: np.ndarray, buckets: int) -> np.ndarray:
+    x = x.view(np.uint64) * _MIX
+    return (((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)) % np.uint64(buckets)
+
+
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of equal values that stand together."""
+    at = [*np.flatnonzero(np.diff(bucket)) + 1]
+    return zip([0, *at], [*at, len(bucket)], strict=True) if len(bucket) else iter(())
+
+
+def _packets(bucket: np.ndarray, columns: dict, kind: str, kinds: dict) -> list[tuple]:
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], {c: columns[c][order] for c in kinds}
+    return [(int(bucket[lo]), kind, hi - lo, pack({c: v[lo:hi] for c, v in columns.items()}, kinds)) for lo, hi in _runs(bucket)]
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["bucket", "kind", "size", "data"])
+
+
+@dataclass(frozen=True)
+class Hot:
+    """Frequent words (sorted hashes; the id of words[i] is i + 1) and frequent bigrams (sorted pair_keys of hashes).
+
+    counts: by id, n and t, a word's occurrences in all documents and in the target, en and et, those at a document's end.
+    bi: n and t of the bigrams. total: tokens of both. size: number of all words, and one for words never seen.
+    """
+
+    words: np.ndarray
+    counts: dict
+    pairs: np.ndarray
+    bi: np.ndarray
+    total: tuple[int, int]
+    size: int
+    buckets: int
+
+    def unigram(self, n: np.ndarray, k: int) -> np.ndarray:
+        return (n + 1.0) / (self.total[k] + self.size)
+
+    def loss(self, k: int, bi, before: dict, after: dict) -> np.ndarray:
+        """Logarithms of P(after | before), as in Losses: what a context's bigrams leave are its occurrences at an end."""
+        n, e = BOTH[k]
+        return np.log((bi + (before[e] + PRIOR) * self.unigram(after[n], k)) / (before[n] + PRIOR))
+
+    def lookup(self, ids: np.ndarray, words: dict) -> dict:
+        """Counts of words by id; words has the rare ones."""
+        rare = ids >= RARE
+        out = {c: v[np.where(rare, START, ids).astype(np.int64)] for c, v in self.counts.items()}
+        if rare.any():
+            i = np.searchsorted(words["id"], ids[rare])
+            for c in out:
+                out[c][rare] = words[c][i]
+        return out
+
+
+class Hashes(dict):
+    """63-bit hash of a word."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
+        return value
+
+
+class Ids(Hashes):
+    """Id of a word: its place among the frequent ones, or its hash with the highest bit set."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
-    Null texts and texts without words have n_tokens 0 and null losses and score.
+    def __missing__(self, word: bytes) -> int:
+        h = np.uint64(super().__missing__(word))
+        i = int(np.searchsorted(self.words, h))
+        value = self[word] = i + 1 if i < len(self.words) and self.words[i] == h else int(h | RARE)
+        return value
+
+
+def _hashed(words: dict, found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+
+
+def _place(values: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of k in sorted values, and whether it is there."""
+    if not len(values):
+        return np.zeros(len(k), np.int64), np.zeros(len(k), bool)
+    i = np.minimum(np.searchsorted(values, k), len(values) - 1)
+    return i, values[i] == k
+
+
+def _count(batches: Iterator[pd.DataFrame], wanted: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    """Counts of words (pair false) and of the wanted bigrams (true); without wanted, of all bigrams and no words."""
+    hashes, held, tokens = Hashes(), {False: [], True: []}, 0
+
+    def summed():
+        for pair, parts in held.items():
+            if parts:
+                sizes = [len(k) for k, _ in parts]
+                target = np.repeat([t for _, t in parts], sizes)
+                end = np.zeros(len(target), bool)
+                end[np.cumsum(sizes) - 1] = True
+                unique, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                sums = {c: np.bincount(where, w, len(unique)).astype(np.int64) for c, w in (("n", None), ("t", target), ("en", end), ("et", end & target))}
+                yield pd.DataFrame({"pair": pair, "key": unique.view(np.int64)} | sums)
+                parts.clear()
+
+    for pdf in batches:
+        for text, target in zip(pdf["text"], pdf["target"], strict=True):
+            h = _hashed(hashes, split(text))
+            k = pair_keys(h[:-1], h[1:])
+            if wanted is not None:
+                k = k[_place(wanted, k)[1]]
+                if len(h):
+                    held[False].append((h, bool(target)))
+            if len(k):
+                held[True].append((k, bool(target)))
+            tokens += len(h)
+            if tokens >= TOKENS_IN_PACKET:
+                yield from summed()
+                tokens = 0
+    yield from summed()
+
+
+def _postings(batches: Iterator[pd.DataFrame], hot: Hot) -> Iterator[pd.DataFrame]:
+    """Packets of documents' distinct bigrams, and of documents' sums over frequent bigrams, which are known here."""
+    ids, hashes = Ids(hot.words), np.concatenate([np.zeros(1, np.uint64), hot.words])
+    docs, held, tokens = [], [], 0
+
+    def packets() -> pd.DataFrame:
+        known = {c: np.array(v) for c, v in zip(("doc", "target", "tokens", "copies", "bg", "tg"), zip(*docs, strict=True), strict=True)}
+        at = np.repeat(np.arange(len(held), dtype=np.uint32), [len(a) for a, _, _ in held])
+        a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = _dealt(np.where(a >= RARE, a, np.where(b >= RARE, b, pair_keys(a, b))), hot.buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, a, b, c, at = (x[order] for x in (bucket, a, b, c, at))
+        out = _packets(_dealt(known["doc"], hot.buckets), known, "sums", SUMS)
+        for lo, hi in _runs(bucket):
+            who, place = np.unique(at[lo:hi], return_inverse=True)
+            data = pack({"a": a[lo:hi], "b": b[lo:hi], "at": place, "c": c[lo:hi]}, POSTINGS) + pack({x: known[x][who] for x in DOCS}, DOCS)
+            out.append((int(bucket[lo]), "postings", hi - lo, data))
+        return _frame(out)
+
+    for pdf in batches:
+        for doc, text, target in zip(pdf["row"], pdf["text"], pdf["target"], strict=True):
+            if not (found := split(text)):
+                continue
+            t = _hashed(ids, found)
+            rare = t >= RARE
+            h = np.where(rare, t & ~RARE, hashes[np.where(rare, START, t).astype(np.int64)])
+            k, at, c = np.unique(pair_keys(h[:-1], h[1:]), return_index=True, return_counts=True)
+            a, b = t[:-1][at], t[1:][at]
+            i, known = _place(hot.pairs, k)
+            known &= (a < RARE) & (b < RARE)
+            before, after = hot.lookup(a[known], {}), hot.lookup(b[known], {})
+            sums = [float((hot.loss(j, hot.bi[j][i[known]], before, after) * c[known]).sum()) for j in range(2)]
+            a, b, c = a[~known], b[~known], c[~known]
+            if rare[0]:
+                a, b, c = np.append(a, START), np.append(b, t[0]), np.append(c, 1)
+            else:
+                sums = [x + float(np.log(hot.unigram(hot.counts[BOTH[j][0]][int(t[0])], j))) for j, x in enumerate(sums)]
+            docs.append((doc, bool(target), len(t), 1, *sums))
+            held.append((a, b, c))
+            tokens += len(t)
+            if tokens >= TOKENS_IN_PACKET:
+                yield packets()
+                docs, held, tokens = [], [], 0
+    if docs:
+        yield packets()
+
+
+def _rows(table: pa.Table) -> list[tuple]:
+    return list(zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "size", "data")), strict=True))
+
+
+def _summed_by_doc(parts: list[dict]) -> dict:
+    p = _joined(parts, SUMS)
+    who, i = np.unique(p["doc"], return_inverse=True)
+    return {"doc": who} | {c: np.bincount(i, p[c], len(who)).astype(k) for c, k in SUMS.items() if c != "doc"}
+
+
+def _losses(doc: np.ndarray, bg: np.ndarray, tg: np.ndarray) -> dict:
+    return {"doc": doc, "tokens": np.zeros(len(doc), np.int64), "copies": np.zeros(len(doc), np.int64), "bg": bg, "tg": tg}
+
+
+def _rare_words(rows: list[tuple]) -> dict:
+    words = _of(rows, "words", WORDS)
+    order = np.argsort(words["id"])
+    return {c: v[order] for c, v in words.items()}
+
+
+def _count_bucket(table: pa.Table, hot: Hot) -> pa.Table:
+    """Counts a bucket's bigrams. Packets of sums by document, and of the bigrams whose second word is rare as well as the first: its counts are in another bucket."""
+    rows, parts = _rows(table), []
+    for _, kind, n, data in rows:
+        if kind == "postings":
+            part, used = unpack(data, n, POSTINGS), n * sum(np.dtype(k).itemsize for k in POSTINGS.values())
+            docs = unpack(data[used:], (len(data) - used) // 9, DOCS)
+            parts.append(part | {c: v[part["at"]] for c, v in docs.items()})
+    p = _joined(parts, POSTINGS | DOCS)
+    words = _rare_words(rows)
+    _, i = np.unique(pair_keys(p["a"], p["b"]), return_inverse=True)
+    bi = [np.bincount(i, w)[i].astype(np.int64) if len(i) else i for w in (p["c"], p["c"] * p["target"])]
+    starts, later = p["a"] == START, (p["a"] >= RARE) & (p["b"] >= RARE)
+    before, after = hot.lookup(p["a"], words), hot.lookup(np.where(later, START, p["b"]), words)
+    now = ~starts & ~later
+    loss = []
+    for k in range(2):
+        n, _ = BOTH[k]
+        part = np.zeros(len(i))
+        part[now] = hot.loss(k, bi[k][now], {c: v[now] for c, v in before.items()}, {c: v[now] for c, v in after.items()})
+        part[starts] = np.log(hot.unigram(after[n][starts], k))
+        loss.append(part * p["c"])
+    done = _summed_by_doc([_of(rows, "sums", SUMS), _losses(p["doc"], *loss)])
+    left = {c: v[later] for c, v in {"b": p["b"], "doc": p["doc"], "c": p["c"], "n": bi[0], "t": bi[1]}.items()}
+    left |= {f"{c}_a": v[later] for c, v in before.items()}
+    out = _packets(_dealt(done["doc"], hot.buckets), done, "sums", SUMS) + _packets(_dealt(left["b"], hot.buckets), left, "open", OPEN)
+    names = (("bucket", pa.int32()), ("kind", pa.string()), ("size", pa.int32()), ("data", pa.binary()))
+    return pa.table([pa.array([r[j] for r in out], k) for j, (_, k) in enumerate(names)], names=[c for c, _ in names])
+
+
+def _close_bucket(table: pa.Table, hot: Hot) -> pa.Table:
+    """Sums by document, with the bigrams that were left open."""
+    rows = _rows(table)
+    p = _of(rows, "open", OPEN)
+    before, after = {c: p[f"{c}_a"] for c in hot.counts}, hot.lookup(p["b"], _rare_words(rows))
+    loss = [hot.loss(k, p[BOTH[k][0]], before, after) * p["c"] for k in range(2)]
+    return pa.table(_summed_by_doc([_of(rows, "sums", SUMS), _losses(p["doc"], *loss)]))
+
+
+def _choose(source: DataFrame, scratch: Scratch) -> tuple[Hot, DataFrame]:
+    """What is broadcast, and the table of the rare words: (key, n, t, en, et)."""
+    spark, schema = source.sparkSession, "pair boolean, key long, n long, t long, en long, et long"
+    sample = source.filter(F.pmod("row", F.lit(SAMPLE)) == 0).mapInPandas(lambda x: _count(x, None), schema)
+    sample = scratch.write(sample.groupBy("key").agg(F.sum("n").alias("n")), "sample")
+    some = sample.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = sample.filter((F.col("n") >= F.lit(HOT_PAIR * some)) & (F.col("n") > 3)).select("key").toPandas()
+    scratch.drop(sample)
+    sent = spark.sparkContext.broadcast(np.sort(often["key"].to_numpy(np.int64).view(np.uint64)))
+    counts = source.mapInPandas(lambda x: _count(x, sent.value), schema).groupBy("pair", "key")
+    counts = scratch.write(counts.agg(*(F.sum(c).alias(c) for c in ("n", "t", "en", "et"))), "counts")
+    words = counts.filter("not pair")
+    n, t, size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.count("*")).first()
+    hot = F.col("n") >= F.lit(HOT_WORD * n)
+
+    def sorted_rows(df: DataFrame) -> tuple[np.ndarray, dict]:
+        rows = df.toPandas()
+        keys = rows["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], {c: rows[c].to_numpy(np.int64)[order] for c in ("n", "t", "en", "et")}
+
+    keys, known = sorted_rows(words.filter(hot))
+    pairs, bi = sorted_rows(counts.filter("pair"))
+    known = {c: np.concatenate([np.zeros(1, np.int64), v]) for c, v in known.items()}
+    buckets = max(LEAST_BUCKETS, -(-n // TOKENS_IN_BUCKET))
+    return Hot(keys, known, pairs, np.stack([bi["n"], bi["t"]]), (n, t), size + 1, buckets), words.filter(~hot)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, loss_target, loss_background, score) of every row of docs (doc_id, text, target), whole texts.
+
+    target says which rows form the target corpus, all rows form the background. Null texts and texts without words have
+    n_tokens 0 and null losses and score. Sums are added in the order in which packets come, so last digits may differ.
     """
     spark = docs.sparkSession
     importable(spark)
-    sent = spark.sparkContext.broadcast(counts)
+    row = F.xxhash64("doc_id", "text")
+    source = docs.select(row.alias("row"), "text", F.coalesce("target", F.lit(False)).alias("target"))
+    hot, rare = _choose(source, Scratch(spark))
+    sent = spark.sparkContext.broadcast(hot)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        losses, tokens = Losses(sent.value), Tokens(sent.value.words)
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                found = split(text)
-                if found:
-                    bg, tg = losses.of(np.fromiter(map(tokens.__getitem__, found), np.int64, len(found)))
-                    out.append((doc_id, len(found), tg, bg, tg - bg))
-                else:
-                    out.append((doc_id, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+            columns = {"id": pdf["key"].to_numpy(np.int64).view(np.uint64) | RARE} | {c: pdf[c].to_numpy(np.int64) for c in ("n", "t", "en", "et")}
+            yield _frame(_packets(_dealt(columns["id"], sent.value.buckets), columns, "words", WORDS))
 
-    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, n_tokens long, loss_target double, loss_background double, score double")
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    words = rare.mapInPandas(packed, PACKET)
+    met = source.mapInPandas(lambda x: _postings(x, sent.value), PACKET).unionByName(words)
+    met = met.groupBy("bucket").applyInArrow(lambda x: _count_bucket(x, sent.value), PACKET).unionByName(words)
+    sums = met.groupBy("bucket").applyInArrow(lambda x: _close_bucket(x, sent.value), "doc long, tokens long, copies long, bg double, tg double")
+    sums = sums.groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("tokens", "copies", "bg", "tg")))
+    # Equal rows have one sum between them.
+    out = docs.select("doc_id", row.alias("row")).join(sums.withColumnRenamed("doc", "row"), "row", "left")
+    out = out.withColumns({"loss_target": -F.col("tg") / F.col("tokens"), "loss_background": -F.col("bg") / F.col("tokens")})
+    n_tokens = F.coalesce((F.col("tokens") / F.col("copies")).cast("long"), F.lit(0).cast("long"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens.alias("n_tokens"), "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
 
 
 def lm_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The target corpus is what the labels call good (quality 1, not toxic)."""
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
-    return score(docs, fit(docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", "target")))
+    return score(docs.select("doc_id", "text").join(good, "doc_id", "left"))

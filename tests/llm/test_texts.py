@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -357,3 +358,38 @@ def test_lm_probabilities_and_losses(spark, docs, none):
     hard = lm.lm_digest(docs, labels).collect()
     assert len(hard) == len(hard_rows()) and all((r.score is None) == (r.n_tokens == 0) for r in hard)
     assert lm.lm_digest(none, labels).count() == 0
+
+
+@pytest.mark.parametrize(("hot", "length"), [((2e-6, 5e-6), 12000), ((2e-3, 2e-3), 300)])
+def test_lm_counts_every_word_and_bigram(spark, monkeypatch, hot, length):
+    """Above 500,000 tokens a word or bigram found once has a share below 2e-6; it counts all the same, by any way it goes."""
+    monkeypatch.setattr(lm, "HOT_WORD", hot[0], raising=False)
+    monkeypatch.setattr(lm, "HOT_PAIR", hot[1], raising=False)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(30)}" if rng.random() < 0.8 else f"r{rng.randrange(40000)}"
+    rows = [(i, " ".join(word() for _ in range(length)), "en", "a", 1) for i in range(45)]
+    rows += [(None, "lone rare pair", "en", "a", 1), (7, "lone rare pair", "en", "a", 1), (7, "lone rare pair", "en", "a", 1), (8, "w1", "en", "a", 1), (9, None, "en", "a", 1)]
+    good = {i for i in range(0, 45, 3)}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(45)], "doc_id long, quality int, toxic int")
+    uni, bi, ends = ([Counter(), Counter()] for _ in range(3))
+    for r in rows:
+        found = (r[1] or "").split()
+        for k in range(2):
+            if found and (k == 0 or r[0] in good):
+                uni[k].update(found)
+                bi[k].update(itertools.pairwise(found))
+                ends[k][found[-1]] += 1
+    total, size = [sum(u.values()) for u in uni], len(uni[0]) + 1
+    one = lambda k, w: (uni[k][w] + 1) / (total[k] + size)
+    two = lambda k, a, b: (bi[k][a, b] + (ends[k][a] + lm.PRIOR) * one(k, b)) / (uni[k][a] + lm.PRIOR)
+    want = []
+    for r in rows:
+        found = (r[1] or "").split()
+        loss = [-(math.log(one(k, found[0])) + sum(math.log(two(k, a, b)) for a, b in itertools.pairwise(found))) / len(found) if found else None for k in (1, 0)]
+        want.append((r[0], len(found), *loss))
+    order = lambda r: (r[0] is None, r[0], r[1])
+    got = lm.lm_digest(spark.createDataFrame(rows, SCHEMA).repartition(4), labels).collect()
+    assert len(got) == len(rows)
+    for r, w in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert tuple(r[:2]) == w[:2] and all(x is y is None or x == pytest.approx(y, abs=1e-9) for x, y in zip(r[2:4], w[2:], strict=True))
+        assert r.score is None if w[1] == 0 else r.score == pytest.approx(w[2] - w[3], abs=1e-9)
