@@ -218,12 +218,13 @@ def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch)
     return scratch.write(links.unionByName(good), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, root: bool = False) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
     `row` is a hash of id and text by which a caller meets its rows. component_id is the smallest doc_id that links reach,
     the document's own included; kept is doc_id = component_id. Documents without words link with nothing; equal sets are
     one node. A row with a null id is kept when its group has no other id. Extra columns are ignored.
+    With root there is a last column, the group's node, null for documents without words.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("string"), row_key().alias("row"), "text")  # pandas would turn ids with nulls to doubles
@@ -240,21 +241,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = nodes.select("node", "doc_id").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.write(named, "groups")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = scratch.write(named.join(least, "root").select("node", "component_id"), "ids")
+    by_node = scratch.write(named.join(least, "root").select("node", "component_id", *["root"] * root), "ids")
     out = members.join(by_node, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *["root"] * root)
 
 
 def row_key():
-    """Hash of a row's id and text."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text"))
+    """Hash of a row's id, null or not, and text."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the near copies of a document with a smaller id; columns and order of columns as given."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", row_key()).join(gone, "__row", "left_anti").select(*docs.columns)
+    """docs with one row of each group of near copies, one with the smallest id; columns and order of columns as given.
+
+    Of equal rows, of rows with one id and near texts, and of a group without ids, one stays too. Documents without words are
+    no group and all stay.
+    """
+    scratch, cols = Scratch(docs.sparkSession), docs.columns
+    rows = near_duplicates(docs, root=True).filter("kept").groupBy("root", F.col("row").alias("__row")).agg(F.count("*").alias("__m"))
+    rows = scratch.write(rows, "kept")
+    one = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct("__row", "__m")).alias("s")).select("s.*")
+    stay = one.unionByName(rows.filter("root is null").select("__row", F.lit(1).cast("long").alias("__m")))
+    found = docs.withColumn("__row", row_key()).join(stay, "__row")
+    again = found.filter("__m > 1").groupBy("__row").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("__s")).select("__s.*")
+    return found.filter("__m = 1").select(*cols).unionByName(again)
 
 
 def minhash_digest(docs: DataFrame) -> DataFrame:

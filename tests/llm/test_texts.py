@@ -257,6 +257,14 @@ def test_minhash(docs, none):
     assert minhash.minhash_digest(none).count() == 0
 
 
+def test_keep_one_leaves_one_row_of_a_group(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(5, text("a")), (5, text("a")), (5, text("a")), (None, text("b")), (None, text("b")), (-1, text("c")), (None, text("c")), (6, text("d")), (6, text("d") + " x"), (7, text("a")), (8, ""), (None, None)]
+    data = spark.createDataFrame([(i, t, "en", "a", n) for n, (i, t) in enumerate(rows)], SCHEMA)
+    got = Counter((r.doc_id, (r.text or "")[:1]) for r in minhash.keep_one(data).collect())
+    assert got == Counter([(5, "a"), (None, "b"), (-1, "c"), (6, "d"), (8, ""), (None, "")])
+
+
 def test_minhash_on_edited_copies(spark):
     rng = random.Random(3)
     rows = []
