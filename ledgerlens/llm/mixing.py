@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sharding
 from .common import WORD, WS_CHARS, Scratch, hash60
 from .sharding import collapse
 
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     out = out.withColumn("taken", part(0) + part(1))
     share = F.col("first").cast("double") / F.col("demand").cast("double")
     position = F.when(F.col("taken") > 0, F.rint(inverse_demand(share, pick(SLOPES, F.col("place"))) * TICKS).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("position"), "first", "demand", "place", "h")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("position"), "first", "demand", "place", "h", "chunk")
 
 
 def _first_words(text: Column, n: Column) -> Column:
@@ -117,15 +118,20 @@ def training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """
     cols = docs.columns
     names = ("first", "demand", "source_size", "place", "size")
-    plan = mixed.groupBy(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "h"))).agg(
-        F.count("*").alias("__m"), F.min("first").alias("__first"), *(F.max(c).alias(f"__{c}") for c in names[1:])
-    )
+    key = ["__doc_id", "__source", "__h"]
+    chunks = mixed.groupBy(*(F.col(c[2:]).alias(c) for c in key), F.col("chunk").alias("__chunk")).agg(F.count("*").alias("__m"), F.min("first").alias("__first"), *(F.max(c).alias(f"__{c}") for c in names[1:]))
+    plan = chunks.groupBy(*key).agg(F.sum("__m").alias("__m"), F.min("__first").alias("__first"), *(F.max(f"__{c}").alias(f"__{c}") for c in names[1:]))
     keyed = docs.withColumn("__k", F.coalesce(hash60(F.col("text")), F.lit(-1)))
     joined = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["__doc_id"]) & keyed["source"].eqNullSafe(plan["__source"]) & (keyed["__k"] == plan["__h"]))
     joined = joined.select(*cols, "__k", "__m", *(f"__{c}" for c in names))
-    # Equal rows stand one after another in their source; which of them is which doesn't matter.
+    # The copies of a chunk stand one after another in their source, chunks anywhere; which of equal rows is which doesn't matter.
     nth = F.row_number().over(Window.partitionBy("doc_id", "source", "__k").orderBy(F.lit(0))) - 1
-    rows = joined.filter("__m = 1").unionByName(joined.filter("__m > 1").withColumn("__first", F.col("__first") + nth * F.col("__size")))
+    many = joined.filter("__m > 1").drop("__first").withColumn("__nth", nth.cast("long"))
+    many = many.withColumn("__c", F.call_function("div", F.col("__nth"), F.lit(sharding.CHUNK))).withColumn("__in", F.col("__nth") % F.lit(sharding.CHUNK))
+    begin = chunks.select(*(F.col(c).alias(f"{c}_b") for c in key), "__chunk", "__first")
+    many = many.join(begin, many["doc_id"].eqNullSafe(begin["__doc_id_b"]) & many["source"].eqNullSafe(begin["__source_b"]) & (many["__k"] == begin["__h_b"]) & (many["__c"] == begin["__chunk"]))
+    many = many.withColumn("__first", F.col("__first") + F.col("__in") * F.col("__size"))
+    rows = joined.filter("__m = 1").unionByName(many.select(joined.columns))
     at = lambda k: F.col("__first") + F.col("__source_size") * k
     copy = lambda k: F.struct(
         F.least(F.col("__size"), F.col("__demand") - at(k)).alias("words"),

@@ -189,6 +189,19 @@ def test_training_order_follows_the_mix(docs):
     assert all(0 <= p <= mixing.TICKS for p in positions)
 
 
+def test_training_order_places_every_chunk_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 2)
+    rows = [(1, "a b c", "en", s, 5) for s in "abc" for _ in range(21)] + [(i, f"w{i} x{i}", "en", s, 5) for s in "abc" for i in range(2, 40)]
+    data = spark.createDataFrame(rows, SCHEMA)
+    mixed = mixing.mix(data).cache()
+    got, want = Counter(), Counter()
+    for r in mixing.training_order(data, mixed).collect():
+        got[r.doc_id, r.source] += len(WORD.findall(r.text))
+    for r in mixed.collect():
+        want[r.doc_id, r.source] += r.taken
+    assert got == +want
+
+
 def test_inverse_demand(spark):
     row = spark.range(101).select((F.col("id") / 100).alias("y"), *(mixing.inverse_demand(F.col("id") / 100, F.lit(a)).alias(f"t{i}") for i, a in enumerate(mixing.SLOPES))).collect()
     for r in row:
