@@ -1,4 +1,4 @@
-"""Lookups over the results: search, ranking, ids by suffix, node and cluster records, dispatch by name."""
+"""Lookups over the results: search, ranking, ids by suffix, node and cluster records."""
 
 from __future__ import annotations
 
