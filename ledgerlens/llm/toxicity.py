@@ -17,15 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable
+from .common import Scratch, importable
 
 BITS = 20
-#: Most labelled documents used for the fit; the only bound in this module. Those with the smallest hashes of doc_id are taken.
+#: Most labelled rows used for the fit, those with the smallest hashes of doc_id; the only bound in this module.
 SAMPLE_ROWS = 20_000
-#: Words of fewer sample documents (at least 4, and one in a thousand) get no weight: they can only be learned by heart.
-MIN_DOCS, MIN_SHARE = 4, 0.0005
 EPOCHS, RATE, SPARSE = 250, 1.0, 2e-5
 CACHE_WORDS = 400_000
+#: Features worked on at a time in the fit, so that its memory follows the sample's int32 features alone.
+BLOCK = 1 << 18
 _SPLIT = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -71,42 +71,68 @@ def bag(text: str | None, buckets: Buckets) -> tuple[np.ndarray, np.ndarray, lis
 
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features of each document as int32, and the number of features of each of its sentences."""
     buckets = Buckets()
     for pdf in batches:
-        out = [(int(y), len(spans), ids.astype(np.int32).tobytes(), which.astype(np.int32).tobytes()) for y, (ids, which, spans) in ((y, bag(t, buckets)) for y, t in zip(pdf["y"], pdf["text"], strict=True))]
-        yield pd.DataFrame(out, columns=["y", "n", "ids", "which"])
+        out = []
+        for h, y, text in zip(pdf["h"], pdf["y"], pdf["text"], strict=True):
+            ids, which, spans = bag(text, buckets)
+            if spans:
+                out.append((h, y, np.bincount(which, minlength=len(spans)).astype(np.int32).tobytes(), ids.astype(np.int32).tobytes()))
+        yield pd.DataFrame(out, columns=["h", "y", "sizes", "ids"])
 
 
-def fit_bags(y: np.ndarray, counts: np.ndarray, ids: np.ndarray, sentence: np.ndarray) -> Model:
-    """Adagrad on the noisy-or likelihood. sentence: of each feature, numbered over all documents; counts: sentences of each."""
-    n = int(counts.sum())
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
+@dataclass(frozen=True)
+class Bags:
+    """Labels of documents, sentences of each, features of each sentence (one at least), and the features themselves."""
+
+    y: np.ndarray
+    sentences: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+
+    def blocks(self) -> list[Bags]:
+        """Parts of whole documents, of about BLOCK features each."""
+        ends = np.cumsum(self.sizes)[np.cumsum(self.sentences) - 1] if len(self.y) else np.zeros(0, np.int64)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, BLOCK)), len(ends)))
+        s = np.concatenate([[0], np.cumsum(self.sentences)])
+        f = np.concatenate([[0], ends])
+        return [Bags(self.y[a:b], self.sentences[a:b], self.sizes[s[a] : s[b]], self.ids[f[a] : f[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def gradient(bags: Bags, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """Gradient of the summed negative log-likelihood of the labels under the noisy-or of the sentences."""
+    z = np.add.reduceat(weights[bags.ids], np.cumsum(bags.sizes) - bags.sizes) + bias
+    p = np.clip(1 / (1 + np.exp(-np.clip(z, -35, 35))), 1e-9, 1 - 1e-9)
+    clean = np.exp(np.add.reduceat(np.log1p(-p), np.cumsum(bags.sentences) - bags.sentences))
+    toxic = np.clip(1 - clean, 1e-9, 1)
+    of_doc = np.where(bags.y == 1, -clean / toxic, 1.0)
+    grad = p * np.repeat(of_doc, bags.sentences)
+    return np.bincount(bags.ids, np.repeat(grad, bags.sizes), minlength=len(weights)), float(grad.sum())
+
+
+def fit_bags(bags: Bags) -> Model:
+    """Adagrad on the noisy-or likelihood with an L1 penalty; documents are worked through in blocks in each epoch."""
+    n = len(bags.y)
+    if not n or bags.y.min() == bags.y.max():
+        share = float(bags.y.mean()) if n else 0.0
         return Model(np.zeros(1 << BITS), float(np.log((share + 0.01) / (1.01 - share))))
-    doc = np.repeat(np.arange(len(y)), counts)
-    # Only features of several documents, numbered anew: the vectors of an epoch follow the sample.
-    in_doc = np.unique(ids.astype(np.int64) * len(y) + doc[sentence]) // len(y)
-    used, spread = np.unique(in_doc, return_counts=True)
-    used = used[spread >= max(MIN_DOCS, MIN_SHARE * len(y))]
-    place = np.full(1 << BITS, -1, np.int64)
-    place[used] = np.arange(len(used))
-    ids = place[ids]
-    sentence, ids = sentence[ids >= 0], ids[ids >= 0]
+    used, place = np.unique(bags.ids, return_inverse=True)
+    blocks = Bags(bags.y, bags.sentences, bags.sizes, place.astype(np.int32)).blocks()
+    del place
     weights, seen = np.zeros(len(used)), np.full(len(used), 1e-8)
     bias, bias_seen = -8.0, 1e-8
-    model = Model(weights, bias)
     for _ in range(EPOCHS):
-        z = np.bincount(sentence, weights[ids], minlength=n) + bias
-        p = np.clip(model.probability(z), 1e-9, 1 - 1e-9)
-        clean = np.exp(np.bincount(doc, np.log1p(-p), minlength=len(y)))
-        toxic = np.clip(1 - clean, 1e-9, 1)
-        grad = np.where(y[doc] == 1, -p * (clean / toxic)[doc], p) / len(y)
-        g = np.bincount(ids, grad[sentence], minlength=len(used))
+        g, gb = np.zeros(len(used)), 0.0
+        for block in blocks:
+            part, at = gradient(block, weights, bias)
+            g += part
+            gb += at
+        g, gb = g / n, gb / n
         seen += g * g
         step = RATE / np.sqrt(seen)
         weights -= step * g
         weights = np.sign(weights) * np.maximum(np.abs(weights) - step * SPARSE, 0)
-        gb = float(grad.sum())
         bias_seen += gb * gb
         bias -= RATE * gb / np.sqrt(bias_seen)
     whole = np.zeros(1 << BITS)
@@ -115,23 +141,36 @@ def fit_bags(y: np.ndarray, counts: np.ndarray, ids: np.ndarray, sentence: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most sample_rows labelled documents whose crc32(doc_id) mod 5 is not 0; other labels are never read."""
-    importable(docs.sparkSession)
+    """Learns from at most sample_rows labelled rows whose crc32(doc_id) mod 5 is not 0; other labels are never read.
+
+    Rows without a sentence say nothing and are left out. Repeated ids make several rows, each with each of its labels; the
+    bound holds for the rows. The driver gets the features of these rows as int32, in Arrow batches.
+    """
+    scratch = Scratch(docs.sparkSession)
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    chosen = usable.select("doc_id", F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInPandas(_bags, "y int, n int, ids binary, which binary").collect()
-    rows.sort(key=lambda r: (r.y, r.n, bytes(r.ids)))  # the fit doesn't depend on the order in which tasks end
-    y, counts = np.array([r.y for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
-    start = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(rows) else np.zeros(0, np.int64)
-    ids = np.concatenate([np.frombuffer(r.ids, np.int32) for r in rows] or [np.zeros(0, np.int32)])
-    sentence = np.concatenate([np.frombuffer(r.which, np.int32) + s for r, s in zip(rows, start, strict=True)] or [np.zeros(0, np.int64)])
-    return fit_bags(y, counts, ids, sentence.astype(np.int64))
+    order = F.xxhash64("doc_id")
+    chosen = usable.select("doc_id", F.col("toxic").cast("int").alias("y")).orderBy(order, "doc_id", "y").limit(sample_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("h"), "y", "text")
+    kept = scratch.write(rows.mapInPandas(_bags, "h long, y int, sizes binary, ids binary"), "bags")
+    found = kept.orderBy("h", "y", "ids", "sizes").limit(sample_rows).toArrow()  # the fit doesn't depend on the order in which tasks end
+    scratch.drop()
+
+    def joined(name: str) -> tuple[np.ndarray, list[int]]:
+        parts = [x.as_buffer() for x in found.column(name)]
+        return np.concatenate([np.frombuffer(x, np.int32) for x in parts] or [np.zeros(0, np.int32)]), [x.size // 4 for x in parts]
+
+    (ids, _), (sizes, sentences) = joined("ids"), joined("sizes")
+    y = found.column("y").to_numpy().astype(np.int64)
+    del found
+    return fit_bags(Bags(y, np.array(sentences, np.int64), sizes, ids))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, n_sentences, worst_start, worst_length, n_offending, worst_sentence) of every row, whole texts.
 
-    Null texts and texts without a letter have no sentence: score 0, worst_* null. The model, of fixed size, is broadcast.
+    Null texts and texts without a letter have no sentence: score 0, worst_* null. Texts of any length are read whole, a row
+    at a time; equal texts get equal scores, of equal sentences the first is the worst; a row comes out for each row, also
+    of null or repeated ids; other columns are not read. The model, of fixed size, is broadcast.
     """
     spark = docs.sparkSession
     importable(spark)
