@@ -1,511 +1,352 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models, one of a target corpus and one of the background (all documents), share one vocabulary and one set of
-bigrams: every word and every bigram, at any input size. A document's score is the mean over its tokens of the target's loss
-minus the background's: the lower, the more the document looks like the target.
-
-Words are counted in a shuffled table. Each document's distinct bigrams then go once, in packets, to a bucket where all
-occurrences of the bigram meet: it counts them and sends back sums by document. Only the way differs for what is frequent:
-words with a share of HOT_WORD and bigrams with a share of HOT_PAIR have their counts broadcast (at most 2 / share rows), so
-that no bucket gets more than a fixed share of a frequent key. Frequent bigrams are chosen on a sample of documents and
-counted over all of them; a wrong choice costs time, never a count.
+bigrams: every word and every bigram, at any input size. The models are matched: background counts are scaled to the
+target's number of tokens, which gives the expected counts of a draw of the target's size. A document is scored without its
+own words (they are taken out of both models first), so a document of the target has no advantage over others.
+
+    P(w | v) = (n(v, w) + BETA) / (n(v) + BETA * V), n(v) = sum of n(v, w) over w; a document begins after a START.
+
+The score is the mean over a document's tokens of the target's loss minus the background's: the lower, the more the document
+looks like the target. A document's loss splits into a sum over its bigrams and its contexts, each of which needs one count
+only. So its distinct bigrams and contexts go once, sorted and packed, to the bucket where all occurrences of a key meet;
+the bucket counts them and sends back sums by document. What occurs in one document only changes nothing and sends nothing
+back. Frequent keys (a share of HOT of all tokens, at most 2 / HOT of them) don't go to buckets, so that no bucket gets more
+than a fixed share of a key; they are chosen on a sample of documents and counted over all of them, and their counts are
+broadcast. A wrong choice costs time, never a count.
+
+Keys are 51 bits of a hash; where two of n keys fall together, which happens to one key in 2^51 / n, they share counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, importable
-from .minhash import CACHE_WORDS, WordHashes
+from .words import finish, hashed_parts
 
-#: Shares of all tokens from which on counts are broadcast rather than met in a bucket.
-HOT_WORD, HOT_PAIR = 2e-6, 5e-6
-#: One in so many documents is looked at to choose the frequent bigrams.
+BETA = 0.05
+#: Share of all tokens from which on a key's counts are broadcast.
+HOT = 2e-6
+#: One in so many documents is looked at to choose frequent keys.
 SAMPLE = 16
-#: Tokens a bucket holds on average, and those that are packed together.
-TOKENS_IN_BUCKET, TOKENS_IN_PACKET = 1_000_000, 1_500_000
+#: Documents and tokens that are packed together; tokens of a bucket on average.
+DOC_BITS = 12
+TOKENS_IN_PACKET, TOKENS_IN_BUCKET = 2_000_000, 2_000_000
 LEAST_BUCKETS = 64
-#: Weight of the unigrams in the smoothing, in tokens.
-PRIOR = 50.0
-#: Documents counted together before their counts leave Python.
-GROUP_DOCS = 20_000
-
-
-@dataclass(frozen=True)
-class Counts:
-    """words: sorted hashes; token 0 stands for all others, token i + 1 for words[i]. bigrams: sorted first * size + second.
-
-    uni and bi have a row for the background and one for the target.
-    """
-
-    words: np.ndarray
-    uni: np.ndarray
-    bigrams: np.ndarray
-    bi: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + 1
+#: Most packets whose targets are broadcast (at most 1 kB each); with more they are joined.
+BROADCAST_PACKETS = 20_000
 
+#: Places that stand for no frequent key: START as a context, and all tokens.
+STARTS, TOKENS = -1, -2
 
-class Tokens(dict):
-    """Token of a word."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = np.uint64(xxhash.xxh3_64_intdigest(word))
-        i = int(np.searchsorted(self.words, h))
-        value = self[word] = i + 1 if i < len(self.words) and self.words[i] == h else 0
-        return value
-
-
-def split(text: str | None) -> list[bytes]:
-    """Words of the whole text, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def _summed(parts: list[tuple[np.ndarray, bool]]) -> pd.DataFrame:
-    """Counts of keys: n over all parts, t over the target's."""
-    keys = np.concatenate([k for k, _ in parts])
-    target = np.repeat([t for _, t in parts], [len(k) for k, _ in parts])
-    unique, where = np.unique(keys, return_inverse=True)
-    return pd.DataFrame({"key": unique.view(np.int64), "n": np.bincount(where, minlength=len(unique)), "t": np.bincount(where, target, minlength=len(unique)).astype(np.int64)})
-
-
-def _counted(batches: Iterator[pd.DataFrame], keys) -> Iterator[pd.DataFrame]:
-    held, docs = [], 0
-    for pdf in batches:
-        for text, target in zip(pdf["text"], pdf["target"], strict=True):
-            if len(k := keys(text)):
-                held.append((k, bool(target)))
-        docs += len(pdf)
-        if docs >= GROUP_DOCS and held:
-            yield _summed(held)
-            held, docs = [], 0
-    if held:
-        yield _summed(held)
-
+_DOC, _KEY = np.uint64((1 << DOC_BITS) - 1), np.uint64(DOC_BITS)
+_KIND = np.uint64(1 << DOC_BITS)
+_START, _MIX = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
 
-    def keys(text):
-        found = split(text)
-        return np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+def keys(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bigrams of texts of n words each, a START before each text, and of the contexts that are words.
 
-    yield from _counted(batches, keys)
-
-
-SCHEMA = "key long, n long, t long"
-
-
-def _merged(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def fit(docs: DataFrame) -> Counts:
-    """Counts of docs (text, target), all in the driver: for small inputs. `lm_digest` doesn't use it.
-
-    target says which rows form the target corpus, all rows form the background.
+    A key's last DOC_BITS bits are the number of the text; the bit before tells contexts (1) from bigrams (0).
     """
-    spark = docs.sparkSession
-    importable(spark)
-    source = docs.select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    rows = _merged(source.mapInPandas(_count_words, SCHEMA)).toPandas()
-    words = rows["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    words = words[order]
-    known = np.stack([rows[c].to_numpy(np.int64)[order] for c in "nt"])
-    uni = np.concatenate([np.zeros((2, 1), np.int64), known], axis=1)
-    sent = spark.sparkContext.broadcast(words)
-    size = len(words) + 1
-
-    def count_bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(sent.value)
-
-        def keys(text):
-            found = split(text)
-            t = np.fromiter(map(tokens.__getitem__, found), np.int64, len(found))
-            return t[:-1] * size + t[1:]
-
-        yield from _counted(batches, keys)
-
-    rows = _merged(source.mapInPandas(count_bigrams, SCHEMA)).toPandas().sort_values("key")
-    return Counts(words, uni, rows["key"].to_numpy(np.int64), np.stack([rows["n"].to_numpy(np.int64), rows["t"].to_numpy(np.int64)]))
-
-
-class Losses:
-    """Losses of both models, in nats; a token follows another, the first of a document follows nothing."""
-
-    def __init__(self, counts: Counts):
-        self.c = counts
-        uni = counts.uni.astype(float)
-        self.unigram = (uni + 1) / (uni.sum(axis=1, keepdims=True) + counts.size)
-        first = counts.bigrams // counts.size
-        kept = np.stack([np.bincount(first, counts.bi[k], minlength=counts.size) for k in range(2)])
-        self.context = uni + PRIOR
-        # What a context's kept bigrams leave goes to the unigrams, so that each context's probabilities add up to one.
-        self.rest = np.maximum(uni - kept, 0) + PRIOR
-        self.context = kept + self.rest
-        self.bi = np.concatenate([counts.bi, np.zeros((2, 1), np.int64)], axis=1).astype(float)
-
-    def of(self, tokens: np.ndarray) -> tuple[float, float]:
-        """Mean losses of the background's and the target's model."""
-        before, after = tokens[:-1], tokens[1:]
-        key = before * self.c.size + after
-        n = len(self.c.bigrams)
-        at = np.searchsorted(self.c.bigrams, key)
-        if n:
-            at = np.where(self.c.bigrams[np.minimum(at, n - 1)] == key, at, n)
-        else:
-            at = np.zeros(len(key), np.int64)
-        out = []
-        for k in range(2):
-            p = (self.bi[k][at] + self.rest[k][before] * self.unigram[k][after]) / self.context[k][before]
-            out.append(float(-(np.log(p).sum() + np.log(self.unigram[k][tokens[0]])) / len(tokens)))
-        return out[0], out[1]
-
-
-RARE, START = np.uint64(1 << 63), np.uint64(0)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Columns of a packet by kind, and their types; a column lies byte by byte, so that small numbers compress.
-POSTINGS = {"a": "u8", "b": "u8", "at": "u4", "c": "u4"}
-DOCS = {"doc": "i8", "target": "u1"}
-SUMS = {"doc": "i8", "tokens": "i8", "copies": "i8", "bg": "f8", "tg": "f8"}
-WORDS = {"id": "u8", "n": "i8", "t": "i8", "en": "i8", "et": "i8"}
-OPEN = {"b": "u8", "doc": "i8", "c": "u4", "n": "i8", "t": "i8", "n_a": "i8", "t_a": "i8", "en_a": "i8", "et_a": "i8"}
-#: bucket, kind (one of the four above), rows, packed columns.
-PACKET = "bucket int, kind string, size int, data binary"
-BOTH = (("n", "en"), ("t", "et"))
-
-
-def pack(columns: dict, kinds: dict) -> bytes:
-    return b"".join(columns[c].astype(k).view(np.uint8).reshape(len(columns[c]), -1).T.tobytes() for c, k in kinds.items())
-
-
-def unpack(data: bytes, n: int, kinds: dict) -> dict:
-    out, at = {}, 0
-    for c, k in kinds.items():
-        w = np.dtype(k).itemsize
-        out[c] = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * w, at).reshape(w, n).T).view(k).reshape(n)
+    doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    first = (np.cumsum(n) - n)[n > 0]
+    before = np.empty_like(words)
+    before[1:], before[first] = words[:-1], _START
+    later = np.ones(len(words), bool)
+    later[first] = False
+    low = ~(_DOC | _KIND)
+    with np.errstate(over="ignore"):
+        pairs = (finish(before * _MIX + words) & low) | doc
+        return pairs, (finish(before[later] ^ _MIX) & low) | _KIND | doc[later]
+
+
+def counted(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each stands there."""
+    at = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return sorted_keys[at], np.diff(np.append(at, len(sorted_keys)))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Byte by byte, the highest bytes of all numbers together, so that small numbers compress."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns)
+
+
+def unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in kinds:
+        w = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * w, at).reshape(w, n).T).view(kind).reshape(n))
         at += n * w
     return out
 
 
-def _joined(parts: list[dict], kinds: dict) -> dict:
-    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, k) for c, k in kinds.items()}
-
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=np.zeros(1, x.dtype))
 
-def _of(rows: list[tuple], kind: str, kinds: dict) -> dict:
-    """Columns of all packets of a kind."""
-    return _joined([unpack(data, n, kinds) for _, k, n, data in rows if k == kind], kinds)
 
+@dataclass
+class Packet:
+    """Documents taken together: their ids, numbers of words, and their distinct keys with counts."""
 
-def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a ^ (a >> np.uint64(29))) * _MIX + b
+    number: int
+    ids: pa.Array
+    words: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+
+    def hot(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key whether it is one of hot (sorted, without documents), and its place there."""
+        lo, hi = np.searchsorted(self.keys, hot << _KEY), np.searchsorted(self.keys, (hot << _KEY) | _DOC, "right")
+        some, change = hi > lo, np.zeros(len(self.keys) + 1, np.int64)
+        change[lo[some]] += 1
+        change[hi[some]] -= 1
+        return np.cumsum(change)[:-1] > 0, np.repeat(np.arange(len(hot)), hi - lo)
+
+
+def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[Packet]:
+    """Packets of a partition's rows (doc_id, text); the same rows give the same packets, with the same numbers."""
+    ids, sizes, parts, tokens, docs, nth = [], [], [], 0, 0, 0
+    where = TaskContext.get().partitionId() if TaskContext.get() else 0
+
+    def packet() -> Packet:
+        n, w = np.concatenate(sizes), np.concatenate(parts)
+        names = pa.concat_arrays(ids)
+        number = xxhash.xxh3_64(w.tobytes())
+        for x in (n.tobytes(), names.fill_null(-1).to_numpy().tobytes(), f"{where} {nth}".encode()):
+            number.update(x)
+        both = np.concatenate(keys(w, n))
+        both.sort()
+        return Packet(number.intdigest() >> 1, names, n, *counted(both))
+
+    for batch in batches:
+        for i, j, hashes, n in hashed_parts(batch.column("text")):
+            names, at = batch.column("doc_id").slice(i, j - i), 0
+            ends = np.cumsum(n)
+            while at < len(n):
+                done = ends[at - 1] if at else 0
+                # A packet ends with the document that fills it, or with its last place.
+                to = min(len(n), at + (1 << DOC_BITS) - docs, int(np.searchsorted(ends, done + TOKENS_IN_PACKET - tokens)) + 1)
+                ids.append(names.slice(at, to - at))
+                sizes.append(n[at:to])
+                parts.append(hashes[done : ends[to - 1]])
+                tokens, docs, at = tokens + int(ends[to - 1] - done), docs + to - at, to
+                if tokens >= TOKENS_IN_PACKET or docs == 1 << DOC_BITS:
+                    yield packet()
+                    ids, sizes, parts, tokens, docs, nth = [], [], [], 0, 0, nth + 1
+    if docs:
+        yield packet()
 
 
-def _dealt(x: np.ndarray, buckets: int) -> np.ndarray:
-    x = x.view(np.uint64) * _MIX
-    return (((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)) % np.uint64(buckets)
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that a packet has twice or more, and the tokens of the packet under a null key."""
+    for p in packets(batches):
+        distinct, at = np.unique(p.keys >> _KEY, return_index=True)
+        n = np.add.reduceat(p.counts, at) if len(at) else np.zeros(0, np.int64)
+        often = n > 1
+        found = pa.array(distinct[often].astype(np.int64))
+        yield pa.record_batch([pa.concat_arrays([found, pa.array([None], pa.int64())]), pa.array(np.append(n[often], p.words.sum()))], ["key", "n"])
 
 
-def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of equal values that stand together."""
-    at = [*np.flatnonzero(np.diff(bucket)) + 1]
-    return zip([0, *at], [*at, len(bucket)], strict=True) if len(bucket) else iter(())
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, hashes, _ in hashed_parts(batch.column("text")):
+            yield pa.record_batch([pa.array(np.unique(hashes).view(np.int64))], ["word"])
 
 
-def _packets(bucket: np.ndarray, columns: dict, kind: str, kinds: dict) -> list[tuple]:
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], {c: columns[c][order] for c in kinds}
-    return [(int(bucket[lo]), kind, hi - lo, pack({c: v[lo:hi] for c, v in columns.items()}, kinds)) for lo, hi in _runs(bucket)]
+def _described(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row a packet: ids, numbers of words, and the frequent keys by place and document."""
+    for p in packets(batches):
+        mask, place = p.hot(hot)
+        at = (place.astype(np.uint64) << _KEY | (p.keys[mask] & _DOC)).astype(np.uint32)
+        ids = pa.ListArray.from_arrays(pa.array([0, len(p.ids)], pa.int32()), p.ids)
+        words = pa.ListArray.from_arrays(pa.array([0, len(p.words)], pa.int32()), pa.array(p.words.astype(np.int64)))
+        yield pa.record_batch([pa.array([p.number]), ids, words, pa.array([int(mask.sum())]), pa.array([pack(_steps(at), p.counts[mask].astype(np.uint32))], pa.binary())], ["packet", "ids", "words", "size", "data"])
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["bucket", "kind", "size", "data"])
+def _postings(batches: Iterator[pa.RecordBatch], hot: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """A row a packet and bucket: the other keys; a bucket is a key's highest bits."""
+    for p in packets(batches):
+        mask, _ = p.hot(hot)
+        k, c = p.keys[~mask], p.counts[~mask]
+        cuts = np.append(np.searchsorted(k, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(k))
+        rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+        data = [pack(_steps(k[lo:hi]), c[lo:hi].astype(np.uint32)) for _, lo, hi in rows]
+        columns = [pa.array([b for b, _, _ in rows], pa.int32()), pa.array([p.number] * len(rows), pa.int64()), pa.array([hi - lo for _, lo, hi in rows], pa.int64()), pa.array(data, pa.binary())]
+        yield pa.record_batch(columns, ["bucket", "packet", "size", "data"])
 
 
 @dataclass(frozen=True)
-class Hot:
-    """Frequent words (sorted hashes; the id of words[i] is i + 1) and frequent bigrams (sorted pair_keys of hashes).
-
-    counts: by id, n and t, a word's occurrences in all documents and in the target, en and et, those at a document's end.
-    bi: n and t of the bigrams. total: tokens of both. size: number of all words, and one for words never seen.
-    """
-
-    words: np.ndarray
-    counts: dict
-    pairs: np.ndarray
-    bi: np.ndarray
-    total: tuple[int, int]
-    size: int
-    buckets: int
-
-    def unigram(self, n: np.ndarray, k: int) -> np.ndarray:
-        return (n + 1.0) / (self.total[k] + self.size)
-
-    def loss(self, k: int, bi, before: dict, after: dict) -> np.ndarray:
-        """Logarithms of P(after | before), as in Losses: what a context's bigrams leave are its occurrences at an end."""
-        n, e = BOTH[k]
-        return np.log((bi + (before[e] + PRIOR) * self.unigram(after[n], k)) / (before[n] + PRIOR))
-
-    def lookup(self, ids: np.ndarray, words: dict) -> dict:
-        """Counts of words by id; words has the rare ones."""
-        rare = ids >= RARE
-        out = {c: v[np.where(rare, START, ids).astype(np.int64)] for c, v in self.counts.items()}
-        if rare.any():
-            i = np.searchsorted(words["id"], ids[rare])
-            for c in out:
-                out[c][rare] = words[c][i]
-        return out
-
-
-class Hashes(dict):
-    """63-bit hash of a word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
-        return value
-
-
-class Ids(Hashes):
-    """Id of a word: its place among the frequent ones, or its hash with the highest bit set."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def __missing__(self, word: bytes) -> int:
-        h = np.uint64(super().__missing__(word))
-        i = int(np.searchsorted(self.words, h))
-        value = self[word] = i + 1 if i < len(self.words) and self.words[i] == h else int(h | RARE)
-        return value
-
-
-def _hashed(words: dict, found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-
-
-def _place(values: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of k in sorted values, and whether it is there."""
-    if not len(values):
-        return np.zeros(len(k), np.int64), np.zeros(len(k), bool)
-    i = np.minimum(np.searchsorted(values, k), len(values) - 1)
-    return i, values[i] == k
-
-
-def _count(batches: Iterator[pd.DataFrame], wanted: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    """Counts of words (pair false) and of the wanted bigrams (true); without wanted, of all bigrams and no words."""
-    hashes, held, tokens = Hashes(), {False: [], True: []}, 0
-
-    def summed():
-        for pair, parts in held.items():
-            if parts:
-                sizes = [len(k) for k, _ in parts]
-                target = np.repeat([t for _, t in parts], sizes)
-                end = np.zeros(len(target), bool)
-                end[np.cumsum(sizes) - 1] = True
-                unique, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                sums = {c: np.bincount(where, w, len(unique)).astype(np.int64) for c, w in (("n", None), ("t", target), ("en", end), ("et", end & target))}
-                yield pd.DataFrame({"pair": pair, "key": unique.view(np.int64)} | sums)
-                parts.clear()
-
+class Model:
+    """What losses need beside a key's own counts. scale: target tokens by background tokens. starts: documents with a word."""
+
+    vocabulary: int
+    scale: float
+    starts: tuple[int, int]
+
+    def gains(self, n, t, count, target, context) -> tuple[np.ndarray, np.ndarray]:
+        """By how much keys change the log-probability of a document that has them count times, in the target's and the background's model, against never seen keys.
+
+        n and t: a key's occurrences in all documents and in the target, this document's included.
+        """
+        prior = np.where(context, BETA * self.vocabulary, BETA)
+        sign = np.where(context, -count, count)
+        return sign * np.log1p((t - count * target) / prior), sign * np.log1p((n - count) * self.scale / prior)
+
+
+def _targets(words: list[int] | None) -> np.ndarray:
+    """Whether a packet's documents are in the target, from 64 bits a number."""
+    bits = np.array(words if words is not None and len(words) else [0] * (1 << DOC_BITS - 6), np.int64).astype("<i8")
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(np.int64)
+
+
+def _summed(doc: np.ndarray, t: np.ndarray, b: np.ndarray) -> tuple[int, bytes]:
+    t, b = np.bincount(doc, t), np.bincount(doc, b)
+    who = np.flatnonzero((t != 0) | (b != 0))
+    return len(who), pack(who.astype(np.uint16), t[who].astype(np.float32), b[who].astype(np.float32))
+
+
+def _count_bucket(table: pa.Table, model: Model) -> pa.Table:
+    """Counts a bucket's keys and sums up what they change, a row a packet."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("packet", "size", "data", "target")), strict=True))
+    every, counts, targets, cuts = [], [], [], np.cumsum([0, *(r[1] for r in rows)])
+    for _, size, data, target in rows:
+        step, c = unpack(data, size, "u8", "u4")
+        k = np.cumsum(step, dtype=np.uint64)
+        every.append(k)
+        counts.append(c.astype(np.int64))
+        targets.append(_targets(target)[(k & _DOC).astype(np.int64)])
+    key, count, target = np.concatenate(every), np.concatenate(counts), np.concatenate(targets)
+    del every, counts, targets
+    doc = (key & _DOC).astype(np.int64)
+    key >>= _KEY
+    order = np.argsort(key)
+    run = key[order]
+    at = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    sizes = np.diff(np.append(at, len(run)))
+    n = np.repeat(np.add.reduceat(count[order], at), sizes)
+    t = np.repeat(np.add.reduceat((count * target)[order], at), sizes)
+    shared = np.repeat(sizes > 1, sizes)
+    who = order[shared]
+    gains = np.zeros((2, len(key)))
+    gains[:, who] = model.gains(n[shared], t[shared], count[who], target[who], (key[who] & np.uint64(1)) == 1)
+    out = []
+    for (packet, *_), lo, hi in zip(rows, cuts[:-1], cuts[1:], strict=True):
+        size, data = _summed(doc[lo:hi], gains[0, lo:hi], gains[1, lo:hi])
+        if size:
+            out.append((packet, size, data))
+    names = (("packet", pa.int64()), ("size", pa.int64()), ("data", pa.binary()))
+    return pa.table([pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(names)], names=[c for c, _ in names])
+
+
+def _hot_counts(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Occurrences of the frequent keys in all documents and in the target, by place; the same of STARTS and TOKENS."""
+    n, t, starts, tokens = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(2, np.int64), np.zeros(2, np.int64)
     for pdf in batches:
-        for text, target in zip(pdf["text"], pdf["target"], strict=True):
-            h = _hashed(hashes, split(text))
-            k = pair_keys(h[:-1], h[1:])
-            if wanted is not None:
-                k = k[_place(wanted, k)[1]]
-                if len(h):
-                    held[False].append((h, bool(target)))
-            if len(k):
-                held[True].append((k, bool(target)))
-            tokens += len(h)
-            if tokens >= TOKENS_IN_PACKET:
-                yield from summed()
-                tokens = 0
-    yield from summed()
-
-
-def _postings(batches: Iterator[pd.DataFrame], hot: Hot) -> Iterator[pd.DataFrame]:
-    """Packets of documents' distinct bigrams, and of documents' sums over frequent bigrams, which are known here."""
-    ids, hashes = Ids(hot.words), np.concatenate([np.zeros(1, np.uint64), hot.words])
-    docs, held, tokens = [], [], 0
-
-    def packets() -> pd.DataFrame:
-        known = {c: np.array(v) for c, v in zip(("doc", "target", "tokens", "copies", "bg", "tg"), zip(*docs, strict=True), strict=True)}
-        at = np.repeat(np.arange(len(held), dtype=np.uint32), [len(a) for a, _, _ in held])
-        a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = _dealt(np.where(a >= RARE, a, np.where(b >= RARE, b, pair_keys(a, b))), hot.buckets)
-        order = np.argsort(bucket, kind="stable")
-        bucket, a, b, c, at = (x[order] for x in (bucket, a, b, c, at))
-        out = _packets(_dealt(known["doc"], hot.buckets), known, "sums", SUMS)
-        for lo, hi in _runs(bucket):
-            who, place = np.unique(at[lo:hi], return_inverse=True)
-            data = pack({"a": a[lo:hi], "b": b[lo:hi], "at": place, "c": c[lo:hi]}, POSTINGS) + pack({x: known[x][who] for x in DOCS}, DOCS)
-            out.append((int(bucket[lo]), "postings", hi - lo, data))
-        return _frame(out)
-
-    for pdf in batches:
-        for doc, text, target in zip(pdf["row"], pdf["text"], pdf["target"], strict=True):
-            if not (found := split(text)):
-                continue
-            t = _hashed(ids, found)
-            rare = t >= RARE
-            h = np.where(rare, t & ~RARE, hashes[np.where(rare, START, t).astype(np.int64)])
-            k, at, c = np.unique(pair_keys(h[:-1], h[1:]), return_index=True, return_counts=True)
-            a, b = t[:-1][at], t[1:][at]
-            i, known = _place(hot.pairs, k)
-            known &= (a < RARE) & (b < RARE)
-            before, after = hot.lookup(a[known], {}), hot.lookup(b[known], {})
-            sums = [float((hot.loss(j, hot.bi[j][i[known]], before, after) * c[known]).sum()) for j in range(2)]
-            a, b, c = a[~known], b[~known], c[~known]
-            if rare[0]:
-                a, b, c = np.append(a, START), np.append(b, t[0]), np.append(c, 1)
-            else:
-                sums = [x + float(np.log(hot.unigram(hot.counts[BOTH[j][0]][int(t[0])], j))) for j, x in enumerate(sums)]
-            docs.append((doc, bool(target), len(t), 1, *sums))
-            held.append((a, b, c))
-            tokens += len(t)
-            if tokens >= TOKENS_IN_PACKET:
-                yield packets()
-                docs, held, tokens = [], [], 0
-    if docs:
-        yield packets()
-
-
-def _rows(table: pa.Table) -> list[tuple]:
-    return list(zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "size", "data")), strict=True))
-
-
-def _summed_by_doc(parts: list[dict]) -> dict:
-    p = _joined(parts, SUMS)
-    who, i = np.unique(p["doc"], return_inverse=True)
-    return {"doc": who} | {c: np.bincount(i, p[c], len(who)).astype(k) for c, k in SUMS.items() if c != "doc"}
-
-
-def _losses(doc: np.ndarray, bg: np.ndarray, tg: np.ndarray) -> dict:
-    return {"doc": doc, "tokens": np.zeros(len(doc), np.int64), "copies": np.zeros(len(doc), np.int64), "bg": bg, "tg": tg}
-
-
-def _rare_words(rows: list[tuple]) -> dict:
-    words = _of(rows, "words", WORDS)
-    order = np.argsort(words["id"])
-    return {c: v[order] for c, v in words.items()}
-
-
-def _count_bucket(table: pa.Table, hot: Hot) -> pa.Table:
-    """Counts a bucket's bigrams. Packets of sums by document, and of the bigrams whose second word is rare as well as the first: its counts are in another bucket."""
-    rows, parts = _rows(table), []
-    for _, kind, n, data in rows:
-        if kind == "postings":
-            part, used = unpack(data, n, POSTINGS), n * sum(np.dtype(k).itemsize for k in POSTINGS.values())
-            docs = unpack(data[used:], (len(data) - used) // 9, DOCS)
-            parts.append(part | {c: v[part["at"]] for c, v in docs.items()})
-    p = _joined(parts, POSTINGS | DOCS)
-    words = _rare_words(rows)
-    _, i = np.unique(pair_keys(p["a"], p["b"]), return_inverse=True)
-    bi = [np.bincount(i, w)[i].astype(np.int64) if len(i) else i for w in (p["c"], p["c"] * p["target"])]
-    starts, later = p["a"] == START, (p["a"] >= RARE) & (p["b"] >= RARE)
-    before, after = hot.lookup(p["a"], words), hot.lookup(np.where(later, START, p["b"]), words)
-    now = ~starts & ~later
-    loss = []
-    for k in range(2):
-        n, _ = BOTH[k]
-        part = np.zeros(len(i))
-        part[now] = hot.loss(k, bi[k][now], {c: v[now] for c, v in before.items()}, {c: v[now] for c, v in after.items()})
-        part[starts] = np.log(hot.unigram(after[n][starts], k))
-        loss.append(part * p["c"])
-    done = _summed_by_doc([_of(rows, "sums", SUMS), _losses(p["doc"], *loss)])
-    left = {c: v[later] for c, v in {"b": p["b"], "doc": p["doc"], "c": p["c"], "n": bi[0], "t": bi[1]}.items()}
-    left |= {f"{c}_a": v[later] for c, v in before.items()}
-    out = _packets(_dealt(done["doc"], hot.buckets), done, "sums", SUMS) + _packets(_dealt(left["b"], hot.buckets), left, "open", OPEN)
-    names = (("bucket", pa.int32()), ("kind", pa.string()), ("size", pa.int32()), ("data", pa.binary()))
-    return pa.table([pa.array([r[j] for r in out], k) for j, (_, k) in enumerate(names)], names=[c for c, _ in names])
-
-
-def _close_bucket(table: pa.Table, hot: Hot) -> pa.Table:
-    """Sums by document, with the bigrams that were left open."""
-    rows = _rows(table)
-    p = _of(rows, "open", OPEN)
-    before, after = {c: p[f"{c}_a"] for c in hot.counts}, hot.lookup(p["b"], _rare_words(rows))
-    loss = [hot.loss(k, p[BOTH[k][0]], before, after) * p["c"] for k in range(2)]
-    return pa.table(_summed_by_doc([_of(rows, "sums", SUMS), _losses(p["doc"], *loss)]))
-
-
-def _choose(source: DataFrame, scratch: Scratch) -> tuple[Hot, DataFrame]:
-    """What is broadcast, and the table of the rare words: (key, n, t, en, et)."""
-    spark, schema = source.sparkSession, "pair boolean, key long, n long, t long, en long, et long"
-    sample = source.filter(F.pmod("row", F.lit(SAMPLE)) == 0).mapInPandas(lambda x: _count(x, None), schema)
-    sample = scratch.write(sample.groupBy("key").agg(F.sum("n").alias("n")), "sample")
-    some = sample.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = sample.filter((F.col("n") >= F.lit(HOT_PAIR * some)) & (F.col("n") > 3)).select("key").toPandas()
-    scratch.drop(sample)
-    sent = spark.sparkContext.broadcast(np.sort(often["key"].to_numpy(np.int64).view(np.uint64)))
-    counts = source.mapInPandas(lambda x: _count(x, sent.value), schema).groupBy("pair", "key")
-    counts = scratch.write(counts.agg(*(F.sum(c).alias(c) for c in ("n", "t", "en", "et"))), "counts")
-    words = counts.filter("not pair")
-    n, t, size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.count("*")).first()
-    hot = F.col("n") >= F.lit(HOT_WORD * n)
-
-    def sorted_rows(df: DataFrame) -> tuple[np.ndarray, dict]:
-        rows = df.toPandas()
-        keys = rows["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return keys[order], {c: rows[c].to_numpy(np.int64)[order] for c in ("n", "t", "en", "et")}
-
-    keys, known = sorted_rows(words.filter(hot))
-    pairs, bi = sorted_rows(counts.filter("pair"))
-    known = {c: np.concatenate([np.zeros(1, np.int64), v]) for c, v in known.items()}
-    buckets = max(LEAST_BUCKETS, -(-n // TOKENS_IN_BUCKET))
-    return Hot(keys, known, pairs, np.stack([bi["n"], bi["t"]]), (n, t), size + 1, buckets), words.filter(~hot)
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, loss_target, loss_background, score) of every row of docs (doc_id, text, target), whole texts.
-
-    target says which rows form the target corpus, all rows form the background. Null texts and texts without words have
-    n_tokens 0 and null losses and score. Sums are added in the order in which packets come, so last digits may differ.
+        for count, data, words, bits in zip(pdf["size"], pdf["data"], pdf["words"], pdf["target"], strict=True):
+            step, c = unpack(data, count, "u4", "u4")
+            at, target = np.cumsum(step, dtype=np.uint32), _targets(bits)
+            place = (at >> np.uint32(DOC_BITS)).astype(np.int64)
+            n += np.bincount(place, c, size).astype(np.int64)
+            t += np.bincount(place, c * target[at & np.uint32(_DOC)], size).astype(np.int64)
+            words = np.asarray(words, np.int64)
+            starts += [(words > 0).sum(), (words > 0) @ target[: len(words)]]
+            tokens += [words.sum(), words @ target[: len(words)]]
+    some = np.flatnonzero(n)
+    yield pd.DataFrame({"place": [*some, STARTS, TOKENS], "n": [*n[some], starts[0], tokens[0]], "t": [*t[some], starts[1], tokens[1]]})
+
+
+def _finish(table: pa.Table, model: Model, hot: np.ndarray, n: np.ndarray, t: np.ndarray) -> pa.Table:
+    """Losses of a packet's documents, from the packet's own row and the sums of the buckets."""
+    rows = table.to_pylist()
+    own = next((r for r in rows if r["words"] is not None), None)
+    if own is None or sum(r["words"] is not None for r in rows) > 1:
+        raise ValueError("the documents were not read as before: write the input to a table first")
+    words, target = np.array(own["words"], np.int64), _targets(own["target"])[: len(own["words"])]
+    sums = np.zeros((2, len(words)))
+    for r in rows:
+        if r is not own:
+            who, a, b = unpack(r["data"], r["size"], "u2", "f4", "f4")
+            sums[0, who] += a
+            sums[1, who] += b
+    step, c = unpack(own["data"], own["size"], "u4", "u4")
+    at = np.cumsum(step, dtype=np.uint32)
+    place, doc, c = (at >> np.uint32(DOC_BITS)).astype(np.int64), (at & np.uint32(_DOC)).astype(np.int64), c.astype(np.int64)
+    for k, gain in enumerate(model.gains(n[place], t[place], c, target[doc], (hot[place] & np.uint64(1)) == 1)):
+        sums[k] += np.bincount(doc, gain, len(words))
+    for k, gain in enumerate(model.gains(model.starts[0], model.starts[1], np.ones(len(words)), target, np.ones(len(words), bool))):
+        sums[k] += gain
+    with np.errstate(all="ignore"):
+        loss = np.log(model.vocabulary) - sums / words
+    none = words == 0
+    columns = [pa.array(own["ids"], pa.int64()), pa.array(words), *(pa.array(x, pa.float64(), mask=none) for x in (loss[0], loss[1]))]
+    return pa.table([*columns, pc.subtract(columns[2], columns[3])], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+
+def vocabulary_size(docs: DataFrame) -> int:
+    """Number of distinct words to within about a percent, and one for words never seen; it only sets the smoothing."""
+    return docs.select("text").mapInArrow(_vocabulary, "word long").agg(F.approx_count_distinct("word", 0.01)).first()[0] + 1
+
+
+def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, loss_target, loss_background, score) of every row of docs (doc_id, text), whole texts.
+
+    target: ids (doc_id) of the target corpus; all rows form the background. Null texts and texts without words have n_tokens
+    0 and null losses and score. Equal rows are documents of their own, of which each counts for the others; repeated ids are
+    in the target together, null ids never. Without a target, or without documents, scores are 0 or there are no rows. Texts
+    of any length are read whole. Other columns are not read.
+
+    docs is read several times and must be a table or files: rows that came in other partitions the next time are an error.
     """
     spark = docs.sparkSession
     importable(spark)
-    row = F.xxhash64("doc_id", "text")
-    source = docs.select(row.alias("row"), "text", F.coalesce("target", F.lit(False)).alias("target"))
-    hot, rare = _choose(source, Scratch(spark))
-    sent = spark.sparkContext.broadcast(hot)
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            columns = {"id": pdf["key"].to_numpy(np.int64).view(np.uint64) | RARE} | {c: pdf[c].to_numpy(np.int64) for c in ("n", "t", "en", "et")}
-            yield _frame(_packets(_dealt(columns["id"], sent.value.buckets), columns, "words", WORDS))
-
-    words = rare.mapInPandas(packed, PACKET)
-    met = source.mapInPandas(lambda x: _postings(x, sent.value), PACKET).unionByName(words)
-    met = met.groupBy("bucket").applyInArrow(lambda x: _count_bucket(x, sent.value), PACKET).unionByName(words)
-    sums = met.groupBy("bucket").applyInArrow(lambda x: _close_bucket(x, sent.value), "doc long, tokens long, copies long, bg double, tg double")
-    sums = sums.groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("tokens", "copies", "bg", "tg")))
-    # Equal rows have one sum between them.
-    out = docs.select("doc_id", row.alias("row")).join(sums.withColumnRenamed("doc", "row"), "row", "left")
-    out = out.withColumns({"loss_target": -F.col("tg") / F.col("tokens"), "loss_background": -F.col("bg") / F.col("tokens")})
-    n_tokens = F.coalesce((F.col("tokens") / F.col("copies")).cast("long"), F.lit(0).cast("long"))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens.alias("n_tokens"), "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+    scratch = Scratch(spark)
+    source = docs.select(F.col("doc_id").cast("long"), "text")
+    vocabulary = vocabulary_size(source)
+    some = source.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).mapInArrow(_frequent, "key long, n long")
+    some = scratch.write(some.groupBy("key").agg(F.sum("n").alias("n")), "sample")
+    sampled = some.filter("key is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = some.filter(F.col("key").isNotNull() & (F.col("n") >= F.lit(HOT * sampled)) & (F.col("n") > 3)).select("key").toPandas()
+    hot = np.sort(often["key"].to_numpy(np.int64).astype(np.uint64))
+    hot_keys = spark.sparkContext.broadcast(hot)
+    described = scratch.write(source.mapInArrow(lambda x: _described(x, hot_keys.value), "packet long, ids array<long>, words array<long>, size long, data binary"), "packets")
+
+    place = F.posexplode("ids").alias("at", "doc_id")
+    found = described.select("packet", place).join(target.select("doc_id").distinct(), "doc_id", "left_semi")
+    targets = found.groupBy("packet", F.shiftright("at", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("b"))
+    by_place = F.map_from_entries(F.collect_list(F.struct("k", "b")))
+    targets = targets.groupBy("packet").agg(by_place.alias("m"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit((1 << DOC_BITS - 6) - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")))
+    targets = scratch.write(targets.select("packet", whole.alias("target")), "targets")
+    targets = F.broadcast(targets) if described.count() <= BROADCAST_PACKETS else targets
+    own = described.join(targets, "packet", "left")
+    sums = own.mapInPandas(lambda x: _hot_counts(x, len(hot_keys.value)), "place long, n long, t long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()
+    total = {r.place: (r.n, r.t) for r in sums[sums["place"] < 0].itertuples()}
+    known, inner = np.zeros((2, len(hot)), np.int64), sums[sums["place"] >= 0]
+    known[:, inner["place"].to_numpy(np.int64)] = inner[["n", "t"]].to_numpy(np.int64).T
+    n, t = total.get(TOKENS, (0, 0))
+    model = Model(vocabulary, t / n if n else 0.0, tuple(int(x) for x in total.get(STARTS, (0, 0))))
+    counts = spark.sparkContext.broadcast(known)
+    bits = max(int(math.log2(LEAST_BUCKETS)), math.ceil(math.log2(max(n, 1) / TOKENS_IN_BUCKET)))
+
+    cold = source.mapInArrow(lambda x: _postings(x, hot_keys.value, bits), "bucket int, packet long, size long, data binary")
+    part = cold.join(targets, "packet", "left").groupBy("bucket").applyInArrow(lambda x: _count_bucket(x, model), "packet long, size long, data binary")
+    every = own.unionByName(part, allowMissingColumns=True).groupBy("packet")
+    return every.applyInArrow(lambda x: _finish(x, model, hot_keys.value, *counts.value), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
 def lm_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The target corpus is what the labels call good (quality 1, not toxic)."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
-    return score(docs.select("doc_id", "text").join(good, "doc_id", "left"))
+    return score(docs, labels.filter("quality = 1 and coalesce(toxic, 0) = 0"))
