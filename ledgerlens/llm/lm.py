@@ -43,7 +43,7 @@ HOT = 2e-6
 SAMPLE = 16
 #: Documents and tokens that are packed together; tokens of a bucket on average.
 DOC_BITS = 12
-TOKENS_IN_PACKET, TOKENS_IN_BUCKET = 2_000_000, 2_000_000
+TOKENS_IN_PACKET, TOKENS_IN_BUCKET = 1_000_000, 1_500_000
 LEAST_BUCKETS = 64
 #: Most packets whose targets are broadcast (at most 1 kB each); with more they are joined.
 BROADCAST_PACKETS = 20_000
@@ -127,7 +127,9 @@ def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[Packet]:
         number = xxhash.xxh3_64(w.tobytes())
         for x in (n.tobytes(), names.fill_null(-1).to_numpy().tobytes(), f"{where} {nth}".encode()):
             number.update(x)
-        both = np.concatenate(keys(w, n))
+        del w
+        both = np.concatenate(keys(np.concatenate(parts), n))
+        parts.clear()
         both.sort()
         return Packet(number.intdigest() >> 1, names, n, *counted(both))
 

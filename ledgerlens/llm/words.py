@@ -75,7 +75,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.diff(np.searchsorted(starts, at))
 
 
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def hashed_parts(column: pa.Array):
