@@ -11,71 +11,66 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
+from .words import finish, hashed_parts
 
 SHINGLE = 5
 PERCENT = 75
 #: A pair of similarity 0.75 shares a key of a collection with 1 - (1 - 0.75^4)^24 = 0.9999, so it is found with 0.9998.
 ROWS, COLLECTION = 4, 24
-#: 4 bits of the first 96 minhashes are compared before full sets are: at similarity 0.75, 73.5 of them agree on average
-#: with a deviation of 4.2, so fewer than 57 do in 1 of 20,000 pairs; at 0.5 it is 51, at 0.33 it is 36.
+#: 4 bits of every minhash make a sketch, 16 of them a long; sketches are compared before full sets are. Of the first 96, a
+#: pair of similarity 0.75 agrees in 73.5 on average with a deviation of 4.2, so in fewer than 57 once in 20,000 pairs; of all
+#: 192 in 147 with a deviation of 5.9, so in fewer than 123 once in 20,000 pairs. At similarity 0.5 these are 51 and 102.
 SKETCH, SKETCH_AGREE = 96, 57
+WHOLE, WHOLE_AGREE = 2 * COLLECTION * ROWS, 123
 #: Rounds in which a bucket is compared with one leader, before its remaining pairs are.
 LEADER_ROUNDS = 3
-CACHE_WORDS = 400_000
-CELLS = 1 << 20
+#: Nodes of one key that are compared with each other, or with as many others, in one go.
+BLOCK = 512
+CELLS = 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_seeds = np.random.default_rng(20240501).integers(0, 2**63, size=(2, 2 * COLLECTION * ROWS), dtype=np.uint64)
-_MUL, _ADD = _seeds[0] * np.uint64(2) + np.uint64(1), _seeds[1]
+_seeds = np.random.default_rng(20240501).integers(0, 2**31, size=(2, WHOLE), dtype=np.uint32)
+_MUL, _ADD = _seeds[0] * np.uint32(2) + np.uint32(1), _seeds[1]
+_NIBBLES = 0x1111111111111111
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; the cache starts anew when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _finish(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_set(text: str | None, words: WordHashes) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct 5-word shingles of the whole text (A-Z lower-cased, ASCII white space).
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct 5-word shingles (A-Z lower-cased, ASCII white space), whole texts.
 
     A text of fewer words is one shingle, a text without words has none.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(found)
-    if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(words.__getitem__, found), np.uint64, n)
-    k = min(SHINGLE, n)
-    h = np.full(n - k + 1, np.uint64(k))
-    for i in range(k):
-        h = _finish(h + w[i : n - k + 1 + i] * _MIX)
-    return np.unique(h)
+    with np.errstate(over="ignore"):
+        for _, _, w, counts in hashed_parts(column):
+            w, at = w * _MIX, 0
+            size = max(0, len(w) - SHINGLE + 1)
+            h = np.full(size, np.uint64(SHINGLE))
+            for i in range(SHINGLE):
+                h = finish(h + w[i : i + size])
+            for n in counts.tolist():
+                if n >= SHINGLE:
+                    yield np.unique(h[at : at + n - SHINGLE + 1])
+                else:
+                    one = np.full(min(n, 1), np.uint64(n))
+                    for i in range(n):
+                        one = finish(one + w[at + i])
+                    yield one
+                at += n
 
 
 def signature(s: np.ndarray) -> np.ndarray:
     """The minhashes of a non-empty set, in slices of bounded size."""
-    low = None
+    low, s = None, s.astype(np.uint32)
     step = max(1, CELLS // len(_MUL))
     for at in range(0, len(s), step):
         part = (s[None, at : at + step] * _MUL[:, None] + _ADD[:, None]).min(axis=1)
         low = part if low is None else np.minimum(low, part)
-    return low
+    return low.astype(np.uint64)
 
 
 def _keys(mins: np.ndarray) -> np.ndarray:
@@ -83,13 +78,13 @@ def _keys(mins: np.ndarray) -> np.ndarray:
     m = mins.reshape(2 * COLLECTION, ROWS)
     h = np.arange(2 * COLLECTION, dtype=np.uint64)
     for r in range(ROWS):
-        h = _finish(h * _MIX + m[:, r])
+        h = finish(h * _MIX + m[:, r])
     return h.astype(np.int64).reshape(2, COLLECTION)
 
 
 def _sketch(mins: np.ndarray) -> np.ndarray:
-    """The lowest 4 bits of the first minhashes, 16 to a long."""
-    bits = (mins[:SKETCH].reshape(-1, 16) >> np.uint64(17)) & np.uint64(15)
+    """4 low bits of the minhashes, 16 to a long."""
+    bits = (mins.reshape(-1, 16) >> np.uint64(5)) & np.uint64(15)
     return np.bitwise_or.reduce(bits << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).astype(np.int64)
 
 
@@ -104,30 +99,31 @@ def _agree(x: str, y: str):
     return wrong <= SKETCH - SKETCH_AGREE
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = WordHashes()
+def _node(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lists, kinds = pa.list_(pa.int64()), (pa.int64(), pa.int64())
     with np.errstate(over="ignore"):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for doc_id, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
-                s = shingle_set(text, words)
+            for s in shingle_sets(batch.column("text")):
                 if len(s):
                     mins = signature(s)
-                    a, b = _keys(mins)
-                    node = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
-                    out.append((doc_id, row, len(s), node, a, b, _sketch(mins)))
+                    out.append((len(s), _node(s), *_keys(mins), _sketch(mins)))
                 else:
-                    out.append((doc_id, row, 0, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "row", "n", "node", "a", "b", "sketch"])
+                    out.append((0, None, None, None, None))
+            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((*kinds, lists, lists, lists))]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), *columns], ["doc_id", "row", "n", "node", "a", "b", "sketch"])
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = WordHashes()
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                sets = [shingle_set(t, words) for t in pdf["text"][at : at + 256]]
-                yield pd.DataFrame({"node": [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets], "shingles": [s.astype(np.int64) for s in sets]})
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                sets = list(shingle_sets(batch.column("text").slice(at, 256)))
+                yield pa.record_batch([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,74 +144,130 @@ def _buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
     A table's key needs an A key and a B key that another document has too, so only those are paired.
     """
-    shared = {}
+    shared, tables = {}, []
     for c in ("a", "b"):
         rows = scratch.write(nodes.select("node", F.explode(c).alias("key")), c)
+        tables.append(rows)
         again = rows.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
         shared[c] = rows.join(again, "key", "left_semi").withColumnRenamed("key", c)
     rows = scratch.write(shared["a"].join(shared["b"], "node").select(F.xxhash64("a", "b").alias("bucket"), "node"), "tables")
     again = rows.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
     kept = rows.join(again, "bucket", "left_semi")
-    return scratch.write(kept.join(nodes.select("node", "n", "sketch"), "node"), "buckets")
+    first = F.slice("sketch", 1, SKETCH // 16).alias("sketch")
+    found = scratch.write(kept.join(nodes.select("node", "n", first), "node"), "buckets")
+    for table in (*tables, rows):
+        scratch.drop(table)
+    return found
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal lengths as rows."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Pairs of one block, or of two, of nodes with a common A key that sizes and sketches allow, each pair at its first common key."""
+    key, p, q = (table.column(c)[0].as_py() for c in ("key", "p", "q"))
+    node, comp, n, mine = (table.column(c).to_numpy() for c in ("node", "comp", "n", "mine"))
+    a, sketch = _matrix(table.column("a")), _matrix(table.column("sketch")).view(np.uint64)
+    left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
+    place = int(np.argmax(a[left[0]] == key)) if len(left) else 0
+    pairs = [np.zeros((2, 0), np.int64)]
+    for at in range(0, len(left), 64):
+        i = left[at : at + 64]
+        wrong = np.zeros((len(i), len(right)), np.int64)
+        for k in range(sketch.shape[1]):
+            z = sketch[i, k][:, None] ^ sketch[right, k][None, :]
+            z |= z >> np.uint64(1)
+            z |= z >> np.uint64(2)
+            wrong += np.bitwise_count(z & np.uint64(_NIBBLES))
+        small, large = np.minimum(n[i][:, None], n[right][None, :]), np.maximum(n[i][:, None], n[right][None, :])
+        x, y = np.nonzero((wrong <= WHOLE - WHOLE_AGREE) & (small * 100 >= large * PERCENT) & (comp[i][:, None] != comp[right][None, :]))
+        x, y = i[x], right[y]
+        once = ~(a[x, :place] == a[y, :place]).any(axis=1)
+        if p == q:
+            once &= node[x] > node[y]
+        pairs.append(np.stack([node[x[once]], node[y[once]]]))
+    x, y = np.concatenate(pairs, axis=1)
+    return pa.table({"key": pa.array([key] * len(x), pa.int64()), "p": pa.array([p] * len(x), pa.int32()), "q": pa.array([q] * len(x), pa.int32()), "x": pa.array(x), "y": pa.array(y)})
+
+
+def _confirmed(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Links among the pairs of a block, decided on the full sets."""
+    shingles = {k: v for k, v in zip(sets.column("node").to_numpy(), (x.values.to_numpy() for x in sets.column("shingles")), strict=True)}
+    x, y = pairs.column("x").to_numpy(), pairs.column("y").to_numpy()
+    good, order = [], np.argsort(x)
+    for part in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(x) else []:
+        own = np.sort(shingles[x[part[0]]])
+        for at in range(0, len(part), 64):
+            others = [shingles[v] for v in y[part[at : at + 64]]]
+            sizes, every = np.array([len(o) for o in others]), np.concatenate(others)
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            good.append(part[at : at + 64][common * 100 >= PERCENT * (len(own) + sizes - common)])
+    good = np.concatenate(good) if good else np.zeros(0, np.int64)
+    return pa.table({"u": pa.array(x[good], pa.int64()), "v": pa.array(y[good], pa.int64())})
 
 
 def _rest(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (x, y) of nodes of different components that share a table and may be linked.
+    """Links (u, v) between nodes of different components that share an A key.
 
-    Two nodes share a table when they share an A key and a B key. They meet at every A key they share, and count only at the
-    least of them, so that no pair is made twice. 32-bit hashes of the full sets travel along and decide inside the join: a
-    common shingle has a common hash, and hashes that fell together in both sets are added, so the overlap is never put too
-    low, and only pairs at or above the threshold leave the join. A key whose nodes are of one component is left out.
+    The nodes of a key are split into blocks of BLOCK, those of its largest component apart from all others; blocks of the
+    others are compared with every block, so that a component of any size costs one comparison with each node outside it.
+    A pair counts only at the first A key it shares. Sizes and whole sketches choose pairs; the full sets then go to the
+    blocks that have a pair of theirs, once each, and decide.
     """
-    small = sets.select("node", F.array_distinct(F.transform("shingles", lambda s: F.hash(s))).alias("h"))
-    found = rows.select("node", "comp").distinct().join(nodes.select("node", "n", "a", "b", "sketch"), "node").join(small, "node")
-    found = scratch.write(found, "rest")
-    keys = found.select("node", "comp", F.explode("a").alias("key"))
-    mixed = keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    keyed = found.select("*", F.explode("a").alias("key")).join(mixed, "key", "left_semi")
-    side = lambda s: keyed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in found.columns))
-    cheap = (F.col("node_x") > F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & _fits("n_x", "n_y") & _agree("sketch_x", "sketch_y")
-    once = (F.array_min(F.array_intersect("a_x", "a_y")) == F.col("key")) & F.arrays_overlap("b_x", "b_y")
-    fallen = F.least(F.col("n_x") - F.size("h_x"), F.col("n_y") - F.size("h_y"))
-    overlap = F.size(F.array_intersect("h_x", "h_y")) + fallen
-    near = overlap * (100 + PERCENT) >= PERCENT * (F.col("n_x") + F.col("n_y"))
-    return side("x").join(side("y"), "key").filter(cheap & once & near).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
+    found = scratch.write(rows.select("node", "comp").distinct().join(nodes.select("node", "n", "a", "sketch"), "node"), "rest")
+    keyed = found.select("node", "comp", F.explode("a").alias("key"))
+    by_comp = keyed.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = by_comp.filter("comps > 1").select("key", F.col("top.comp").alias("most"), blocks(F.col("all") - F.col("top.k")).alias("few"), blocks(F.col("top.k")).alias("many"))
+    placed = found.withColumn("key", F.explode("a")).join(mixed, "key")
+    hashed, outside = F.xxhash64("node"), F.col("comp") != F.col("most")
+    placed = placed.withColumn("mine", F.when(outside, F.pmod(hashed, F.col("few"))).otherwise(F.col("few") + F.pmod(hashed, F.col("many"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(outside, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1))
+    placed = placed.withColumn("other", other).select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "comp", "n", "a", "sketch")
+    pairs = placed.groupBy("key", "p", "q").applyInArrow(_candidates, "key long, p int, q int, x long, y long")
+    pairs = scratch.write(pairs, "candidates")
+    wanted = pairs.select("key", "p", "q", F.explode(F.array("x", "y")).alias("node")).distinct().join(sets, "node")
+    wanted = wanted.toDF("node", "in_key", "in_p", "in_q", "shingles")
+    return pairs.groupBy("key", "p", "q").cogroup(wanted.groupBy("in_key", "in_p", "in_q")).applyInArrow(_confirmed, "u long, v long")
 
 
 def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Confirmed links (u, v) that connect all nodes which any chain of links in the buckets connects.
 
-    Round by round each bucket picks one leader by hash, and only members of other components are compared with it, so a
-    group of g near copies costs g comparisons a round instead of g^2. What several components still share a bucket with
-    is compared pair by pair, in `_rest`. A pair goes to the full sets only if sizes allow a link and the sketches agree.
-    Nothing is capped.
+    Round by round each bucket picks one leader by hash, which is compared with the members of other components and then
+    leaves the bucket, so a group of g near copies costs g comparisons a round instead of g^2, and small buckets are done
+    with after a few rounds. What several components still share a bucket with is compared pair by pair, in `_rest`. A pair
+    goes to the full sets only if sizes allow a link and the sketches agree. Nothing is capped.
     """
     links, tested = None, None
     rows = rows.withColumn("comp", F.col("node"))
     for t in range(LEADER_ROUNDS):
         lead = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "comp", "n", "sketch"), F.xxhash64(F.lit(t), "node")).alias("z"))
         lead = lead.select("bucket", F.col("z.node").alias("node_z"), F.col("z.comp").alias("comp_z"), F.col("z.n").alias("n_z"), F.col("z.sketch").alias("sketch_z"))
-        pairs = rows.join(lead, "bucket").filter(F.col("comp") != F.col("comp_z")).filter(_fits("n", "n_z") & _agree("sketch", "sketch_z"))
+        met = rows.join(lead, "bucket")
+        pairs = met.filter(F.col("comp") != F.col("comp_z")).filter(_fits("n", "n_z") & _agree("sketch", "sketch_z"))
         pairs = pairs.select(F.greatest("node", "node_z").alias("x"), F.least("node", "node_z").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         done = scratch.write(_verify(pairs, sets), "verified")
         tested = done.select("x", "y") if tested is None else tested.unionByName(done.select("x", "y"))
         good = done.filter("link").select(F.col("x").alias("u"), F.col("y").alias("v"))
-        if t and not good.take(1):
-            continue
-        links = good if links is None else links.unionByName(good)
-        comp = components(links, scratch).distinct().select("node", F.col("component").alias("comp"))
-        named = rows.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        named = scratch.write(named, "named")
+        left = met.filter("node <> node_z").select(*rows.columns)
+        if not t or good.take(1):
+            links = good if links is None else links.unionByName(good)
+            comp = components(links, scratch).distinct().select("node", F.col("component").alias("comp"))
+            left = left.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = scratch.write(left, "named")
         mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
         rows = scratch.write(named.join(mixed, "bucket", "left_semi"), "open")
         scratch.drop(named)
         if not rows.take(1):
             return links
-    pairs = _rest(rows, nodes, sets, scratch)
-    good = _verify(pairs.join(tested, ["x", "y"], "left_anti"), sets).filter("link").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    return scratch.write(links.unionByName(good), "links")
+    return scratch.write(links.unionByName(_rest(rows, nodes, sets, scratch)), "links")
 
 
 def near_duplicates(docs: DataFrame, root: bool = False) -> DataFrame:
@@ -227,15 +279,14 @@ def near_duplicates(docs: DataFrame, root: bool = False) -> DataFrame:
     With root there is a last column, the group's node, null for documents without words.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("string"), row_key().alias("row"), "text")  # pandas would turn ids with nulls to doubles
-    schema = "doc_id string, row long, n long, node long, a array<long>, b array<long>, sketch array<long>"
-    signed = scratch.write(rows.mapInPandas(_sign, schema).withColumns({"doc_id": F.col("doc_id").cast("long"), "node": F.when(F.col("n") > 0, F.col("node"))}), "signed")
+    rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), "text")
+    signed = scratch.write(rows.mapInArrow(_sign, "doc_id long, row long, n long, node long, a array<long>, b array<long>, sketch array<long>"), "signed")
     members = signed.select("doc_id", "row", "n", "node")
     nodes = scratch.write(signed.filter("node is not null").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("row", F.struct("doc_id", "row")).alias("row"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("sketch").alias("sketch")), "nodes")
     buckets = _buckets(nodes, scratch)
     wanted = buckets.select("node").distinct().join(nodes.select("node", "row"), "node").select("row", "node")
     texts = rows.select("row", "text").join(wanted.select("row").distinct(), "row", "left_semi")
-    sets = scratch.write(texts.mapInPandas(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    sets = scratch.write(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
     links = _links(buckets, nodes, sets, scratch)
     group = components(links, scratch).distinct().withColumnRenamed("component", "root")
     named = nodes.select("node", "doc_id").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -467,3 +467,27 @@ def test_word_hashes_of_all_texts():
             assert list(n) == [len(x) for x in want]
             assert all(seen.setdefault(w, h) == h for w, h in zip(itertools.chain(*want), hashes, strict=True))
     assert len(set(seen.values())) == len(seen)
+
+
+def test_minhash_rest_in_blocks(spark, monkeypatch):
+    """Pairs that leaders leave, over several blocks of a key: those at the threshold or above, and no others."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(90)] = f"e{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(copy), "en", "a", 1))
+    data = spark.createDataFrame(rows, SCHEMA)
+    scratch = Scratch(spark)
+    signed = scratch.write(data.select("doc_id", F.col("doc_id").alias("row"), "text").mapInArrow(minhash._sign, "doc_id long, row long, n long, node long, a array<long>, b array<long>, sketch array<long>"), "signed")
+    sets = scratch.write(data.select("text").mapInArrow(minhash._sets, "node long, shingles array<long>"), "sets")
+    comp = F.when(F.col("doc_id") < 25, F.lit(0).cast("long")).otherwise(F.col("node"))  # one component, and single nodes
+    got = minhash._rest(signed.withColumn("comp", comp), signed, sets, scratch).collect()
+    ids = {r.node: r.doc_id for r in signed.collect()}
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(86)} for _, t, *_ in rows]
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if b >= 25 and 100 * len(shingles[a] & shingles[b]) >= 75 * len(shingles[a] | shingles[b])}
+    found = [tuple(sorted((ids[r.u], ids[r.v]))) for r in got]
+    assert len(found) == len(set(found)) and set(found) == want and want
