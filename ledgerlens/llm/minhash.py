@@ -166,14 +166,13 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs of one block, or of two, of nodes with a common A key that sizes and sketches allow, each pair at its first common key."""
+def _compared(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """A row and the rows it may be linked with, of one block or of two: nodes with a common A key that sizes and whole sketches allow, each pair at its first common key."""
     key, p, q = (table.column(c)[0].as_py() for c in ("key", "p", "q"))
     node, comp, n, mine = (table.column(c).to_numpy() for c in ("node", "comp", "n", "mine"))
     a, sketch = _matrix(table.column("a")), _matrix(table.column("sketch")).view(np.uint64)
     left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-    place = int(np.argmax(a[left[0]] == key)) if len(left) else 0
-    pairs = [np.zeros((2, 0), np.int64)]
+    place = int(np.argmax(a[0] == key))
     for at in range(0, len(left), 64):
         i = left[at : at + 64]
         wrong = np.zeros((len(i), len(right)), np.int64)
@@ -183,40 +182,59 @@ def _candidates(table: pa.Table) -> pa.Table:
             z |= z >> np.uint64(2)
             wrong += np.bitwise_count(z & np.uint64(_NIBBLES))
         small, large = np.minimum(n[i][:, None], n[right][None, :]), np.maximum(n[i][:, None], n[right][None, :])
-        x, y = np.nonzero((wrong <= WHOLE - WHOLE_AGREE) & (small * 100 >= large * PERCENT) & (comp[i][:, None] != comp[right][None, :]))
-        x, y = i[x], right[y]
-        once = ~(a[x, :place] == a[y, :place]).any(axis=1)
-        if p == q:
-            once &= node[x] > node[y]
-        pairs.append(np.stack([node[x[once]], node[y[once]]]))
-    x, y = np.concatenate(pairs, axis=1)
-    return pa.table({"key": pa.array([key] * len(x), pa.int64()), "p": pa.array([p] * len(x), pa.int32()), "q": pa.array([q] * len(x), pa.int32()), "x": pa.array(x), "y": pa.array(y)})
-
-
-def _confirmed(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """Links among the pairs of a block, decided on the full sets."""
-    shingles = {k: v for k, v in zip(sets.column("node").to_numpy(), (x.values.to_numpy() for x in sets.column("shingles")), strict=True)}
-    x, y = pairs.column("x").to_numpy(), pairs.column("y").to_numpy()
-    good, order = [], np.argsort(x)
-    for part in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(x) else []:
-        own = np.sort(shingles[x[part[0]]])
-        for at in range(0, len(part), 64):
-            others = [shingles[v] for v in y[part[at : at + 64]]]
-            sizes, every = np.array([len(o) for o in others]), np.concatenate(others)
-            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
-            good.append(part[at : at + 64][common * 100 >= PERCENT * (len(own) + sizes - common)])
-    good = np.concatenate(good) if good else np.zeros(0, np.int64)
-    return pa.table({"u": pa.array(x[good], pa.int64()), "v": pa.array(y[good], pa.int64())})
+        may = (wrong <= WHOLE - WHOLE_AGREE) & (small * 100 >= large * PERCENT) & (comp[i][:, None] != comp[right][None, :])
+        for x, row in zip(i, may, strict=True):
+            y = right[row]
+            y = y[~(a[x, :place] == a[y, :place]).any(axis=1)]
+            if p == q:
+                y = y[node[x] > node[y]]
+            if len(y):
+                yield x, y
+
+
+def _wanted(table: pa.Table) -> pa.Table:
+    """The nodes of a block, or of two, that have something to compare."""
+    some = np.zeros(len(table), bool)
+    for x, y in _compared(table):
+        some[x] = some[y] = True
+    return table.filter(pa.array(some)).select(["key", "p", "q", "node"])
+
+
+def _confirmed(table: pa.Table, sets: pa.Table) -> pa.Table:
+    """Links of a block, or of two, decided on the full sets; of links that close a circle one is left out."""
+    u, v, root = [], [], {}
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = root.get(up, up)
+            k = up
+        return k
+
+    if len(table) and len(sets):
+        node = table.column("node").to_numpy()
+        shingles = dict(zip(sets.column("node").to_numpy(), (x.values.to_numpy() for x in sets.column("shingles")), strict=True))
+        for x, found in _compared(table):
+            own = np.sort(shingles[node[x]])
+            for at in range(0, len(found), 64):
+                others = [shingles[k] for k in node[found[at : at + 64]]]
+                sizes, every = np.array([len(o) for o in others]), np.concatenate(others)
+                hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+                for k in node[found[at : at + 64][common * 100 >= PERCENT * (len(own) + sizes - common)]].tolist():
+                    if (i := find(int(node[x]))) != (j := find(k)):
+                        root[i] = j
+                        u.append(int(node[x]))
+                        v.append(k)
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _rest(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between nodes of different components that share an A key.
+    """Links (u, v) between nodes of different components that share an A key: of all such links, enough to connect the same nodes.
 
     The nodes of a key are split into blocks of BLOCK, those of its largest component apart from all others; blocks of the
     others are compared with every block, so that a component of any size costs one comparison with each node outside it.
-    A pair counts only at the first A key it shares. Sizes and whole sketches choose pairs; the full sets then go to the
-    blocks that have a pair of theirs, once each, and decide.
+    A pair counts only at the first A key it shares. Sizes and whole sketches choose pairs, which are never rows: a first
+    pass gives the nodes that have any, their full sets go to the blocks, once each, and decide in a second pass.
     """
     found = scratch.write(rows.select("node", "comp").distinct().join(nodes.select("node", "n", "a", "sketch"), "node"), "rest")
     keyed = found.select("node", "comp", F.explode("a").alias("key"))
@@ -228,11 +246,10 @@ def _rest(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch)
     placed = placed.withColumn("mine", F.when(outside, F.pmod(hashed, F.col("few"))).otherwise(F.col("few") + F.pmod(hashed, F.col("many"))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.when(outside, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1))
     placed = placed.withColumn("other", other).select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "comp", "n", "a", "sketch")
-    pairs = placed.groupBy("key", "p", "q").applyInArrow(_candidates, "key long, p int, q int, x long, y long")
-    pairs = scratch.write(pairs, "candidates")
-    wanted = pairs.select("key", "p", "q", F.explode(F.array("x", "y")).alias("node")).distinct().join(sets, "node")
-    wanted = wanted.toDF("node", "in_key", "in_p", "in_q", "shingles")
-    return pairs.groupBy("key", "p", "q").cogroup(wanted.groupBy("in_key", "in_p", "in_q")).applyInArrow(_confirmed, "u long, v long")
+    wanted = scratch.write(placed.groupBy("key", "p", "q").applyInArrow(_wanted, "key long, p int, q int, node long"), "wanted")
+    some = placed.join(wanted.select("key", "p", "q").distinct(), ["key", "p", "q"], "left_semi")
+    shingles = wanted.join(sets, "node").select("node", "shingles", "key", "p", "q").toDF("node", "shingles", "in_key", "in_p", "in_q")
+    return some.groupBy("key", "p", "q").cogroup(shingles.groupBy("in_key", "in_p", "in_q")).applyInArrow(_confirmed, "u long, v long")
 
 
 def _links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
