@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cuts import Scratch, fingerprint, importable
 
-__all__ = ["LOWER", "UPPER", "WORD", "WS_CHARS", "Scratch", "components", "fingerprint", "hash60", "importable", "let", "lower_ascii"]
+__all__ = ["LOWER", "UPPER", "WORD", "WS_CHARS", "Scratch", "components", "fingerprint", "hash60", "importable", "let", "lower_ascii", "set_aside"]
 
 #: The white space of the word rule, as characters and as regular expressions.
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -20,6 +20,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def set_aside(docs: DataFrame, *used: str):
+    """docs as its columns `used` and one struct of all others, and a function that puts columns back in the order of docs.
+
+    Helper columns of an operator can't clash with columns inside the struct. The function takes a result and further
+    columns for its end.
+    """
+    rest = [c for c in docs.columns if c not in used]
+    of = lambda c: "`" + c.replace("`", "``") + "`"
+    packed = docs.select(*(of(c) for c in docs.columns if c in used), *([F.struct(*map(of, rest)).alias("_aside")] if rest else []))
+
+    def back(out: DataFrame, *more: Column) -> DataFrame:
+        return out.select(*(F.col(of(c)) if c in used else F.col("_aside").getField(c).alias(c) for c in docs.columns), *more)
+
+    return packed, back
+
+
 def lower_ascii(c: Column) -> Column:
     """c with A-Z lower-cased; lower() does the same, and much faster, where there is nothing else to lower."""
     return let(c, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER)))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, Scratch, let, lower_ascii
+from .common import Scratch, WS_CHARS, let, lower_ascii, set_aside
 
 MIN_DOCS = 10
 FANOUT = 4
@@ -98,10 +98,11 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
 
     Documents are rows: a repeated row counts again. Null and empty text are one empty line, null stays null, empty keys
     are never dropped, and the lines that stay keep their bytes and order. Columns n_lines and n_dropped of docs are
-    replaced. The batches are hash slices of the rows. A document meets its frequent lines by a hash of id and text: only
+    replaced, all others stay. The batches are hash slices of the rows. A document meets its frequent lines by a hash of id and text: only
     hashes and line places are shuffled to find them, then texts once.
     """
-    spark = docs.sparkSession
+    spark, columns = docs.sparkSession, docs.columns
+    docs, back = set_aside(docs, "doc_id", "text")
     runs = LineRuns(spark, min_docs)
     slice_of = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     # Outer generators: an inner one is given a filter on its array's size, which computes the array once more.
@@ -117,11 +118,15 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
     each = docs.select(F.posexplode_outer(elements).alias("pos", "e")).filter("e.h IS NOT NULL")
     each = each.select(F.col("e.k").alias("__k"), "pos", F.col("e.h.h1").alias("h1"), F.col("e.h.h2").alias("h2"))
     gone = each.join(frequent, ["h1", "h2"]).groupBy("__k").agg(F.collect_set("pos").alias("__gone"))
-    kept = F.filter(lines(F.col("text")), lambda x, i: ~F.array_contains("__gone", i))
+    places = lambda found: F.array_except(F.sequence(F.lit(0), F.size(found) - 1), F.col("__gone"))
+    kept = let(lines(F.col("text")), lambda found: F.transform(places(found), lambda i: F.get(found, i)))
     out = docs.withColumn("__k", key).join(gone.hint("shuffle_hash"), "__k", "left")
-    out = out.withColumns({"n_lines": F.size(lines(F.col("text"))).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
+    counts = {"n_lines": F.size(lines(F.col("text"))).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
+    out = out.withColumns({f"__{c}": v for c, v in counts.items()})
     out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return out.drop("__k", "__gone")
+    new = [F.col(f"__{c}") for c in counts]
+    out = back(out, *new)
+    return out.select(*("`" + c.replace("`", "``") + "`" for c in columns if c not in counts), *(x.alias(c) for c, x in zip(counts, new, strict=True)))
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, set_aside
 from .words import finish, hashed_parts
 
 SHINGLE = 5
@@ -324,16 +324,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies, one with the smallest id; columns and order of columns as given.
 
     Of equal rows, of rows with one id and near texts, and of a group without ids, one stays too. Documents without words are
-    no group and all stay.
+    no group and all stay. Columns of any name travel along unchanged.
     """
+    docs, back = set_aside(docs, "doc_id", "text")
     scratch, cols = Scratch(docs.sparkSession), docs.columns
     rows = near_duplicates(docs, root=True).filter("kept").groupBy("root", F.col("row").alias("__row")).agg(F.count("*").alias("__m"))
     rows = scratch.write(rows, "kept")
     one = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct("__row", "__m")).alias("s")).select("s.*")
     stay = one.unionByName(rows.filter("root is null").select("__row", F.lit(1).cast("long").alias("__m")))
     found = docs.withColumn("__row", row_key()).join(stay, "__row")
-    again = found.filter("__m > 1").groupBy("__row").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("__s")).select("__s.*")
-    return found.filter("__m = 1").select(*cols).unionByName(again)
+    again = found.filter("__m > 1").groupBy("__row").agg(F.min_by(F.struct(*cols), F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t))).alias("__s")).select("__s.*")
+    return back(found.filter("__m = 1").select(*cols).unionByName(again))
 
 
 def minhash_digest(docs: DataFrame) -> DataFrame:

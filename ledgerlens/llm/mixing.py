@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sharding
-from .common import WORD, WS_CHARS, Scratch, hash60
+from .common import Scratch, WORD, WS_CHARS, hash60, set_aside
 from .sharding import collapse
 
 WEIGHTS = (3, 1, 2)
@@ -114,8 +114,10 @@ def training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs as the mix takes them: one row a taken copy, range-sorted by position; columns of docs only.
 
     Documents without words, and those past the demand of their source, are not taken. The copy in which a source's demand
-    ends keeps its first words (n_chars follows). Texts are shuffled twice: to meet their decisions, and to be sorted.
+    ends keeps its first words (n_chars follows). Texts are shuffled twice: to meet their decisions, and to be sorted. Columns of
+    any name travel along unchanged.
     """
+    docs, back = set_aside(docs, "doc_id", "text", "source", "n_chars")
     cols = docs.columns
     names = ("first", "demand", "source_size", "place", "size")
     key = ["__doc_id", "__source", "__h"]
@@ -143,7 +145,7 @@ def training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     text = F.when(cut, _first_words(F.col("text"), F.col("__c.words"))).otherwise(F.col("text"))
     changed = {"text": text} | ({"n_chars": F.when(cut, F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))} if "n_chars" in cols else {})
     out = out.withColumns(changed)
-    return out.repartitionByRange(F.col("__c.position"), F.xxhash64("doc_id")).sortWithinPartitions("__c.position", "doc_id").select(*cols)
+    return back(out.repartitionByRange(F.col("__c.position"), F.xxhash64("doc_id")).sortWithinPartitions("__c.position", "doc_id").select(*cols))
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WS_CHARS
+from .common import WORD, WS_CHARS, set_aside
 
 SYMBOLS = "#*$%&|<>"  # fixed value
 
@@ -93,9 +93,11 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements of the rules; null text counts as empty. Texts are read whole; no shuffle.
 
-    Only a row's own arrays are held, so memory follows the longest text. Columns of docs whose names clash with a
-    measurement are replaced by it.
+    Only a row's own arrays are held, so memory follows the longest text. A column of docs with the name of a measurement is
+    replaced by it; all others stay. Equal rows are measured each by itself.
     """
+    columns = docs.columns
+    docs, back = set_aside(docs, "doc_id", text)
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(F.col("__t"), "\n"), lambda x: F.length(F.btrim(x, F.lit(WS_CHARS))) > 0)
     df = docs.withColumn("__t", t)
@@ -114,8 +116,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     # A generator is a barrier: a filter on a measurement would otherwise be pushed below these projections, which puts
     # the words' expression into the functions that run for each word.
     names = ("n_words", "word_chars", "n_symbols", "n_upper", "n_exclaim", "n_lines_with_word", "n_dup_lines", "n_repeat_words")
-    rest = [c for c in docs.columns if c not in names]
-    return _repeat_words(df).select(*rest, F.explode(F.array(F.struct(*names))).alias("__m")).select(*rest, "__m.*")
+    rest = docs.columns
+    found = _repeat_words(df).select(*rest, F.explode(F.array(F.struct(*names))).alias("__m"))
+    kept = [c for c in columns if c not in names]
+    return back(found, F.col("__m")).select(*("`" + c.replace("`", "``") + "`" for c in kept), "__m.*")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -144,14 +144,18 @@ def test_encode_table(spark):
 
 
 def test_pipeline(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("extra", F.lit("x"))
+    names = ["extra", "n_words", "fail_bits", "n_lines", "n_dropped", "ids", "__row", "__k", "__t", "__m", "__c", "__first", "__gone", "_aside"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.concat_ws(" ", F.lit(c), "doc_id") for c in names})
     odd = [(None, None), (7, None), (-1, ""), (None, "word " * 80), (-2, "other words here " * 30)]
     docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == [*docs.columns, "ids"] and out.count() > 50
+    assert out.columns == [*docs.columns, "ids_"]
     sp = sentencepiece.SentencePieceProcessor(model_proto=pieces.model_file())
-    for r in out.limit(40).collect():
-        assert list(r.ids) == sp.encode(r.text)
+    rows = out.collect()
+    assert len(rows) > 50
+    for r in rows:
+        assert list(r["ids_"]) == sp.encode(r.text or "") and r.n_chars == len(r.text)
+        assert all(r[c] == (None if r.doc_id is None or r.doc_id < 0 else f"{c} {r.doc_id}") for c in names)
     spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
