@@ -1,8 +1,8 @@
 """From documents to token ids: quality rules, line dedup, near-duplicate removal, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept; all but the last return the columns
-of documents. Null ids, null, empty and very long texts, repeated rows, empty tables and extra columns are handled as the
-operators' docstrings say; extra columns travel along.
+of documents. Null ids, null, empty and very long texts, repeated rows and empty tables are handled as the operators'
+docstrings say; extra columns of any name travel along unchanged, in all stages.
 """
 
 from __future__ import annotations
@@ -11,23 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import linededup, minhash, mixing, pieces, quality
-from ledgerlens.llm.common import Scratch, importable
+from ledgerlens.llm.common import Scratch, importable, set_aside
 
 POLICY = "v2"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy rejects go."""
-    cols = docs.columns
-    return quality.ledger(docs).filter(quality.verdict(POLICY)).select(*cols)
+    packed, back = set_aside(docs, "doc_id", "text")
+    return back(quality.ledger(packed).filter(quality.verdict(POLICY)))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; n_chars follows the text."""
-    out = linededup.drop_frequent_lines(docs).select(*docs.columns)
+    packed, back = set_aside(docs, "doc_id", "text", "n_chars")
+    out = linededup.drop_frequent_lines(packed)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars")))
-    return out
+    return back(out)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +43,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, after the columns of documents."""
+    """Token ids of every text, after the columns of documents, as `ids`; where documents has that name, with _ after it."""
     importable(spark)
-    return pieces.encode(docs, pieces.model_file())
+    packed, back = set_aside(docs, "text")
+    name = "ids"
+    while name in docs.columns:
+        name += "_"
+    return back(pieces.encode(packed, pieces.model_file()), F.col("ids").alias(name))
 
 
 STAGES = [
