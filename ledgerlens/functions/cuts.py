@@ -11,13 +11,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parquet size up to which a loop's table is one partition.
+SMALL_BYTES = 2 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (tests, local runs) a folder of our own."""
+    """spark.checkpoint.dir; only where that is unset, on a local master, a folder of our own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
@@ -54,6 +59,16 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def step(self, df: DataFrame, name: str) -> DataFrame:
+        """`write` for loops: a table of up to SMALL_BYTES on disk is read as one partition, so that the next step's joins and
+        sums need no exchange; a larger one keeps its partitions."""
+        out = self.write(df, name)
+        if int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+            return out
+        one = out.coalesce(1)
+        one._scratch_path = out._scratch_path
+        return one
+
     def drop(self, df: DataFrame | None = None) -> None:
         """Deletes one table, or all of them."""
         try:

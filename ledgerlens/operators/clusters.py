@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import ROLE_NAMES, TYPOLOGIES
 from ..functions.cuts import Scratch
 from ..functions.scalars import money, percent, rnd, short_id
 
-SWEEPS, LEVELS = 12, 6
+#: A half of which at most one node in so many moves counts as settled.
+MOVED = 100
+#: Sweeps without fewer moves than ever before after which a level ends: moves of many nodes at once may go round in circles.
+STALLED = 3
 
 
-def louvain(pairs: DataFrame, scratch: Scratch, runs: int = 1, resolution: float = 1.0) -> DataFrame:
-    """(run, gid, community) for runs 0..runs-1 of a parallel Louvain over undirected pairs (a, b, weight).
+def louvain(pairs: DataFrame, scratch: Scratch, runs: int = 1, resolution: float = 1.0, first: int = 0) -> DataFrame:
+    """(run, gid, community) for runs first..first+runs-1 of a parallel Louvain over undirected pairs (a, b, weight).
 
     In a sweep every node of one half (by a hash of node, sweep and run) moves to the neighbouring community with the
-    largest gain, the smallest id on ties; the other half stands still, so two nodes can't swap for ever. Communities are
-    then contracted and the sweeps repeat. All runs share the jobs: run is part of every key. Deterministic for given data.
+    largest gain, the smallest id on ties; the other half stands still, so two nodes can't swap for ever. A level ends when
+    neither half moves more than one node in MOVED. Communities are then contracted and the sweeps repeat, until a level moves nothing. All runs share the jobs: run is part of every key. Deterministic for given data.
     """
-    links = pairs.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "a", "b", "weight")
-    links = scratch.write(links, "pairs")
+    links = pairs.select(F.explode(F.sequence(F.lit(first), F.lit(first + runs - 1))).alias("run"), "a", "b", "weight")
+    links = scratch.step(links, "pairs")
     total = pairs.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
     members = links.select("run", F.col("a").alias("gid")).unionByName(links.select("run", F.col("b").alias("gid"))).distinct().withColumn("node", F.col("gid"))
-    members = scratch.write(members, "members")
-    for level in range(LEVELS):
+    members = scratch.step(members, "members")
+    level = 0
+    while True:
         both = links.filter("a <> b").select("run", F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(links.filter("a <> b").select("run", F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
         own = links.filter("a = b").select("run", F.col("a").alias("node"), (2 * F.col("weight")).alias("weight"))
         degree = both.select("run", "node", "weight").unionByName(own).groupBy("run", "node").agg(F.sum("weight").alias("k"))
-        both = scratch.write(both, "adjacent")
-        state = scratch.write(degree.withColumn("c", F.col("node")), "state")
-        moved_at_all, quiet = False, 0
-        for sweep in range(SWEEPS):
+        both = scratch.step(both, "adjacent")
+        enough = degree.count() / MOVED
+        state = scratch.step(degree.withColumn("c", F.col("node")), "state")
+        moved_at_all, quiet, fewest, stalled, sweep = False, 0, float("inf"), 0, 0
+        while quiet < 2 and stalled < STALLED:
             weight_in = both.join(state.select("run", F.col("node").alias("other"), "c"), ["run", "other"]).groupBy("run", "node", "c").agg(F.sum("weight").alias("w"))
             size = state.groupBy("run", "c").agg(F.sum("k").alias("tot"))
             now = state.withColumnRenamed("c", "own")
@@ -45,19 +50,20 @@ def louvain(pairs: DataFrame, scratch: Scratch, runs: int = 1, resolution: float
             turn = F.pmod(F.xxhash64("node", F.lit(level), F.lit(sweep), "run"), F.lit(2)) == 0
             go = turn & F.col("best").isNotNull() & (F.col("best.g") > stay + 1e-12)
             new = alone.join(best, ["run", "node"], "left").select("run", "node", "k", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("c"), F.coalesce(go, F.lit(False)).alias("moved"))
-            new = scratch.write(new, "state")
-            n = new.filter("moved").count()
-            state = new.drop("moved")
-            moved_at_all, quiet = moved_at_all or n > 0, 0 if n else quiet + 1
-            if quiet >= 2:
-                break
+            seen = Observation()
+            state = scratch.step(new.observe(seen, F.count_if("moved").alias("n")), "state").drop("moved")
+            n = seen.get["n"]
+            moved_at_all, quiet = moved_at_all or n > 0, 0 if n > enough else quiet + 1
+            fewest, stalled = min(n, fewest), 0 if n < fewest else stalled + 1
+            sweep += 1
         if not moved_at_all:
             break
+        level += 1
         to = state.select("run", "node", "c")
-        members = scratch.write(members.join(to, ["run", "node"]).select("run", "gid", F.col("c").alias("node")), "members")
+        members = scratch.step(members.join(to, ["run", "node"]).select("run", "gid", F.col("c").alias("node")), "members")
         a, b = to.withColumnsRenamed({"node": "a", "c": "ca"}), to.withColumnsRenamed({"node": "b", "c": "cb"})
         links = links.join(a, ["run", "a"]).join(b, ["run", "b"]).groupBy("run", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight"))
-        links = scratch.write(links, "pairs")
+        links = scratch.step(links, "pairs")
     return members.select("run", "gid", F.col("node").alias("community"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.cuts import Scratch, fingerprint
@@ -12,29 +12,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, scratch: Scratch, steps: int |
     """(gid, pagerank) by power iteration, weighted by money; dangling mass is spread evenly.
 
     `steps` fixes the number of iterations; otherwise it stops when the ranks move by less than n * tol in sum. Sums are
-    partial aggregates, so a payee with a third of all edges is no hot task.
+    partial aggregates, so a payee with a third of all edges is no hot task. A step is one job: what dangling nodes hold and
+    how far ranks moved are observed while it is written.
     """
     n = nodes.count()
     if not n:
         return nodes.select("gid", F.lit(0.0).alias("pagerank"))
     out = edges.groupBy("src").agg(F.sum("sum_kzt").alias("w"))
-    links = scratch.write(edges.join(out, "src").select("src", "dst", (F.col("sum_kzt") / F.col("w")).alias("p")), "links")
+    links = scratch.step(edges.join(out, "src").select("src", "dst", (F.col("sum_kzt") / F.col("w")).alias("p")), "links")
     state = nodes.select("gid").join(out.select(F.col("src").alias("gid"), F.lit(True).alias("sends")), "gid", "left")
-    state = scratch.write(state.select("gid", F.col("sends").isNotNull().alias("sends"), F.lit(1.0 / n).alias("r")), "rank")
-    for k in range(1, (steps or most) + 1):
-        got = links.join(state, links["src"] == state["gid"]).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("in"))
-        lost = state.agg(F.coalesce(F.sum(F.when(~F.col("sends"), F.col("r"))), F.lit(0.0)).alias("lost"))
-        new = state.join(got, state["gid"] == got["dst"], "left").crossJoin(F.broadcast(lost))
-        rank = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / n)
-        new = new.select("gid", "sends", rank.alias("r"), F.col("r").alias("before"))
-        if steps and k % 3 and k < steps:
-            state = new.drop("before")
-            continue
-        new = scratch.write(new, "rank")
-        state = new.drop("before")
-        if not steps and new.agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0] < n * tol:
+    state = state.select("gid", F.col("sends").isNotNull().alias("sends"), F.lit(1.0 / n).alias("r"), F.lit(0.0).alias("before"))
+    for k in range((steps or most) + 1):
+        seen = Observation()
+        lost, moved = F.sum(F.when(~F.col("sends"), F.col("r"))), F.sum(F.abs(F.col("r") - F.col("before")))
+        state = scratch.step(state.observe(seen, lost.alias("lost"), moved.alias("moved")), "rank")
+        if k == steps or (k and not steps and seen.get["moved"] < n * tol):
             break
-    return state.select("gid", F.col("r").alias("pagerank"))
+        got = links.join(state, links["src"] == state["gid"]).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("in"))
+        rank = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("in", F.lit(0.0)) + F.lit((seen.get["lost"] or 0.0) / n))
+        state = state.join(got, state["gid"] == got["dst"], "left").select("gid", "sends", rank.alias("r"), F.col("r").alias("before"))
+    return scratch.step(state, "rank").select("gid", F.col("r").alias("pagerank"))
 
 
 def shortest_paths(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> list[DataFrame]:
@@ -104,16 +101,16 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFram
     Alternates large-star and small-star steps until nothing changes; all minima are partial aggregates. Nodes may be of any
     type with an order, so several graphs can run at once with a struct of graph and node.
     """
-    state = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    state = scratch.step(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     while (now := fingerprint(state, "u", "v")) != before:
         before = now
         both = state.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(state.select(F.col("v").alias("a"), F.col("u").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = scratch.write(both.join(low, "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = scratch.step(both.join(low, "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
-        state = scratch.write(large.join(low, "u").select(pair).select("e.*").filter("u <> v").distinct(), "edges")
+        state = scratch.step(large.join(low, "u").select(pair).select("e.*").filter("u <> v").distinct(), "edges")
     found = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

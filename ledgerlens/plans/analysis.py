@@ -57,8 +57,13 @@ class Analysis:
 
     @cached_property
     def communities(self) -> DataFrame:
-        """(run, gid, community); run 0 counts, the others measure its stability."""
-        return self._keep(clusters.louvain(self.pairs, self.scratch, self.cfg.stability_runs + 1, self.cfg.resolution), "communities")
+        """(run, gid, community) of run 0, which counts."""
+        return self._keep(clusters.louvain(self.pairs, self.scratch, resolution=self.cfg.resolution), "communities")
+
+    @cached_property
+    def other_communities(self) -> DataFrame:
+        """(run, gid, community) of the runs that measure the stability of run 0."""
+        return self._keep(clusters.louvain(self.pairs, self.scratch, self.cfg.stability_runs, self.cfg.resolution, 1), "reruns")
 
     @cached_property
     def cluster(self) -> DataFrame:
@@ -71,7 +76,7 @@ class Analysis:
         if self.given is not None:
             return self.cluster.select("cluster_id").distinct().withColumn("stability", F.lit(1.0))
         ids = self.communities.filter("run = 0").join(self.cluster, "gid").select("community", "cluster_id").distinct()
-        return clusters.stability(self.communities).join(ids, "community").select("cluster_id", "stability")
+        return clusters.stability(self.communities.unionByName(self.other_communities)).join(ids, "community").select("cluster_id", "stability")
 
     @cached_property
     def span(self) -> DataFrame:
