@@ -1,12 +1,19 @@
-"""Lookups over the results: search, ranking, ids by suffix, node and cluster records."""
+"""Lookups over the results: search, ranking, ids by suffix, node and cluster records, partners, and calls by name as JSON."""
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cuts import Scratch
+from . import graph
+
+#: Characters of the JSON that a call gives.
+MOST_CHARS = 12_000
+
 
 def search(scored: DataFrame, role=None, cluster=None, is_seed=None, min_in_deg=None, min_out_deg=None, min_priority=None, limit: int = 20) -> DataFrame:
     """Nodes that meet all given conditions, first by rank."""
@@ -43,9 +50,11 @@ def ids_in(texts: DataFrame, column: str = "text") -> DataFrame:
 
 def node(scored: DataFrame, edges: DataFrame, clusters: DataFrame, gid: int, partners: int = 5) -> DataFrame:
     """One row: the node's record, its cluster's size and hypothesis, and its largest payers and payees."""
-    side = lambda key, other: F.slice(F.sort_array(F.collect_list(F.struct("sum_kzt", F.col(other).alias("gid"), "n_tx")), asc=False), 1, partners)
-    payers = edges.filter(F.col("dst") == gid).agg(side("dst", "src").alias("top_payers"))
-    payees = edges.filter(F.col("src") == gid).agg(side("src", "dst").alias("top_payees"))
+    def side(key: str, other: str, name: str) -> DataFrame:
+        first = edges.filter(F.col(key) == gid).select("sum_kzt", F.col(other).alias("gid"), "n_tx").orderBy(F.desc("sum_kzt"), F.desc("gid")).limit(partners)
+        return first.agg(F.sort_array(F.collect_list(F.struct("sum_kzt", "gid", "n_tx")), asc=False).alias(name))
+
+    payers, payees = side("dst", "src", "top_payers"), side("src", "dst", "top_payees")
     about = clusters.select("cluster_id", F.col("n_nodes").alias("cluster_n_nodes"), F.col("n_seed").alias("cluster_n_seed"), "hypothesis")
     return scored.filter(F.col("gid") == gid).join(about, "cluster_id", "left").crossJoin(payers).crossJoin(payees)  # one row each
 
@@ -54,3 +63,75 @@ def cluster(scored: DataFrame, clusters: DataFrame, cluster_id: int, members: in
     """One row: the cluster and its first members by rank."""
     top_ = scored.filter(F.col("cluster_id") == cluster_id).orderBy("rank").limit(members).agg(F.sort_array(F.collect_list(F.struct("rank", "gid", "role"))).alias("members"))
     return clusters.filter(F.col("cluster_id") == cluster_id).crossJoin(top_)
+
+
+def partners(transactions: DataFrame, gid: int, direction: str = "both", limit: int | None = None) -> DataFrame:
+    """(gid, direction, sum_kzt, n_tx, first, last) of a node's payers (in) and payees (out), largest amounts first."""
+    sides = {"in": ("dst", "src"), "out": ("src", "dst")}
+    parts = [transactions.filter(F.col(own) == gid).select(F.col(other).alias("gid"), F.lit(name).alias("direction"), "sum_kzt", "date") for name, (own, other) in sides.items() if direction in (name, "both")]
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = rows.groupBy("gid", "direction").agg(F.sum("sum_kzt").alias("sum_kzt"), F.count("*").alias("n_tx"), F.min("date").alias("first"), F.max("date").alias("last"))
+    out = out.orderBy(F.desc("sum_kzt"), "direction", "gid")
+    return out if limit is None else out.limit(max(1, int(limit)))
+
+
+def ranked_paths(edges: DataFrame, src: int, dst: int, longest: int, scratch: Scratch, limit: int = 200) -> DataFrame:
+    """Simple paths, those with the largest bottleneck first, then the shorter ones."""
+    return graph.paths(edges, src, dst, longest, scratch).orderBy(F.desc("bottleneck_kzt"), "n_hops", "nodes").limit(max(1, int(limit)))
+
+
+def ranked_common(scored: DataFrame, edges: DataFrame, gids: list[int], direction: str, hops: int, scratch: Scratch, limit: int = 20) -> DataFrame:
+    """Common counterparties with role and priority: those linked with most of the given nodes first, then by priority."""
+    rows = graph.common_counterparties(edges, gids, direction, hops, scratch).join(scored.select("gid", "role", "priority_score"), "gid")
+    return rows.orderBy(F.desc("n_linked"), F.desc("priority_score"), "gid").limit(max(1, int(limit)))
+
+
+def _records(df: DataFrame) -> list[dict]:
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def call(a, name: str, arguments: dict | None = None) -> str:
+    """JSON of a lookup on an analysis, by name, of at most MOST_CHARS characters.
+
+    Faults are results, not exceptions: {"error": kind, "message": text} with kind unknown_tool, bad_arguments or not_found.
+    Every lookup has a limit, so only its first rows come to the driver; total is the number of rows without the limit.
+    """
+
+    def neighbours(gid: int, direction: str = "both", limit: int = 20) -> dict:
+        if direction not in ("in", "out", "both"):
+            raise ValueError("direction is in, out or both")
+        every = partners(a.net.transactions, int(gid), direction)
+        about = every.limit(max(1, int(limit))).join(a.scored.select("gid", "role", "priority_score"), "gid", "left")
+        return {"total": every.count(), "rows": _records(about.orderBy(F.desc("sum_kzt"), "direction", "gid"))}
+
+    def ranked(role: str | None = None, cluster_id: int | None = None, n: int = 10) -> dict:
+        rows = a.scored if role is None else a.scored.filter(F.col("role") == role)
+        rows = rows if cluster_id is None else rows.filter(F.col("cluster_id") == int(cluster_id))
+        return {"total": rows.count(), "rows": _records(top(rows, n=n).select("rank", "gid", "role", "priority_score", "cluster_id"))}
+
+    def one(df: DataFrame) -> dict:
+        found = _records(df.limit(1))
+        if not found:
+            raise LookupError("no such record")
+        return found[0]
+
+    tools = {
+        "get_node": lambda gid: one(node(a.scored, a.net.edges, a.cluster_table, int(gid))),
+        "cluster_summary": lambda cluster_id: one(cluster(a.scored, a.cluster_table, int(cluster_id))),
+        "neighbors": neighbours,
+        "top_nodes": ranked,
+        "search_nodes": lambda **given: {"rows": _records(search(a.scored, **given).select("rank", "gid", "role", "priority_score"))},
+        "resolve": lambda text, limit=20: {"rows": _records(resolve(a.scored, str(text)).orderBy("rank").limit(int(limit)))},
+        "find_paths": lambda src, dst, max_len=4, limit=20: {"rows": _records(ranked_paths(a.net.edges, int(src), int(dst), int(max_len), a.scratch, limit))},
+        "common_counterparties": lambda gids, direction="out", max_hops=2, limit=20: {"rows": _records(ranked_common(a.scored, a.net.edges, [int(g) for g in gids], direction, int(max_hops), a.scratch, limit))},
+    }
+    if name not in tools:
+        out = {"error": "unknown_tool", "message": f"{name}: one of {', '.join(sorted(tools))}"}
+    else:
+        try:
+            out = tools[name](**(arguments or {}))
+        except LookupError as error:
+            out = {"error": "not_found", "message": str(error)}
+        except (TypeError, ValueError) as error:
+            out = {"error": "bad_arguments", "message": str(error)}
+    return json.dumps(out, ensure_ascii=False, default=str)[:MOST_CHARS]

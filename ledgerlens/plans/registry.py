@@ -91,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "seed_reach_volume": lambda a: graph.reach_volume(a.net.edges, a.net.nodes.filter("is_seed"), a.scratch),
         "removal": _removal,
         "neighbors": lambda a: graph.neighbours(a.net.edges, 7),
+        "partners": lambda a: lookup.partners(a.net.transactions, 7),
+        "top_paths": lambda a: lookup.ranked_paths(a.net.edges, 7, 37, 3, a.scratch, 20).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "bottleneck_kzt", "n_hops"),
         "find_paths": lambda a: graph.paths(a.net.edges, 7, 37, 3, a.scratch).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "bottleneck_kzt", "n_hops"),
         "common_counterparties": lambda a: graph.common_counterparties(a.net.edges, [7, 37, 67], "out", 2, a.scratch).select("gid", "n_linked", F.array_join(F.transform("linked", lambda x: F.concat_ws(":", x["gid"], x["hops"])), ",").alias("linked")),
         "edge_tx_lists": lambda a: temporal.edge_lists(a.net.transactions).select("src", "dst", F.array_join(F.transform("transfers", lambda x: F.concat_ws(" ", F.date_format(x["date"], "yyyy-MM-dd"), F.rint(x["sum_kzt"] * 100).cast("bigint"))), ",").alias("transfers")),
