@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ NEIGHBOURS = 16
 BEAM = 48
 AUDIT_QUERIES, AUDIT_RECALL = 64, 0.995
 _ROWS = 512
+#: What single precision may lose of a cosine, and more.
+SLACK = 1e-5
 
 
 class Graph:
@@ -68,8 +71,8 @@ class Graph:
             rows = np.arange(at, min(at + _ROWS, n))
             cand = near[rows]
             v = vectors[cand]
-            sim = np.einsum("rd,rcd->rc", vectors[rows], v)
-            between = np.einsum("rcd,red->rce", v, v)
+            sim = (v @ vectors[rows][:, :, None])[:, :, 0]
+            between = v @ v.transpose(0, 2, 1)
             taken = np.zeros(cand.shape, bool)
             count = np.zeros(len(rows), int)
             for c in range(cand.shape[1]):
@@ -99,20 +102,25 @@ class Graph:
         table = np.concatenate([chosen, back, ring], axis=1)
         return np.where(table < 0, np.arange(n)[:, None], table)
 
+    @cached_property
+    def single(self) -> np.ndarray:
+        """The vectors in single precision, which walks use; it is made where it is first needed and doesn't travel."""
+        return self.unit.astype(np.float32)
+
     def _descend(self, queries: np.ndarray) -> np.ndarray:
         """Row of layer 0 that the greedy walk through the upper layers reaches."""
         at = np.zeros(len(queries), np.int64)  # node ids; node 0 is in every layer
         for layer in range(len(self.members) - 1, 0, -1):
             members, table = self.members[layer], self.neighbours[layer]
             row = np.searchsorted(members, at)
-            best = np.einsum("qd,qd->q", queries, self.unit[members[row]])
+            best = np.einsum("qd,qd->q", queries, self.single[members[row]])
             active = np.arange(len(queries))
             while len(active):
                 near = table[row[active]]
-                sim = np.einsum("qd,qmd->qm", queries[active], self.unit[members[near]])
+                sim = (self.single[members[near]] @ queries[active][:, :, None])[:, :, 0]
                 pick = sim.argmax(axis=1)
                 top = sim[np.arange(len(active)), pick]
-                better = top > best[active] + 1e-12
+                better = top > best[active] + 1e-6
                 active, pick, top, near = active[better], pick[better], top[better], near[better]
                 row[active] = near[np.arange(len(active)), pick]
                 best[active] = top
@@ -121,15 +129,16 @@ class Graph:
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Per query `beam` nodes by similarity, falling (-1 pads), and the similarities."""
-        n, q = len(self.unit), len(queries)
+        n, q, unit = len(self.unit), len(queries), self.single
+        queries = queries.astype(np.float32)
         beam = min(beam, n)
         start = self._descend(queries)
         ids = np.full((q, beam), -1, np.int64)
-        sims = np.full((q, beam), -np.inf)
+        sims = np.full((q, beam), -np.inf, np.float32)
         open_ = np.zeros((q, beam), bool)
         seen = np.zeros((q, n), bool)
         all_q = np.arange(q)
-        ids[:, 0], sims[:, 0], open_[:, 0] = start, np.einsum("qd,qd->q", queries, self.unit[start]), True
+        ids[:, 0], sims[:, 0], open_[:, 0] = start, np.einsum("qd,qd->q", queries, unit[start]), True
         seen[all_q, start] = True
         table = self.neighbours[0]
         active = all_q
@@ -141,13 +150,14 @@ class Graph:
             open_[active[:, None], k] = False
             near = np.where(nodes[:, :, None] >= 0, table[np.maximum(nodes, 0)], -1).reshape(len(active), -1)
             r, c = np.nonzero(near >= 0)
-            flat = np.unique(r * n + near[r, c])
-            r, node = flat // n, flat % n
+            node = near[r, c]
             fresh = ~seen[active[r], node]
-            r, node = r[fresh], node[fresh]
+            flat = np.sort(r[fresh] * n + node[fresh])
+            flat = flat[np.diff(flat, prepend=-1) > 0]
+            r, node = flat // n, flat % n
             seen[active[r], node] = True
             if len(r):
-                sim = np.einsum("pd,pd->p", queries[active[r]], self.unit[node])
+                sim = np.einsum("pd,pd->p", queries[active[r]], unit[node])
                 use = sim > sims[active[r], -1]
                 r, node, sim = r[use], node[use], sim[use]
             if len(r):
@@ -155,7 +165,7 @@ class Graph:
                 wide = int(count.max())
                 slot = np.arange(len(r)) - np.repeat(first, count)
                 row = np.repeat(np.arange(len(touched)), count)
-                new_ids, new_sims = np.full((len(touched), wide), -1, np.int64), np.full((len(touched), wide), -np.inf)
+                new_ids, new_sims = np.full((len(touched), wide), -1, np.int64), np.full((len(touched), wide), -np.inf, np.float32)
                 new_ids[row, slot], new_sims[row, slot] = node, sim
                 rows = active[touched]
                 i = np.concatenate([ids[rows], new_ids], axis=1)
@@ -169,12 +179,12 @@ class Graph:
 
 def _exact(graph: Graph, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for at in range(0, len(queries), _ROWS):
-        q, node = np.nonzero(queries[at : at + _ROWS] @ graph.unit.T >= threshold - 1e-9)
+        q, node = np.nonzero(queries[at : at + _ROWS].astype(np.float32) @ graph.single.T >= threshold - SLACK)
         yield q + at, node
 
 
 def linked(graph: Graph, queries: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of a similarity of at least the threshold, sorted."""
+    """(query, node) pairs of a similarity of at least the threshold less SLACK, sorted; the caller confirms them."""
     n = len(graph.unit)
     if not n or not len(queries):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -196,9 +206,9 @@ def linked(graph: Graph, queries: np.ndarray, threshold: float = THRESHOLD) -> t
             for at in range(0, len(todo), step):
                 part = todo[at : at + step]
                 ids, sims = graph.search(queries[part], wide)
-                filled = sims[:, -1] >= threshold - 1e-9  # even the worst links: there may be more
+                filled = sims[:, -1] >= threshold - SLACK  # even the worst links: there may be more
                 full.append(part[filled])
-                q, k = np.nonzero((sims >= threshold - 1e-9) & ~filled[:, None])
+                q, k = np.nonzero((sims >= threshold - SLACK) & ~filled[:, None])
                 pairs.append((part[q], ids[q, k]))
             todo, wide = np.concatenate(full), wide * 4
         q, node = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
@@ -211,13 +221,15 @@ def linked(graph: Graph, queries: np.ndarray, threshold: float = THRESHOLD) -> t
 
 
 def _pack(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A shard's table: its ids, weights, vectors and graph as one row."""
+    """A shard as one row: its ids, weights and graph, and apart from them its vectors as blocks of queries."""
     pdf = pdf.sort_values("vec_id", kind="stable")
     unit = np.stack([np.asarray(x, np.float64) for x in pdf["embedding"]])
     unit /= np.linalg.norm(unit / np.abs(unit).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(unit).max(axis=1, keepdims=True)
     graph = Graph(unit)
-    data = pickle.dumps((pdf["vec_id"].to_numpy(np.int64), pdf["m"].to_numpy(np.int64), graph), protocol=5)
-    return pd.DataFrame({"label": [keys[0]], "dim": [keys[1]], "shard": [keys[2]], "n": [len(pdf)], "data": [data]})
+    ids = pdf["vec_id"].to_numpy(np.int64)
+    data = pickle.dumps((ids, pdf["m"].to_numpy(np.int64), graph), protocol=5)
+    blocks = [pickle.dumps((ids[a : a + BLOCK_ROWS], unit[a : a + BLOCK_ROWS]), protocol=5) for a in range(0, len(ids), BLOCK_ROWS)]
+    return pd.DataFrame({"label": [keys[0]], "dim": [keys[1]], "shard": [keys[2]], "blocks": [blocks], "data": [data]})
 
 
 def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -237,9 +249,7 @@ def _query(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of one block of one shard's vectors into another shard: count for each vector, and edges that keep components."""
     row = pdf.iloc[0]
     ids, weight, graph = pickle.loads(row["data"])
-    other_ids, _, other = pickle.loads(row["queries"])
-    begin, end = int(row["block"]) * BLOCK_ROWS, (int(row["block"]) + 1) * BLOCK_ROWS
-    q_ids, vectors = other_ids[begin:end], other.unit[begin:end]
+    q_ids, vectors = pickle.loads(row["queries"])
     q, node = linked(graph, vectors)
     sim = np.concatenate([np.einsum("pd,pd->p", vectors[q[a : a + 100_000]], graph.unit[node[a : a + 100_000]]) for a in range(0, len(q), 100_000)] or [np.zeros(0)])
     ok = (sim >= THRESHOLD) & (q_ids[q] != ids[node])
@@ -275,9 +285,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     dealt = nodes.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("shards")))
     dealt = dealt.select(F.col("node").alias("vec_id"), "m", "embedding", "label", "dim", "shard")
     types = dict(nodes.dtypes)
-    schema = f"label {types['label']}, dim int, shard long, n long, data binary"
+    schema = f"label {types['label']}, dim int, shard long, blocks array<binary>, data binary"
     index = scratch.write(dealt.groupBy("label", "dim", "shard").applyInPandas(_pack, schema), "index")
-    blocks = index.select("label", "dim", F.col("shard").alias("from"), F.col("data").alias("queries"), F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("n") - 1, F.lit(BLOCK_ROWS)).cast("int"))).alias("block"))
+    blocks = index.select("label", "dim", F.col("shard").alias("from"), F.posexplode("blocks").alias("block", "queries"))
     pairs = blocks.join(index, ["label", "dim"]).select("label", "dim", "from", "block", "shard", "queries", "data")
     out = scratch.write(pairs.groupBy("label", "dim", "from", "block", "shard").applyInPandas(lambda pdf: _query(pdf), "u long, v long, links long"), "links")
     total = out.filter("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))

@@ -11,17 +11,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import importable
+from .common import Scratch, importable
 
 #: Pre-tokens in a leaf: a leaf splits beyond twice as many.
 LEAF = 128
 CACHE_WORDS = 400_000
+#: Columns of a kept tree.
+TREE = "lengths array<int>, tokens array<int>, leaves array<int>, n_pretokens long, n_tokens long"
+TREE_NAMES = ("lengths", "tokens", "leaves", "n_pretokens", "n_tokens")
 
 
 class Tokenizer:
@@ -65,6 +69,20 @@ class TokenTree:
         #: Pre-tokens encoded since the text was first read.
         self.reencoded = 0
 
+    @classmethod
+    def of_parts(cls, tokenizer: Tokenizer, text: str, lengths: np.ndarray, tokens: np.ndarray, leaves: np.ndarray) -> TokenTree:
+        """The tree that `parts` came from; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.tokenizer, tree.text, tree.reencoded = tokenizer, text, 0
+        ends = np.cumsum(leaves)
+        tree.leaves = [Leaf(lengths[b - n : b], tokens[b - n : b]) for n, b in zip(leaves, ends, strict=True)]
+        tree._grow()
+        return tree
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths and tokens of all pre-tokens, and how many of them each leaf holds."""
+        return np.concatenate([x.lengths for x in self.leaves]), np.concatenate([x.tokens for x in self.leaves]), np.array([len(x.lengths) for x in self.leaves])
+
     def _fill(self, lengths: np.ndarray, tokens: np.ndarray) -> None:
         self.leaves = [Leaf(lengths[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(lengths), LEAF)] or [Leaf(lengths, tokens)]
         self._grow()
@@ -167,33 +185,102 @@ def default_vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, public_tokenizers.PATTERN
 
 
-def count_edited(docs: DataFrame, vocabulary: tuple[dict[bytes, int], str]) -> DataFrame:
-    """(doc_id, n_tokens_before, n_tokens, n_pretokens, n_reencoded, edited_text) of docs (doc_id, text, edits).
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    values = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
-    edits is an array of (start, end, new): text[start:end] becomes new, one edit after another, in code points of the text
-    as it then is. Null or empty edits change nothing; null text counts as empty; a null part of an edit is 0 or empty.
-    Each document is a row by itself: one pass without a shuffle, and memory follows the longest text.
+
+def _columns(trees: list[TokenTree]) -> list[pa.Array]:
+    parts = zip(*(t.parts() for t in trees), strict=True)
+    return [*map(_lists, map(list, parts)), pa.array([t.n_pretokens for t in trees], pa.int64()), pa.array([t.n_tokens for t in trees], pa.int64())]
+
+
+def _rows(column: pa.ListArray) -> list[np.ndarray]:
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
+
+
+def _with(rows: DataFrame, drop: tuple[str, ...] = (), more: str = "") -> T.StructType:
+    return T.StructType([f for f in rows.schema if f.name not in drop] + T.StructType.fromDDL(more + TREE).fields)
+
+
+def build_trees(docs: DataFrame, vocabulary: tuple[dict[bytes, int], str]) -> DataFrame:
+    """The trees of docs (doc_id, text), and edits where docs has them: one row a document, to be written and kept.
+
+    lengths and tokens are the pre-tokens in order, leaves how many of them each leaf holds, n_pretokens and n_tokens the
+    sums at the root: a reader of counts reads these columns alone. Null text counts as empty and has one empty leaf; null
+    and repeated ids are rows like others; other columns of docs are left out; an empty table gives an empty one. One pass
+    without a shuffle; memory follows the longest text.
     """
     spark = docs.sparkSession
     importable(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(c for c in ("edits",) if c in docs.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer(*sent.value)
+        for part in _packets(batches):
+            trees = [TokenTree(tokenizer, text) for text in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, *_columns(trees)], [*part.schema.names, *TREE_NAMES])
+
+    return rows.mapInArrow(run, _with(rows))
+
+
+def edit_trees(trees: DataFrame, vocabulary: tuple[dict[bytes, int], str]) -> DataFrame:
+    """trees after the edits of their column `edits`, with n_tokens_before and n_reencoded.
+
+    edits is an array of (start, end, new): text[start:end] becomes new, one edit after another, in code points of the text
+    as it then is; equal edits each count. Null or empty edits change nothing; a null part of an edit is 0 or empty; places
+    beyond the text are cut to it. Only the pre-tokens that an edit can change are encoded. Null and repeated ids are rows
+    like others; no shuffle; memory follows the longest text.
+    """
+    spark = trees.sparkSession
+    importable(spark)
+    sent = spark.sparkContext.broadcast(vocabulary)
+    rows = trees.select("doc_id", "text", "edits", *TREE_NAMES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(*sent.value)
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                out = []
-                for doc_id, text, edits in zip(pdf["doc_id"][at : at + 256], pdf["text"][at : at + 256], pdf["edits"][at : at + 256], strict=True):
-                    tree = TokenTree(tokenizer, text or "")
-                    before = tree.n_tokens
-                    for e in edits if edits is not None else ():
-                        tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "")
-                    out.append((doc_id, before, tree.n_tokens, tree.n_pretokens, tree.reencoded, tree.text))
-                yield pd.DataFrame(out, columns=["doc_id", "n_tokens_before", "n_tokens", "n_pretokens", "n_reencoded", "edited_text"])
-
-    rows = docs.select(F.col("doc_id").cast("string"), "text", "edits")
-    out = rows.mapInPandas(run, "doc_id string, n_tokens_before long, n_tokens long, n_pretokens long, n_reencoded long, edited_text string")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+        for part in _packets(batches):
+            kept = zip(part.column("text").to_pylist(), *(_rows(part.column(c)) for c in TREE_NAMES[:3]), strict=True)
+            done = [TokenTree.of_parts(tokenizer, *x) for x in kept]
+            for tree, edits in zip(done, part.column("edits").to_pylist(), strict=True):
+                for e in edits or ():
+                    tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "")
+            own = [part.column("doc_id"), pa.array([t.text for t in done], pa.string()), part.column("n_tokens"), pa.array([t.reencoded for t in done], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, *_columns(done)], ["doc_id", "text", "n_tokens_before", "n_reencoded", *TREE_NAMES])
+
+    return rows.mapInArrow(run, _with(rows, ("edits", *TREE_NAMES), "n_tokens_before long, n_reencoded long, "))
+
+
+def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary: tuple[dict[bytes, int], str]) -> DataFrame:
+    """Kept trees after a batch of edits (doc_id, edits), as `build_trees` gives them.
+
+    Only edited documents go through Python; all others are passed on as they are. Several rows of one id are one list of
+    edits, in the order of the arrays' values; edits of a null id go to the rows with a null id, those of an unknown id
+    nowhere. Rows that share an id all take its edits.
+    """
+    batch = edits.groupBy(F.col("doc_id").alias("__id")).agg(F.flatten(F.sort_array(F.collect_list("edits"))).alias("edits")).filter(F.size("edits") > 0)
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    kept = trees.select("doc_id", "text", *TREE_NAMES)
+    edited = edit_trees(kept.join(batch, same).drop("__id"), vocabulary)
+    return kept.join(batch, same, "left_anti").unionByName(edited.select(*kept.columns))
+
+
+def count_edited(docs: DataFrame, vocabulary: tuple[dict[bytes, int], str]) -> DataFrame:
+    """(doc_id, n_tokens_before, n_tokens, n_pretokens, n_reencoded, edited_text) of docs (doc_id, text, edits).
+
+    Trees are built and edited in one go, for documents whose trees nobody keeps; rules as in `edit_trees`.
+    """
+    out = edit_trees(build_trees(docs, vocabulary), vocabulary)
+    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_pretokens", "n_reencoded", F.col("text").alias("edited_text"))
 
 
 def revision_edits(text: str = "text", doc_id: str = "doc_id"):
@@ -211,6 +298,7 @@ def revision_edits(text: str = "text", doc_id: str = "doc_id"):
 
 
 def token_digest(docs: DataFrame, vocabulary: tuple[dict[bytes, int], str]) -> DataFrame:
-    rows = docs.select("doc_id", "text").withColumn("edits", revision_edits())
-    out = count_edited(rows, vocabulary)
-    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_pretokens", "n_reencoded", F.crc32("edited_text").alias("edited_crc32"))
+    """Builds and stores the trees of all documents, then edits the stored ones."""
+    trees = Scratch(docs.sparkSession).write(build_trees(docs.select("doc_id", "text"), vocabulary), "trees")
+    out = edit_trees(trees.withColumn("edits", revision_edits()), vocabulary)
+    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_pretokens", "n_reencoded", F.crc32("text").alias("edited_crc32"))

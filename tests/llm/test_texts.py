@@ -499,3 +499,23 @@ def test_minhash_rest_in_blocks(spark, monkeypatch):
         return [at.index(x) for x in at]
 
     assert united(found) == united(want)
+
+
+def test_kept_trees_take_batches_of_edits(spark):
+    """A second batch encodes its own regions only; other documents' rows stay as they are, and counts equal a new count."""
+    vocabulary = tokencounts.default_vocabulary()
+    tok = tokencounts.Tokenizer(*vocabulary)
+    texts = [(1, "some words in a row, and more of them " * 300), (2, None), (3, ""), (3, "same id"), (None, "no id"), (4, "never edited")]
+    kept = tokencounts.build_trees(spark.createDataFrame(texts, "doc_id long, text string"), vocabulary).cache()
+    one = "doc_id long, edits array<struct<start:int,end:int,new:string>>"
+    first = spark.createDataFrame([(1, [(5, 10, "things")]), (2, [(0, 0, "new text")]), (9, [(0, 0, "nowhere")])], one)
+    second = spark.createDataFrame([(1, [(4000, 4005, None)]), (3, [(0, 0, "x ")]), (None, [(0, 2, "an")])], one)
+    after = tokencounts.apply_edits(tokencounts.apply_edits(kept, first, vocabulary), second, vocabulary).collect()
+    want = [texts[0][1][:5] + "things" + texts[0][1][10:], "new text", "x ", "x same id", "an id", "never edited"]
+    want[0] = want[0][:4000] + want[0][4005:]
+    assert sorted(r.text for r in after) == sorted(want)
+    for r in after:
+        words = tok.cut(r.text)
+        assert r.lengths == [len(w) for w in words] and r.n_pretokens == len(words) == sum(r.leaves) and r.n_tokens == sum(r.tokens) == sum(tok.counts[w] for w in words)
+    again = tokencounts.edit_trees(kept.join(second, "doc_id"), vocabulary).filter("doc_id = 1").first()
+    assert 0 < again.n_reencoded < 8 and again.n_tokens_before == kept.filter("doc_id = 1").first().n_tokens

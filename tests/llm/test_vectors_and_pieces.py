@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -173,3 +174,26 @@ def test_against_sql(spark, name):
     at = [rel.columns.index(c) for c in cols]
     assert sorted(rel.columns) == cols
     assert sorted(map(tuple, df.select(*cols).collect()), key=str) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=str)
+
+
+def test_many_vectors_of_a_label_go_through_the_graphs_of_several_shards(spark, monkeypatch):
+    """20,000 vectors in 3 shards: pairs, a family of 400 and lone vectors; graphs walk, as a beam is far below a quarter."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(9_800, 24))
+    near = base + rng.normal(size=base.shape) * rng.choice([0.02, 0.2, 0.6], size=(len(base), 1))
+    family = rng.normal(size=24) + rng.normal(size=(400, 24)) * 0.05
+    rows = np.concatenate([base, near, family])
+    calls = []
+    plain = neardup.Graph.search
+    monkeypatch.setattr(neardup.Graph, "search", lambda self, *a: (calls.append(len(self.unit)), plain(self, *a))[1])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    expected = np.zeros(len(rows), int)
+    for at in range(0, len(rows), 2_000):
+        expected[at : at + 2_000] = (unit[at : at + 2_000] @ unit.T >= neardup.THRESHOLD).sum(axis=1) - 1
+    neardup.linked(neardup.Graph(unit[:4_000]), unit[:200])
+    assert calls == [4_000]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(rows)), "embedding": list(rows), "label": 1}))
+    got = df.transform(neardup.near_duplicates).select("vec_id", "n_links").toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    recall = got.sum() / expected.sum()
+    print("recall", recall)
+    assert (got <= expected).all() and recall >= 0.995
