@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -192,7 +191,7 @@ def test_many_vectors_of_a_label_go_through_the_graphs_of_several_shards(spark,
         expected[at : at + 2_000] = (unit[at : at + 2_000] @ unit.T >= neardup.THRESHOLD).sum(axis=1) - 1
     neardup.linked(neardup.Graph(unit[:4_000]), unit[:200])
     assert calls == [4_000]
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(rows)), "embedding": list(rows), "label": 1}))
+    df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(rows.tolist())], "vec_id long, embedding array<double>, label int")
     got = df.transform(neardup.near_duplicates).select("vec_id", "n_links").toPandas().sort_values("vec_id")["n_links"].to_numpy()
     recall = got.sum() / expected.sum()
     print("recall", recall)
