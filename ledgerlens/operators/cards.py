@@ -54,7 +54,7 @@ def card(a, gid: int, most: int = 5) -> DataFrame:
     about = a.cluster_table.select("cluster_id", F.col("n_nodes").alias("k_nodes"), F.col("n_seed").alias("k_seed"), "hypothesis", "stability")
     row = a.scored.filter(c("gid") == gid).join(about, "cluster_id", "left").crossJoin(a.scored.agg(F.count("*").alias("total")))
     row = row.crossJoin(_partners(a, gid, "dst", "src", "Крупнейшие плательщики", "←", most)).crossJoin(_partners(a, gid, "src", "dst", "Крупнейшие получатели", "→", most))
-    filled = lambda name: c(name).isNotNull() & (c(name) != "")
+    filled = lambda name: ~F.coalesce(c(name), F.lit("")).isin("", "-")
     parts = F.concat_ws(" + ", *(_t(f"{word} ", number(c(f"prio_{k}"), 2)) for k, word in PARTS.items()))
     cluster = _t("Кластер ", c("cluster_id"), F.when(c("k_nodes").isNotNull(), _t(" (", c("k_nodes"), " узл., ", c("k_seed"), " seed", F.coalesce(_t(", устойчивость ", number(c("stability"), 2)), F.lit("")), "): ", F.coalesce("hypothesis", F.lit("")))).otherwise(""))
     guess = F.when(c("truncated") & c("p_forward").isNotNull(), _t("; оценка P(пересылает дальше) = ", number(c("p_forward") * 100, 0), "%")).otherwise("")
