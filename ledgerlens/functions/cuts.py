@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where that is unset, on a local master, a folder of our own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:

@@ -159,6 +159,22 @@ def paths(edges: DataFrame, src: int, dst: int, longest: int, scratch: Scratch)
     return out.select("nodes", F.col("low").alias("bottleneck_kzt"), (F.size("nodes") - 1).alias("n_hops"))
 
 
+def shortest_path(edges: DataFrame, src: int, dst: int, scratch: Scratch) -> DataFrame:
+    """(nodes, n_hops): one path of fewest edges, by the smallest id at each step back from dst; no row where dst is out of reach.
+
+    The driver sees the number of hops only; the path is a single row.
+    """
+    start = edges.sparkSession.range(1).select(F.lit(0).alias("key"), F.lit(src).cast("long").alias("gid"))
+    ways = scratch.write(reach(edges.select("src", "dst"), start, scratch).select("gid", "hops"), "ways")
+    path = ways.filter(F.col("gid") == dst).select(F.array("gid").alias("nodes"), F.col("hops").alias("n_hops"))
+    end = path.first()
+    for k in range(end["n_hops"] - 1 if end else -1, -1, -1):
+        before = edges.select("src", "dst").join(ways.filter(F.col("hops") == k).select(F.col("gid").alias("src")), "src", "left_semi")
+        back = path.join(before, F.get("nodes", F.lit(0)) == F.col("dst")).groupBy("nodes", "n_hops").agg(F.min("src").alias("src"))
+        path = scratch.write(back.select(F.array_prepend("nodes", F.col("src")).alias("nodes"), "n_hops"), f"back{k}")
+    return path
+
+
 def common_counterparties(edges: DataFrame, gids: list[int], direction: str, hops: int, scratch: Scratch) -> DataFrame:
     """(gid, n_linked, linked): nodes within `hops` (1..4) of two or more given nodes, without these; linked has the hops."""
     spark = edges.sparkSession

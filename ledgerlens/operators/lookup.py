@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cuts import Scratch
-from . import graph
+from ..sources import sinks
+from . import flows, graph
 
 #: Characters of the JSON that a call gives.
 MOST_CHARS = 12_000
@@ -104,6 +105,14 @@ def call(a, name: str, arguments: dict | None = None) -> str:
         about = every.limit(max(1, int(limit))).join(a.scored.select("gid", "role", "priority_score"), "gid", "left")
         return {"total": every.count(), "rows": _records(about.orderBy(F.desc("sum_kzt"), "direction", "gid"))}
 
+    def overview() -> dict:
+        """Totals, metrics and the first five nodes."""
+        sums = one(flows.totals(a.net).crossJoin(sinks.metrics(a.scored, a.cluster_table)))  # one row each
+        return {**sums, "top": _records(top(a.scored, n=5).select("rank", "gid", "role", "priority_score", "cluster_id"))}
+
+    def shortest(src: int, dst: int) -> dict:
+        return one(graph.shortest_path(a.net.edges, int(src), int(dst), a.scratch))
+
     def ranked(role: str | None = None, cluster_id: int | None = None, n: int = 10) -> dict:
         rows = a.scored if role is None else a.scored.filter(F.col("role") == role)
         rows = rows if cluster_id is None else rows.filter(F.col("cluster_id") == int(cluster_id))
@@ -116,6 +125,8 @@ def call(a, name: str, arguments: dict | None = None) -> str:
         return found[0]
 
     tools = {
+        "overview": overview,
+        "shortest_path": shortest,
         "get_node": lambda gid: one(node(a.scored, a.net.edges, a.cluster_table, int(gid))),
         "cluster_summary": lambda cluster_id: one(cluster(a.scored, a.cluster_table, int(cluster_id))),
         "neighbors": neighbours,

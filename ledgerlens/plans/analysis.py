@@ -131,7 +131,7 @@ class Analysis:
         return resilience.resilience(self.scored.select("gid", "is_seed", "rank"), self.net.edges, self.scratch)
 
     def write(self, path: str) -> DataFrame:
-        """Writes all tables below path and returns the check of what was written."""
+        """Writes all tables below path and returns the check of the written files, read again."""
         nodes = self._keep(sinks.nodes_roles(self.scored), "nodes_roles")
         routes = self.routes.withColumns({"first": F.date_format("first", "yyyy-MM-dd"), "last": F.date_format("last", "yyyy-MM-dd")})
         cyc = self.cycles.withColumn("path", F.array_join(F.transform(F.array_append("path", F.col("path")[0]), lambda x: x.cast("string")), " → "))
@@ -146,4 +146,6 @@ class Analysis:
         for name, df in sinks.document(self.scored, self.net.edges, self.cluster_table, temporal.edge_lists(self.net.transactions)).items():
             sinks.write_json(df, f"{path}/graph/{name}")
         sinks.metrics(self.scored, self.cluster_table).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
-        return sinks.validate(self.net.nodes, nodes, self.cluster_table, self.top_nodes)
+        tables = {f"{path}/nodes_roles": nodes, f"{path}/clusters": self.cluster_table, f"{path}/top_nodes": self.top_nodes}
+        spark = self.net.nodes.sparkSession
+        return sinks.validate(self.net.nodes, *(sinks.written(spark, p, x) for p, x in tables.items())).unionByName(sinks.headers(spark, tables))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..config import CONFIDENCE, PRIORITY, ROLE_NAMES
+
 PAGERANK_STEPS = 30
 
 
@@ -240,6 +242,11 @@ lv2 AS (SELECT le.scenario, sum(sum_kzt) AS volume FROM le JOIN lr ON lr.scenari
 _PATHS = """
 pa AS (SELECT [7::BIGINT] AS nodes, 'inf'::DOUBLE AS low
        UNION ALL SELECT list_append(nodes, e.dst), least(low, sum_kzt) FROM pa JOIN edges e ON e.src = nodes[-1] WHERE len(nodes) <= 3 AND nodes[-1] <> 37 AND NOT list_contains(nodes, e.dst))"""
+_SHORTEST = """
+sh AS (SELECT 7::BIGINT AS gid, 0 AS hops UNION SELECT e.dst, hops + 1 FROM sh JOIN edges e ON e.src = sh.gid WHERE hops < 12),
+sd AS MATERIALIZED (SELECT gid, min(hops) AS hops FROM sh GROUP BY gid),
+sb AS MATERIALIZED (SELECT e.dst AS gid, min(e.src) AS before FROM edges e JOIN sd a ON a.gid = e.src JOIN sd b ON b.gid = e.dst WHERE b.hops = a.hops + 1 GROUP BY e.dst),
+sw AS (SELECT [gid] AS nodes FROM sd WHERE gid = 37 UNION ALL SELECT list_prepend(sb.before, nodes) FROM sw JOIN sb ON sb.gid = nodes[1] WHERE nodes[1] <> 7)"""
 _COMMON = """
 cr AS (SELECT unnest([7, 37, 67])::BIGINT AS key, unnest([7, 37, 67])::BIGINT AS gid, 0 AS hops UNION SELECT cr.key, e.dst, hops + 1 FROM cr JOIN edges e ON e.src = cr.gid WHERE hops < 2),
 cm AS (SELECT key, gid, min(hops) AS hops FROM cr GROUP BY 1, 2)"""
@@ -264,6 +271,14 @@ rq AS (SELECT gid, 'Наличные/межбанковские операции
 _PRIO = ", ".join(f"prio_{k}" for k in _W)
 _TYPE = "CASE role WHEN 'consolidator' THEN 'funnel account (воронка)' WHEN 'distributor' THEN 'fan-out payouts' WHEN 'transit' THEN 'pass-through / money mule layering' END"
 
+_NAMES = ", ".join(f"('{role}', '{name}', {i})" for i, (role, name) in enumerate(ROLE_NAMES.items()))
+_TOTALS = f"SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM nodes WHERE is_seed) AS n_seed, (SELECT count(*) FROM edges) AS n_edges, {_r('(SELECT sum(sum_kzt) FROM edges)', 2)} AS total_kzt, count(*) AS n_tx, min(date) AS first_date, max(date) AS last_date FROM tx"
+
+
+def _levels(levels, x: str, compare: str) -> str:
+    return "CASE " + " ".join(f"WHEN {x} {compare} {bound} THEN '{text}'" for bound, text in levels[:-1]) + f" ELSE '{levels[-1][1]}' END"
+
+
 SQL = {
     "edges_agg": _with() + f"SELECT src, dst, {_r('sum_kzt')} AS sum_kzt, n_tx FROM edges",
     "node_flows": _with(STRUCT) + f"""SELECT gid, depth, is_seed, in_deg, in_kzt, in_tx, out_deg, out_kzt, out_tx, CASE WHEN in_kzt > 0 THEN {_r('out_kzt / in_kzt')} END AS pass_through,
@@ -294,10 +309,11 @@ SQL = {
     "neighbors": _with() + f"SELECT src AS gid, 'in' AS direction, {_r('sum_kzt')} AS sum_kzt, n_tx FROM edges WHERE dst = 7 UNION ALL SELECT dst, 'out', {_r('sum_kzt')}, n_tx FROM edges WHERE src = 7",
     "partners": _with() + f"SELECT src AS gid, 'in' AS direction, {_r('sum(sum_kzt)')} AS sum_kzt, count(*) AS n_tx, min(date) AS first, max(date) AS last FROM tx WHERE dst = 7 GROUP BY src UNION ALL SELECT dst, 'out', {_r('sum(sum_kzt)')}, count(*), min(date), max(date) FROM tx WHERE src = 7 GROUP BY dst",
     "top_paths": _with(_PATHS) + f"SELECT array_to_string(nodes, '>') AS nodes, {_r('low')} AS bottleneck_kzt, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM pa WHERE nodes[-1] = 37 ORDER BY low DESC, len(nodes), nodes LIMIT 20",
+    "shortest_path": _with(_SHORTEST) + "SELECT array_to_string(nodes, '>') AS nodes, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM sw WHERE nodes[-1] = 37",
     "find_paths": _with(_PATHS) + f"SELECT array_to_string(nodes, '>') AS nodes, {_r('low')} AS bottleneck_kzt, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM pa WHERE nodes[-1] = 37",
     "common_counterparties": _with(_COMMON) + "SELECT gid, count(*) AS n_linked, string_agg(key || ':' || hops, ',' ORDER BY key) AS linked FROM cm WHERE hops > 0 AND gid NOT IN (7, 37, 67) GROUP BY gid HAVING count(*) >= 2",
     "edge_tx_lists": _with() + "SELECT src, dst, string_agg(CAST(date AS VARCHAR) || ' ' || CAST(round_even(sum_kzt * 100, 0) AS BIGINT), ',' ORDER BY date, sum_kzt) AS transfers FROM tx GROUP BY src, dst",
-    "graph_totals": _with() + f"SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM nodes WHERE is_seed) AS n_seed, (SELECT count(*) FROM edges) AS n_edges, {_r('(SELECT sum(sum_kzt) FROM edges)', 2)} AS total_kzt, count(*) AS n_tx, min(date) AS first_date, max(date) AS last_date FROM tx",
+    "graph_totals": _with() + _TOTALS,
     "cluster_flows": _with(COMPONENTS, _FLOWS) + "SELECT * FROM cf",
     "modularity": _with(PAIRS, COMPONENTS) + f"""SELECT {_r('sum(l / m - (k / (2 * m)) * (k / (2 * m)))')} AS modularity FROM (SELECT c, sum(w) AS k, sum(i) AS l FROM (
         SELECT x.cluster_id AS c, weight AS w, CASE WHEN x.cluster_id = y.cluster_id THEN weight ELSE 0 END AS i FROM pairs JOIN cl x ON x.gid = a JOIN cl y ON y.gid = b
@@ -314,4 +330,16 @@ SQL = {
     "cluster_top": _with(*_ALL, _FLOWS, _GIANT) + """SELECT cluster_id, count(*) AS n_nodes, count(*) FILTER (is_seed) AS n_seed, coalesce(any_value(sum_kzt_internal), 0) AS sum_kzt_internal,
         string_agg(gid::VARCHAR, ';' ORDER BY nth) FILTER (nth <= 5) AS top_gids, NOT bool_or(gid IN (SELECT gid FROM gg)) AS isolated_fragment, max(priority_score) AS max_priority
         FROM (SELECT scored.*, cl.cluster_id, row_number() OVER (PARTITION BY cl.cluster_id ORDER BY priority_score DESC, scored.gid) AS nth FROM scored JOIN cl USING (gid)) LEFT JOIN cf USING (cluster_id) GROUP BY cluster_id""",
+    "cluster_roles": _with(*_ALL, _FLOWS) + f"""SELECT g.cluster_id, string_agg(name || ': ' || n, ', ' ORDER BY n DESC, nth) AS roles_mix, coalesce(any_value(sum_kzt_in_external), 0) AS sum_kzt_in_external, coalesce(any_value(sum_kzt_out_external), 0) AS sum_kzt_out_external
+        FROM (SELECT cluster_id, role, count(*) AS n FROM scored JOIN cl USING (gid) GROUP BY 1, 2) g JOIN (VALUES {_NAMES}) v(role, name, nth) USING (role) LEFT JOIN cf ON cf.cluster_id = g.cluster_id GROUP BY g.cluster_id""",
+    "top_by_component": _with(*_ALL) + f"""SELECT rank, gid, role, priority_score, cluster_id, is_seed, in_kzt, out_kzt, {_levels(CONFIDENCE, 'role_score', '>=')} AS confidence, {_levels(PRIORITY, 'rank', '<=')} AS level
+        FROM scored JOIN cl USING (gid) WHERE rank <= 50""",
+    "overview_by_component": _with(*_ALL) + f"""SELECT n_nodes, n_seed, n_edges, total_kzt, n_tx, first_date, last_date, {', '.join(f"count(*) FILTER (role = '{r}') AS n_{r}" for r in ROLE_NAMES)},
+        count(*) FILTER (rank <= 20 AND NOT is_seed) AS new_leads_top20, count(*) FILTER (in_kzt > 0 AND out_kzt / in_kzt BETWEEN 0.8 AND 1.2) AS n_ratio_near_1,
+        count(DISTINCT cluster_id) AS n_clusters, (SELECT count(*) FROM (SELECT cluster_id FROM nodes JOIN cl USING (gid) WHERE is_seed GROUP BY 1 HAVING count(*) > 1)) AS n_clusters_with_seeds
+        FROM scored JOIN cl USING (gid), ({_TOTALS}) t GROUP BY ALL""",
+    "node_record": _with(*_ALL) + """SELECT gid, role, priority_score, rank, cluster_id, (SELECT count(*) FROM cl x WHERE x.cluster_id = cl.cluster_id) AS cluster_n_nodes, (SELECT count(*) FROM cl x JOIN nodes USING (gid) WHERE x.cluster_id = cl.cluster_id AND is_seed) AS cluster_n_seed,
+        (SELECT coalesce(string_agg(g || ':' || CAST(round_even(s * 100, 0) AS BIGINT) || ':' || n, ',' ORDER BY s DESC, g DESC), '') FROM (SELECT src AS g, sum_kzt AS s, n_tx AS n FROM edges WHERE dst = 7 ORDER BY s DESC, g DESC LIMIT 5)) AS top_payers,
+        (SELECT coalesce(string_agg(g || ':' || CAST(round_even(s * 100, 0) AS BIGINT) || ':' || n, ',' ORDER BY s DESC, g DESC), '') FROM (SELECT dst AS g, sum_kzt AS s, n_tx AS n FROM edges WHERE src = 7 ORDER BY s DESC, g DESC LIMIT 5)) AS top_payees
+        FROM scored JOIN cl USING (gid) WHERE gid = 7""",
 }

@@ -15,16 +15,26 @@ from ..sources import network, sinks
 from .analysis import Analysis
 from .oracles import PAGERANK_STEPS, SQL
 
-_memo: dict[tuple, Analysis] = {}
+_memo: dict[tuple, tuple[tuple, Analysis]] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Size, number of files and time of change of a table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    about = fs.getContentSummary(at)
+    return about.getLength(), about.getFileCount(), fs.getFileStatus(at).getModificationTime()
 
 
 def analysis(spark: SparkSession, sf_dir: str, by_component: bool = False) -> Analysis:
     """The analysis of a data folder, kept for the session: a query computes only the steps that no other has asked for.
 
+    A changed event table gets a new analysis.
+
     by_component: clusters are the components of the edges with two transfers or more, which SQL can express.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, by_component)
-    if key not in _memo:
+    key, state = (spark.sparkContext.applicationId, sf_dir, by_component), _state(spark, f"{sf_dir}/events.parquet")
+    if key not in _memo or _memo[key][0] != state:
         importable(spark)
         if by_component:
             base = analysis(spark, sf_dir)
@@ -32,10 +42,10 @@ def analysis(spark: SparkSession, sf_dir: str, by_component: bool = False) -> An
             other = Analysis(base.net, EVENTS, found.select(F.col("node").alias("gid"), (F.col("component") + 1).alias("cluster_id")), PAGERANK_STEPS)
             for step in ("structure", "pagerank", "betweenness", "forward_cells", "features", "pairs", "cycles", "routes"):
                 other.__dict__[step] = getattr(base, step)
-            _memo[key] = other
+            _memo[key] = state, other
         else:
-            _memo[key] = Analysis(network.from_events(spark.read.parquet(f"{sf_dir}/events.parquet")), EVENTS, pagerank_steps=PAGERANK_STEPS)
-    return _memo[key]
+            _memo[key] = state, Analysis(network.from_events(spark.read.parquet(f"{sf_dir}/events.parquet")), EVENTS, pagerank_steps=PAGERANK_STEPS)
+    return _memo[key][1]
 
 
 def components_of(a: Analysis) -> DataFrame:
@@ -61,6 +71,13 @@ def _removal(a: Analysis) -> DataFrame:
     return resilience.measure(a.net.nodes, a.net.edges, gone, scenarios, a.scratch)
 
 
+def _node_record(a: Analysis) -> DataFrame:
+    """Node 7 with its cluster's size and its largest payers and payees, amounts in hundredths."""
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["gid"], F.rint(x["sum_kzt"] * 100).cast("bigint"), x["n_tx"])), ",").alias(c)
+    found = lookup.node(a.scored, a.net.edges, a.cluster_table, 7)
+    return found.select("gid", "role", "priority_score", F.col("rank").cast("long").alias("rank"), "cluster_id", "cluster_n_nodes", "cluster_n_seed", listed("top_payers"), listed("top_payees"))
+
+
 def _written(a: Analysis) -> DataFrame:
     return a.write(f"{a.scratch.root}/output")
 
@@ -93,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "neighbors": lambda a: graph.neighbours(a.net.edges, 7),
         "partners": lambda a: lookup.partners(a.net.transactions, 7),
         "top_paths": lambda a: lookup.ranked_paths(a.net.edges, 7, 37, 3, a.scratch, 20).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "bottleneck_kzt", "n_hops"),
+        "shortest_path": lambda a: graph.shortest_path(a.net.edges, 7, 37, a.scratch).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "n_hops"),
         "find_paths": lambda a: graph.paths(a.net.edges, 7, 37, 3, a.scratch).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "bottleneck_kzt", "n_hops"),
         "common_counterparties": lambda a: graph.common_counterparties(a.net.edges, [7, 37, 67], "out", 2, a.scratch).select("gid", "n_linked", F.array_join(F.transform("linked", lambda x: F.concat_ws(":", x["gid"], x["hops"])), ",").alias("linked")),
         "edge_tx_lists": lambda a: temporal.edge_lists(a.net.transactions).select("src", "dst", F.array_join(F.transform("transfers", lambda x: F.concat_ws(" ", F.date_format(x["date"], "yyyy-MM-dd"), F.rint(x["sum_kzt"] * 100).cast("bigint"))), ",").alias("transfers")),
@@ -122,6 +140,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_nodes": lambda a: lookup.search(a.scored, role="consolidator", min_in_deg=6, min_priority=0.3).select("gid", "rank"),
         "resolve_suffix": lambda a: lookup.resolve(a.scored, "x-7").select("gid", "tier"),
         "cluster_top": lambda a: a.cluster_table.select("cluster_id", "n_nodes", "n_seed", "sum_kzt_internal", "top_gids", "isolated_fragment", "max_priority"),
+        "cluster_roles": lambda a: a.cluster_table.select("cluster_id", "roles_mix", "sum_kzt_in_external", "sum_kzt_out_external"),
+        "top_by_component": lambda a: a.top_nodes.select(F.col("rank").cast("long").alias("rank"), "gid", "role", "priority_score", "cluster_id", "is_seed", "in_kzt", "out_kzt", "confidence", "level"),
+        "overview_by_component": lambda a: flows.totals(a.net).crossJoin(sinks.metrics(a.scored, a.cluster_table)),
+        "node_record": _node_record,
     }
     make = lambda f, by: lambda spark, sf_dir: rounded(f(analysis(spark, sf_dir, by)))
     return {k: make(f, False) for k, f in plain.items()} | {k: make(f, True) for k, f in fixed.items()}

@@ -62,6 +62,17 @@ def metrics(scored: DataFrame, clusters: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
+def written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A written CSV table with the types of `like`; an empty text and a null are one in CSV and come back as empty text."""
+    return spark.read.schema(like.schema).option("header", True).csv(path).na.fill("")
+
+
+def headers(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """(rule, n_violations): columns of the written tables {path: like} that are missing, renamed (a byte order mark does that) or out of place."""
+    count = lambda path, like: len(set(enumerate(spark.read.option("header", True).csv(path).columns)) ^ set(enumerate(like.columns)))
+    return spark.range(1).select(F.lit("columns").alias("rule"), F.lit(sum(count(p, x) for p, x in tables.items())).cast("long").alias("n_violations"))
+
+
 def validate(nodes: DataFrame, roles: DataFrame, clusters: DataFrame, top: DataFrame) -> DataFrame:
     """(rule, n_violations) over written tables; all zero means they hold."""
     known, ends = nodes.select("gid"), roles.select("gid")
@@ -82,6 +93,7 @@ def validate(nodes: DataFrame, roles: DataFrame, clusters: DataFrame, top: DataF
         "cluster_unknown": bad(roles.join(clusters, "cluster_id", "left_anti")),
         "cluster_sizes": bad(sizes.filter("n <> n0 OR s <> s0")),
         "hypothesis": bad(clusters.filter("hypothesis IS NULL")),
+        "priority_rises": bad(roles.select("rank", "priority_score").join(roles.select((F.col("rank") - 1).alias("rank"), F.col("priority_score").alias("next")), "rank").filter("next > priority_score")),
         "top_differs": bad(again.filter("r IS NULL OR r <> role OR abs(p - priority_score) > 1e-9")),
         "top_few": top.agg(F.when(F.count("*") < F.least(F.lit(20), F.lit(nodes.count())), 1).otherwise(0).cast("long").alias("n_violations")),
         "top_ranks": top.agg(F.when((F.count("*") > 0) & ((F.min("rank") != 1) | (F.max("rank") != F.count("*")) | (F.countDistinct("rank") != F.count("*"))), 1).otherwise(0).cast("long").alias("n_violations")),
