@@ -8,6 +8,7 @@ threshold move to the settled run. Equal keys are never held as texts: two 64-bi
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,14 +46,55 @@ def line_keys(text: str) -> Column:
     return F.transform(keys, key_hash)
 
 
+class Kept(Scratch):
+    """Tables of a folder that outlive the session; names never repeat."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.count = spark, root.rstrip("/"), 0
+
+    def write(self, df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataFrame:
+        return super().write(df, f"{name}-{uuid.uuid4().hex}", sort=sort)
+
+    def saved(self) -> list[str]:
+        """Complete states, oldest first."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state/*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+        return sorted(x.getPath().getParent().toString() for x in found)
+
+
 class LineRuns:
-    """The runs; `add` a batch, then `settled` has the keys of at least min_docs documents."""
+    """The runs; `add` a batch, then `settled` has the keys of at least min_docs documents.
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.scratch = Scratch(spark)
-        self.min_docs, self.fanout = min_docs, fanout
+    path: a folder that keeps the runs. Runs of one path go on where the last complete batch left them, in a later session
+    too: each batch ends with a new list of its runs, and replaced runs are deleted after that. One writer at a time; a batch
+    that was broken off is added again. Without a path the runs are scratch tables.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, path: str | None = None):
+        self.spark, self.kept = spark, path is not None
+        self.scratch = Kept(spark, path) if path else Scratch(spark)
+        self.min_docs, self.fanout, self.batches = min_docs, fanout, 0
         self.levels: list[list[DataFrame]] = [[]]
         self.done: list[DataFrame] = []
+        self.stale: list[DataFrame] = []
+        if path and (states := self.scratch.saved()):
+            self.batches = int(states[-1].rsplit("/", 1)[1])
+            # One row a run, and at most fanout runs a level.
+            for r in spark.read.parquet(states[-1]).orderBy("level", "nth").collect():
+                run = spark.read.parquet(r["path"])
+                run._scratch_path = r["path"]
+                while r["level"] >= len(self.levels):
+                    self.levels.append([])
+                (self.done if r["level"] < 0 else self.levels[r["level"]]).append(run)
+
+    def _save(self) -> None:
+        self.batches += 1
+        if self.kept:
+            runs = [(level, nth, x._scratch_path) for level, xs in enumerate([self.done, *self.levels], -1) for nth, x in enumerate(xs)]
+            self.spark.createDataFrame(runs, "level int, nth int, path string").coalesce(1).write.parquet(f"{self.scratch.root}/state/{self.batches:09d}")
+        for run in self.stale:
+            self.scratch.drop(run)
+        self.stale = []
 
     def add(self, docs: DataFrame) -> None:
         """Adds a batch of documents (text)."""
@@ -64,6 +106,10 @@ class LineRuns:
         for run in self.done:
             counts = counts.join(run, ["h1", "h2"], "left_anti")
         self._push(0, self.scratch.write(counts, "run0", sort=["h1", "h2"]))
+        if len(self.done) >= self.fanout:
+            one = self.scratch.write(reduce(DataFrame.unionByName, self.done).distinct(), "settled", sort=["h1", "h2"])
+            self.stale, self.done = self.stale + self.done, [one]
+        self._save()
 
     def _push(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
@@ -77,20 +123,22 @@ class LineRuns:
         """One run of the sums; keys that have reached the threshold move to the settled runs."""
         merged = self.scratch.write(reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")), f"run{level}", sort=["h1", "h2"])
         self.done.append(self.scratch.write(merged.filter(F.col("n_docs") >= self.min_docs).select("h1", "h2"), "settled", sort=["h1", "h2"]))
-        for run in runs:
-            self.scratch.drop(run)
+        self.stale += runs
         left = self.scratch.write(merged.filter(F.col("n_docs") < self.min_docs), f"left{level}", sort=["h1", "h2"])
         self.scratch.drop(merged)
         return left
 
     def settled(self) -> DataFrame:
-        """Compacts what is left and returns (h1, h2) of all keys found in at least min_docs documents."""
-        left = [run for level in self.levels for run in level]
+        """(h1, h2) of all keys found in at least min_docs documents so far; the runs stay as they are, and more batches may follow."""
+        found, left = list(self.done), [run for level in self.levels for run in level]
         if left:
             total = reduce(DataFrame.unionByName, left).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
-            self.done.append(self.scratch.write(total.filter(F.col("n_docs") >= self.min_docs).select("h1", "h2"), "settled", sort=["h1", "h2"]))
-            self.levels = [[]]
-        return reduce(DataFrame.unionByName, self.done)
+            found.append(self.scratch.write(total.filter(F.col("n_docs") >= self.min_docs).select("h1", "h2"), "reached", sort=["h1", "h2"]))
+            if self.kept:
+                self.stale.append(found[-1])
+        if not found:
+            return self.spark.createDataFrame([], "h1 long, h2 long")
+        return reduce(DataFrame.unionByName, found).distinct() if len(found) > 1 else found[0]
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
