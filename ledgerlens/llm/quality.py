@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WS_CHARS, set_aside
+from .common import Scratch, WORD, WS_CHARS, set_aside
 
 SYMBOLS = "#*$%&|<>"  # fixed value
 
@@ -130,6 +130,18 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return measure(docs, text).withColumn("fail_bits", bits)
 
 
+def stored(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """The ledger as a table without texts, written to path (a new folder) or a scratch table, and read from there.
+
+    Policies and ablations of the result, in this session or a later one, read measurements and bits only.
+    """
+    led = ledger(docs, text).drop(text)
+    if path is None:
+        return Scratch(docs.sparkSession).write(led, "ledger")
+    led.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def verdict(policy: str, bits: str = "fail_bits") -> Column:
     """True where the document passes every rule of the policy."""
     return F.col(bits).bitwiseAND(F.lit(POLICIES[policy])) == 0
@@ -155,6 +167,6 @@ def ablation(led: DataFrame, policy: str) -> DataFrame:
 
 
 def quality_digest(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    led = ledger(docs.select("doc_id", "text"))
+    led = stored(docs.select("doc_id", "text"))
     failed = F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), verdict(policy).alias("kept"), "fail_bits")

@@ -102,6 +102,17 @@ def test_quality_ablation(docs):
         assert (r.failed, r.only_by_this, r.kept_without) == (sum(bool(x & b) for x in bits), sum(x & full == b for x in bits), sum(not x & full & ~b for x in bits))
 
 
+def test_ledger_is_kept(spark, docs, tmp_path):
+    quality.stored(docs, f"file://{tmp_path}/ledger")
+    led = spark.read.parquet(f"file://{tmp_path}/ledger")  # as a later session finds it
+    assert "text" not in led.columns
+    for policy in quality.POLICIES:
+        want = quality.ledger(docs).filter(quality.verdict(policy))
+        assert bag(led.filter(quality.verdict(policy)), "doc_id", "fail_bits") == bag(want, "doc_id", "fail_bits")
+    rows = lambda x: sorted(map(tuple, quality.ablation(x, "v2").collect()))
+    assert rows(led) == rows(quality.ledger(docs))
+
+
 def test_sharding(docs, none):
     out = sharding.shard(docs).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in hard_rows())
@@ -237,6 +248,20 @@ def test_line_runs_are_levelled(spark):
     assert runs.settled().count() == 1
 
 
+def test_line_runs_go_on_where_they_stopped(spark, tmp_path):
+    path, want = f"file://{tmp_path}/runs", Counter()
+    assert linededup.LineRuns(spark, path=path).settled().count() == 0
+    for k in range(11):
+        runs = linededup.LineRuns(spark, min_docs=3, fanout=2, path=path)  # each batch as by a session of its own
+        assert runs.batches == k
+        texts = [f"common\nevery {k % 3}\nonly {k}", f"pair {k // 2}"]
+        runs.add(spark.createDataFrame([(x,) for x in texts], "text string"))
+        want.update(x for t in texts for x in t.split("\n"))
+        hashed = spark.createDataFrame([(x,) for x, n in want.items() if n >= 3], "x string").select(linededup.line_hash(F.col("x")).alias("h")).select("h.*")
+        assert bag(runs.settled(), "h1", "h2") == bag(hashed, "h1", "h2")
+    assert len(runs.done) <= 2
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
