@@ -309,7 +309,7 @@ SQL = {
     "neighbors": _with() + f"SELECT src AS gid, 'in' AS direction, {_r('sum_kzt')} AS sum_kzt, n_tx FROM edges WHERE dst = 7 UNION ALL SELECT dst, 'out', {_r('sum_kzt')}, n_tx FROM edges WHERE src = 7",
     "partners": _with() + f"SELECT src AS gid, 'in' AS direction, {_r('sum(sum_kzt)')} AS sum_kzt, count(*) AS n_tx, min(date) AS first, max(date) AS last FROM tx WHERE dst = 7 GROUP BY src UNION ALL SELECT dst, 'out', {_r('sum(sum_kzt)')}, count(*), min(date), max(date) FROM tx WHERE src = 7 GROUP BY dst",
     "top_paths": _with(_PATHS) + f"SELECT array_to_string(nodes, '>') AS nodes, {_r('low')} AS bottleneck_kzt, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM pa WHERE nodes[-1] = 37 ORDER BY low DESC, len(nodes), nodes LIMIT 20",
-    "shortest_path": _with(_SHORTEST) + "SELECT array_to_string(nodes, '>') AS nodes, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM sw WHERE nodes[-1] = 37",
+    "shortest_path": _with(_SHORTEST) + "SELECT array_to_string(nodes, '>') AS nodes, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM sw WHERE nodes[1] = 7",
     "find_paths": _with(_PATHS) + f"SELECT array_to_string(nodes, '>') AS nodes, {_r('low')} AS bottleneck_kzt, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM pa WHERE nodes[-1] = 37",
     "common_counterparties": _with(_COMMON) + "SELECT gid, count(*) AS n_linked, string_agg(key || ':' || hops, ',' ORDER BY key) AS linked FROM cm WHERE hops > 0 AND gid NOT IN (7, 37, 67) GROUP BY gid HAVING count(*) >= 2",
     "edge_tx_lists": _with() + "SELECT src, dst, string_agg(CAST(date AS VARCHAR) || ' ' || CAST(round_even(sum_kzt * 100, 0) AS BIGINT), ',' ORDER BY date, sum_kzt) AS transfers FROM tx GROUP BY src, dst",
