@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, lm, minhash, mixing, neardup, pieces, quality, sharding, tokencounts, toxicity
+from . import exactdedup, linededup, lm, minhash, mixing, neardup, pieces, quality, sharding, tokencounts, toxicity
 from .common import importable
 
 
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": with_labels(toxicity.toxicity_digest),
         "op9_sentencepiece": docs(lambda x: pieces.pieces_digest(x, pieces.model_file())),
         "op10_lm_scoring": with_labels(lm.lm_digest),
+        "op12_exact_dedup": docs(exactdedup.exact_digest),
     }
 
 
@@ -120,6 +121,11 @@ m AS (SELECT x, min(y) AS low FROM c GROUP BY x)
 SELECT d.doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_shingles, coalesce(low, d.doc_id) AS component_id, d.doc_id = coalesce(low, d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id"""
 
+_COPIES_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+g AS (SELECT t, count(*) AS k, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM d GROUP BY t)
+SELECT doc_id, keep_id, CAST(k AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Shards (xxhash64, crc32), fitted models and tokenizers have no SQL; brute-force tests cover them."""
@@ -129,4 +135,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": _mixing_sql(),
         "op6_line_dedup": _LINES_SQL,
         "op7_minhash_neardup": _SHINGLES_SQL,
+        "op12_exact_dedup": _COPIES_SQL,
     }
