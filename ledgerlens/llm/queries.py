@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, linededup, lm, minhash, mixing, neardup, pieces, quality, sharding, tokencounts, toxicity
+from . import alignment, exactdedup, linededup, lm, minhash, mixing, neardup, pieces, quality, sharding, tokencounts, toxicity
 from .common import importable
 
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": docs(lambda x: pieces.pieces_digest(x, pieces.model_file())),
         "op10_lm_scoring": with_labels(lm.lm_digest),
         "op12_exact_dedup": docs(exactdedup.exact_digest),
+        "op13_alignment": docs(alignment.alignment),
     }
 
 
