@@ -81,7 +81,8 @@ def groups(docs: DataFrame, scratch: Scratch | None = None, identify: Callable[[
     listed = scratch.write(recipes(docs, verified_seed(docs, identify), identify), "recipes")
     first = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
     same = listed.groupBy("recipe").agg(F.count("*").alias("group_size"), first).filter("group_size > 1")
-    stays = same.select("recipe", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
+    # Written, as adaptive execution splits a hot key of a join of two tables, but not of a table with its own sums.
+    stays = scratch.write(same.select("recipe", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")), "stays")
     out = listed.join(stays, "recipe", "left")
     alone = F.col("keep_row").isNull()
     return out.select(

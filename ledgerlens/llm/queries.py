@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, exactdedup, linededup, lm, minhash, mixing, neardup, pieces, quality, sharding, tokencounts, toxicity
+from . import alignment, conversations, exactdedup, linededup, lm, minhash, mixing, neardup, pieces, quality, sharding, tokencounts, toxicity
 from .common import importable
 
 
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": with_labels(toxicity.toxicity_digest),
         "op9_sentencepiece": docs(lambda x: pieces.pieces_digest(x, pieces.model_file())),
         "op10_lm_scoring": with_labels(lm.lm_digest),
+        "op11_conversation_repair": lambda s, d: conversations.repair(_table(s, d, "conversations")),
         "op12_exact_dedup": docs(exactdedup.exact_digest),
         "op13_alignment": docs(alignment.alignment),
     }
@@ -127,6 +128,52 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coales
 g AS (SELECT t, count(*) AS k, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM d GROUP BY t)
 SELECT doc_id, keep_id, CAST(k AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
 
+_REPAIR_SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: ord(ch)::BIGINT)),
+             lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda z, k: xor(z >> 1, 3988292384::BIGINT * (z & 1)))), 4294967295::BIGINT) % 20 AS kind FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM o WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (
+  SELECT *, left(role, 1) AS ini, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS after,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM n),
+s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (after IS NOT NULL AND ini || after NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows
+  FROM f GROUP BY conv_id),
+m(q, letter, role, q2) AS (VALUES (0, 's', '', 1), (0, 'u', 'user', 2), (1, 'u', 'user', 2), (2, 'a', 'assistant', 3), (3, 'u', 'user', 2)),
+w AS (
+  SELECT conv_id, rows, 0 AS i, 0 AS q, {'cost': 0, 'audit': '', 'text': []::VARCHAR[]} AS best FROM s
+  UNION ALL
+  SELECT conv_id, rows, i, q, min(best) FROM (
+    SELECT p.conv_id, p.rows, p.i + 1 AS i, CASE WHEN e.edit = 'D' THEN p.q ELSE m.q2 END AS q,
+           {'cost': p.best.cost + e.cost + CASE WHEN e.edit <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': p.best.audit || e.edit,
+            'text': CASE e.edit WHEN 'D' THEN p.best.text WHEN 'K' THEN list_append(p.best.text, f.role || ':' || f.text) ELSE list_append(p.best.text, m.role || ':' || f.text) END} AS best
+    FROM (
+      SELECT w.conv_id, w.rows, w.i, CASE WHEN x = 1 THEN m.q2 ELSE w.q END AS q,
+             {'cost': w.best.cost + 2 * x, 'audit': w.best.audit || repeat('I', x), 'text': CASE WHEN x = 1 THEN list_append(w.best.text, m.role || ':') ELSE w.best.text END} AS best
+      FROM w CROSS JOIN (VALUES (0), (1)) AS t(x) LEFT JOIN m ON x = 1 AND m.q = w.q AND m.letter <> 's'
+      WHERE w.i < w.rows) AS p
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1
+    CROSS JOIN (VALUES ('D', 3), ('K', 0), ('R', 2)) AS e(edit, cost)
+    LEFT JOIN m ON m.q = p.q AND (e.edit = 'K' AND m.letter = f.ini OR e.edit = 'R' AND m.letter <> 's')
+    WHERE e.edit = 'D' OR m.q2 IS NOT NULL AND f.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY conv_id, rows, i, q),
+r AS (
+  SELECT conv_id, min(CASE WHEN q = 2 THEN {'cost': best.cost + 2, 'audit': best.audit || 'I', 'text': list_append(best.text, 'assistant:')} ELSE best END) AS best
+  FROM w WHERE i = rows AND q <> 1 GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.text, chr(10)), '')) AS repaired_sha256
+FROM c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Shards (xxhash64, crc32), fitted models and tokenizers have no SQL; brute-force tests cover them."""
@@ -136,5 +183,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": _mixing_sql(),
         "op6_line_dedup": _LINES_SQL,
         "op7_minhash_neardup": _SHINGLES_SQL,
+        "op11_conversation_repair": _REPAIR_SQL,
         "op12_exact_dedup": _COPIES_SQL,
     }
