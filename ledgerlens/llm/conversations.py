@@ -164,7 +164,7 @@ def symbols(stored: DataFrame) -> DataFrame:
     first = rows.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d")).agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     joined = rows.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d")), "left")
     fault = F.when(F.col("last") == "", BLANK).when(F.col("place") > F.col("first"), DUPLICATE).when(~F.col("last").isin(".", "!", "?"), CUT).otherwise(FINE)
-    own = F.locate(F.substring("role", 1, 1), F.lit(INITIALS[:3]))
+    own = F.instr(F.lit(INITIALS[:3]), F.substring("role", 1, 1))
     own = F.when((F.col("role") == "") | (own == 0), 3).otherwise(own - 1)
     return joined.select("conv_id", "turn", "place", F.chr(ord("A") + 4 * own + fault).alias("symbol"))
 
