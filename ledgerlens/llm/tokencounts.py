@@ -288,7 +288,7 @@ def revision_edits(text: str = "text", doc_id: str = "doc_id"):
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.length(t)
     middle = F.call_function("div", n, F.lit(2)).cast("int")
-    place = F.pmod(F.coalesce(F.col(doc_id), F.lit(0)) * 7919, n + 1).cast("int")
+    place = F.pmod(F.pmod(F.coalesce(F.col(doc_id), F.lit(0)), n + 1) * F.lit(7919).cast("long"), n + 1).cast("int")  # the remainder first: ids may have 64 bits
     edit = lambda a, b, new: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), new.alias("new"))
     return F.array(
         edit(middle, F.least(n, middle + 9), F.lit("")),
