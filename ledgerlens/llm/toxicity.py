@@ -34,8 +34,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Model:
     weights: np.ndarray
     bias: float
+    #: Where there was nothing to tell apart: the share of toxic documents, which each document gets, however long it is.
+    share: float | None = None
 
     def probability(self, z: np.ndarray) -> np.ndarray:
+        """Probabilities of the sentences of one document."""
+        if self.share is not None:
+            return np.full(len(z), -np.expm1(np.log1p(-self.share) / max(len(z), 1)))
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
@@ -112,11 +117,15 @@ def gradient(bags: Bags, weights: np.ndarray, bias: float) -> tuple[np.ndarray,
 
 
 def fit_bags(bags: Bags) -> Model:
-    """Adagrad on the noisy-or likelihood with an L1 penalty; documents are worked through in blocks in each epoch."""
+    """Adagrad on the noisy-or likelihood with an L1 penalty; documents are worked through in blocks in each epoch.
+
+    Without documents of both labels there is nothing to learn: every document with a sentence gets the share of toxic ones,
+    moved a little from 0 and 1.
+    """
     n = len(bags.y)
     if not n or bags.y.min() == bags.y.max():
         share = float(bags.y.mean()) if n else 0.0
-        return Model(np.zeros(1 << BITS), float(np.log((share + 0.01) / (1.01 - share))))
+        return Model(np.zeros(1 << BITS), 0.0, (share + 0.01) / 1.02)
     used, place = np.unique(bags.ids, return_inverse=True)
     blocks = Bags(bags.y, bags.sentences, bags.sizes, place.astype(np.int32)).blocks()
     del place

@@ -344,6 +344,15 @@ def test_toxicity(spark, none):
     assert all(r.score < 0.1 and r.predicted == 0 for r in unlabelled)
 
 
+def test_toxicity_without_two_kinds_of_labels_does_not_follow_length(spark):
+    rows = [(n, ". ".join(f"plain words number {k}" for k in range(n)), "en", "a", 1) for n in (1, 2, 10, 200, 1000, 10_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for toxic, said in ((None, 0), (0, 0), (1, 1)):
+        labels = spark.createDataFrame([(r[0], 1, toxic) for r in rows], "doc_id long, quality int, toxic int")
+        got = toxicity.toxicity_digest(docs, labels).collect()
+        assert {r.predicted for r in got} == {said} and max(r.score for r in got) - min(r.score for r in got) < 1e-6
+
+
 def test_toxicity_score_and_gradient_by_hand(spark):
     """The noisy-or of a bag's sentences, and the gradient of its likelihood, against plain loops and differences."""
     rng = random.Random(4)
@@ -417,6 +426,10 @@ def test_token_digest(docs, none):
     bare = tokencounts.count_edited(docs.select("doc_id", "text").withColumn("edits", F.lit(None).cast("array<struct<start:int,end:int,new:string>>")), vocabulary)
     assert bare.filter("n_tokens <> n_tokens_before OR n_reencoded <> 0").count() == 0
     assert tokencounts.token_digest(none, vocabulary).count() == 0
+    far = docs.sparkSession.createDataFrame([(x, "a far id. " * 5) for x in (-(2**63), 2**63 - 1, 2**60, -(2**62))], "doc_id long, text string")
+    places = far.select("doc_id", tokencounts.revision_edits()[1]["start"].alias("at"), F.length("text").alias("n")).collect()
+    assert all(r.at == r.doc_id * 7919 % (r.n + 1) for r in places)
+    assert tokencounts.token_digest(far, vocabulary).count() == 4
 
 
 def lm_by_hand(rows, good, v):
