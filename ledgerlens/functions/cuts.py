@@ -52,10 +52,11 @@ class Scratch:
         self.count = 0
         atexit.register(self.drop)
 
-    def write(self, df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *, sort: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+        """by: columns that become folders, which a filter on them then prunes."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+        (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path, partitionBy=by)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -81,6 +82,12 @@ class Scratch:
                 raise
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def fingerprint(df: DataFrame, *cols: str) -> tuple:
     return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*cols))).first())
 

@@ -11,10 +11,10 @@ from ..functions.scalars import money, number, rnd
 from .temporal import robust_z
 
 
-def anomaly(nodes: DataFrame) -> DataFrame:
+def anomaly(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds anomaly_z: the larger robust z of money and transfers among nodes of one depth, rounded to 2 digits."""
     df = nodes.withColumns({"__v": F.log1p(F.col("in_kzt") + F.col("out_kzt")), "__c": F.log1p(F.col("in_tx") + F.col("out_tx"))})
-    df = robust_z(robust_z(df, "depth", "__v", "__zv"), "depth", "__c", "__zc")
+    df = robust_z(df, "depth", {"__v": "__zv", "__c": "__zc"}, scratch)
     return df.withColumn("anomaly_z", rnd(F.greatest("__zv", "__zc"), 2)).drop("__v", "__c", "__zv", "__zc")
 
 

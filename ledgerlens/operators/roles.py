@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import RAPID, TYPOLOGIES, Config
 from ..functions.cuts import Scratch, average_rank
+from ..functions.order import quantiles
 from ..functions.scalars import clip_text, counted, money, number, percent, plural, ramp, rnd, score, times
 
 L = F.lit
@@ -144,7 +145,7 @@ def with_activity(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
 def assign(nodes: DataFrame, span: DataFrame, cfg: Config, scratch: Scratch) -> DataFrame:
     """nodes (all features and cluster_id) with role, role_score, rule_fired, alt_role, evidence, sink_status, activity, span."""
-    cut = nodes.agg(F.percentile("betweenness", cfg.bridge_btw_quantile).alias("btw_cut"))
+    cut = quantiles(nodes.select("betweenness"), [], "betweenness", {"btw_cut": cfg.bridge_btw_quantile}, scratch)
     df = with_activity(nodes, scratch).join(span, "gid").crossJoin(F.broadcast(cut))
     df = df.withColumns({
         "ratio": F.when(F.col("in_kzt") > 0, F.col("out_kzt") / F.col("in_kzt")).otherwise(float("inf")),

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.cuts import Scratch
+from ..functions.order import median_and_mad
 
 
 def fast_share(tx: DataFrame, cfg: Config) -> DataFrame:
@@ -99,11 +101,15 @@ def node_temporal(tx: DataFrame, cfg: Config) -> DataFrame:
     return out
 
 
-def robust_z(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """df with 0.6745 * (x - median) / MAD inside each group; 0 where the MAD is 0."""
-    med = df.groupBy(group).agg(F.median(value).alias("__m"))
-    dev = df.join(med, group).groupBy(group).agg(F.first("__m").alias("__m"), F.median(F.abs(F.col(value) - F.col("__m"))).alias("__d"))
-    z = F.when(F.col("__d") > 0, F.lit(0.6745) * (F.col(value) - F.col("__m")) / F.col("__d")).otherwise(0.0)
-    return df.join(dev, group).withColumn(name, z).drop("__m", "__d")
-
+def robust_z(df: DataFrame, group: str, names: dict[str, str], scratch: Scratch) -> DataFrame:
+    """df with 0.6745 * (x - median) / MAD inside each group for the columns in names, under their new names; 0 where the MAD is 0.
 
+    All columns go through one selection by ranges; no buffer holds a group.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("x")) for c in names))).alias("v")
+    middle = median_and_mad(df.select(F.col(group).alias("__g"), each).select("__g", "v.*"), ["__g", "of"], "x", scratch)
+    own = lambda c, x: F.max(F.when(F.col("of") == c, F.col(x))).alias(f"__{x}_{c}")
+    wide = middle.groupBy("__g").agg(*(own(c, x) for c in names for x in ("median", "mad")))
+    out = df.join(wide, F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
+    z = {new: F.when(F.col(f"__mad_{c}") > 0, F.lit(0.6745) * (F.col(c) - F.col(f"__median_{c}")) / F.col(f"__mad_{c}")).otherwise(0.0) for c, new in names.items()}
+    return out.withColumns(z).drop(*(f"__{x}_{c}" for c in names for x in ("median", "mad")))
