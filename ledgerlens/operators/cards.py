@@ -35,25 +35,32 @@ def amount(x: Column) -> Column:
     return F.when(x.isNull(), "—").when(F.abs(x) < 1e4, small).otherwise(money(x))
 
 
-def _partners(a, gid: int, own: str, other: str, title: str, arrow: str, most: int) -> DataFrame:
-    """One row: the lines of a node's largest partners on one side, null where it has none."""
-    rows = a.net.transactions.filter(F.col(own) == gid).groupBy(F.col(other).alias("gid")).agg(
-        F.sum("sum_kzt").alias("s"), F.count("*").alias("n"), F.array_sort(F.collect_set("date")).alias("days")
-    )
-    first = rows.orderBy(F.desc("s"), "gid").limit(most).join(a.scored.select("gid", "role", "is_seed"), "gid", "left")
+def _partners(rows: DataFrame, direction: str, title: str, arrow: str, most: int) -> DataFrame:
+    """One row: the lines of a node's largest partners on one side, null where it has none. rows: as in `lookup.partner_table`."""
+    side = rows.filter(F.col("direction") == direction)
+    first = side.orderBy(F.desc("sum_kzt"), "other").limit(most)
     days = _t(F.array_join(F.transform(F.slice("days", 1, 3), lambda d: F.date_format(d, "MM-dd")), ", "), F.when(F.size("days") > 3, ", …").otherwise(""))
-    line = _t(f"  {arrow} ", F.col("gid"), " [", _named(ROLE_NAMES, F.coalesce("role", F.lit("?"))), F.when(F.col("is_seed"), ", seed").otherwise(""), "] ", amount(F.col("s")), ", ", F.col("n"), " перев. (", days, ")")
-    lines = first.select(F.struct((-F.col("s")).alias("s"), "gid", line.alias("line")).alias("x")).agg(F.sort_array(F.collect_list("x"))["line"].alias("lines"))
+    line = _t(f"  {arrow} ", F.col("other"), " [", _named(ROLE_NAMES, F.coalesce("role", F.lit("?"))), F.when(F.col("is_seed"), ", seed").otherwise(""), "] ", amount(F.col("sum_kzt")), ", ", F.col("n_tx"), " перев. (", days, ")")
+    lines = first.select(F.struct((-F.col("sum_kzt")).alias("s"), "other", line.alias("line")).alias("x")).agg(F.sort_array(F.collect_list("x"))["line"].alias("lines"))
     text = _t(title, " (", F.size("lines"), " из ", F.col("total"), "):\n", F.array_join("lines", "\n"))
-    return lines.crossJoin(rows.agg(F.count("*").alias("total"))).select(F.when(F.col("total") > 0, text).alias(f"{own}_lines"))  # one row each
+    return lines.crossJoin(side.agg(F.count("*").alias("total"))).select(F.when(F.col("total") > 0, text).alias(f"{direction}_lines"))  # one row each
 
 
 def card(a, gid: int, most: int = 5) -> DataFrame:
-    """(gid, text) of one node of an analysis; no row for an unknown id. At most `most` partners of a side are read out."""
+    """(gid, text) of one node of an analysis, of this session or saved; no row for an unknown id. At most `most` partners of a
+    side are read out. Of a saved analysis, the node, its cluster and its partners are read from a bucket each."""
     c = F.col
-    about = a.cluster_table.select("cluster_id", F.col("n_nodes").alias("k_nodes"), F.col("n_seed").alias("k_seed"), "hypothesis", "stability")
-    row = a.scored.filter(c("gid") == gid).join(about, "cluster_id", "left").crossJoin(a.scored.agg(F.count("*").alias("total")))
-    row = row.crossJoin(_partners(a, gid, "dst", "src", "Крупнейшие плательщики", "←", most)).crossJoin(_partners(a, gid, "src", "dst", "Крупнейшие получатели", "→", most))
+    node = lookup.rows_of(a, "nodes", gid)
+    if hasattr(a, "rows"):
+        place = node.select("cluster_id").first()
+        table, total = a.rows("clusters", place[0] if place else None), F.lit(a.total)
+    else:
+        table, total = a.cluster_table, None
+    about = table.select("cluster_id", F.col("n_nodes").alias("k_nodes"), F.col("n_seed").alias("k_seed"), "hypothesis", "stability")
+    row = node.join(about, "cluster_id", "left")
+    row = row.withColumn("total", total) if total is not None else row.crossJoin(a.scored.agg(F.count("*").alias("total")))
+    partners = lookup.rows_of(a, "partners", gid)
+    row = row.crossJoin(_partners(partners, "in", "Крупнейшие плательщики", "←", most)).crossJoin(_partners(partners, "out", "Крупнейшие получатели", "→", most))
     filled = lambda name: ~F.coalesce(c(name), F.lit("")).isin("", "-")
     parts = F.concat_ws(" + ", *(_t(f"{word} ", number(c(f"prio_{k}"), 2)) for k, word in PARTS.items()))
     cluster = _t("Кластер ", c("cluster_id"), F.when(c("k_nodes").isNotNull(), _t(" (", c("k_nodes"), " узл., ", c("k_seed"), " seed", F.coalesce(_t(", устойчивость ", number(c("stability"), 2)), F.lit("")), "): ", F.coalesce("hypothesis", F.lit("")))).otherwise(""))
@@ -74,8 +81,8 @@ def card(a, gid: int, most: int = 5) -> DataFrame:
         _t("Метрики: входящие — ", *side("in", "плательщ."), "; исходящие — ", *side("out", "получат."),
            F.when(c("fast_share").isNotNull(), _t("; переслано за ≤2 дн: ", number(c("fast_share") * 100, 0), "% входящих")).otherwise(""),
            "; PageRank ", number(c("pagerank"), 4), "; посредничество ", number(c("betweenness"), 4)),
-        c("dst_lines"), c("src_lines"),
-        F.when(c("dst_lines").isNull() & c("src_lines").isNull(), "Связей в выгрузке нет."),
+        c("in_lines"), c("out_lines"),
+        F.when(c("in_lines").isNull() & c("out_lines").isNull(), "Связей в выгрузке нет."),
     )
     return row.select("gid", text.alias("text"))
 
@@ -88,7 +95,7 @@ def match_line() -> Column:
 
 def explain(a, text: str) -> str:
     """The card of the only match of a query; the first MATCHES matches by rank if there are more; else that there is none."""
-    found = lookup.resolve(a.scored, text)
+    found = lookup.matches(a, text)
     n = found.count()
     if not n:
         return f"Узел по запросу «{text}» не найден (искали полный gid, окончание и подстроку)."

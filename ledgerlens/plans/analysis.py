@@ -11,7 +11,11 @@ from ..config import Config
 from ..functions.cuts import Scratch
 from ..operators import clusters, flows, forward, graph, priority, resilience, roles, temporal
 from ..sources import sinks
-from ..sources.network import Network
+from ..sources.network import Network, check
+from . import saved
+
+#: Rules whose violations are told and break nothing.
+INFORMATIVE = ("input_node_without_edge",)
 
 
 class Analysis:
@@ -49,7 +53,7 @@ class Analysis:
         df = forward.add_p_forward(self.structure, self.forward_cells).join(self.pagerank, "gid").join(self.betweenness, "gid")
         df = df.join(temporal.node_temporal(self.net.transactions, self.cfg), "gid", "left")
         df = df.na.fill(0, ["burst_in", "burst_out", "active_days", "repeat_amount_n", "late_in_share"])
-        return self._keep(priority.anomaly(df), "features")
+        return self._keep(priority.anomaly(self._keep(df, "measured"), self.scratch), "features")
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -131,7 +135,8 @@ class Analysis:
         return resilience.resilience(self.scored.select("gid", "is_seed", "rank"), self.net.edges, self.scratch)
 
     def write(self, path: str) -> DataFrame:
-        """Writes all tables below path and returns the check of the written files, read again."""
+        """Writes all tables below path, saves the results for lookups there, and returns the checks: of the network (rules that
+        begin with input_) and of the written files, read again."""
         nodes = self._keep(sinks.nodes_roles(self.scored), "nodes_roles")
         routes = self.routes.withColumns({"first": F.date_format("first", "yyyy-MM-dd"), "last": F.date_format("last", "yyyy-MM-dd")})
         cyc = self.cycles.withColumn("path", F.array_join(F.transform(F.array_append("path", F.col("path")[0]), lambda x: x.cast("string")), " → "))
@@ -148,4 +153,6 @@ class Analysis:
         sinks.metrics(self.scored, self.cluster_table).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
         tables = {f"{path}/nodes_roles": nodes, f"{path}/clusters": self.cluster_table, f"{path}/top_nodes": self.top_nodes}
         spark = self.net.nodes.sparkSession
-        return sinks.validate(self.net.nodes, *(sinks.written(spark, p, x) for p, x in tables.items())).unionByName(sinks.headers(spark, tables))
+        saved.save(self, f"{path}/store")
+        given = check(self.net).withColumn("rule", F.concat(F.lit("input_"), "rule"))
+        return given.unionByName(sinks.validate(self.net.nodes, *(sinks.written(spark, p, x) for p, x in tables.items()))).unionByName(sinks.headers(spark, tables))
