@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.cuts import Scratch, fingerprint
+from ..functions.cuts import Scratch, fingerprint, finished
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, scratch: Scratch, steps: int | None = None, damping: float = 0.85, tol: float = 1e-6, most: int = 100) -> DataFrame:
@@ -48,28 +48,55 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> list
         seen = seen.unionByName(new.select("s", "v"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Sources whose shortest paths grow together.
+SOURCES = 20_000
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, scratch: Scratch, sources: int = SOURCES, kept: str | None = None) -> DataFrame:
     """(gid, betweenness): exact, directed, in hops, over (n-1)(n-2) ordered pairs, ends left out.
 
-    Shortest paths of all sources grow together, level by level; dependencies come back the same way.
+    Shortest paths of a block of about `sources` sources grow together, level by level; dependencies come back the same way, and
+    only their sums by node stay. At most sources times the nodes they reach are rows at a time, never all pairs. With `kept`, a
+    folder in shared storage, finished blocks are found there, so a run that broke off goes on where it was.
     """
     n = nodes.count()
     links = scratch.write(edges.select("src", "dst").filter("src <> dst").distinct(), "links")
-    levels = shortest_paths(nodes, links, scratch)
-    total, back = None, None
+    blocks = max(1, -(-n // sources))
+    spark, sums = nodes.sparkSession, None
+    for k in range(blocks):
+        path = kept and f"{kept.rstrip('/')}/{k:05d}-of-{blocks:05d}"
+        if not (path and finished(spark, path)):
+            own = nodes.select("gid").filter(F.pmod(F.xxhash64("gid"), F.lit(blocks)) == k)
+            part, used = _dependencies(own, links, scratch)
+            if path:
+                part.write.mode("overwrite").parquet(path)
+            else:
+                part = scratch.write(part, f"block{k}")
+            for table in used:
+                scratch.drop(table)
+        part = spark.read.schema("gid long, delta double").parquet(path) if path else part
+        sums = part if sums is None else sums.unionByName(part)
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    sums = sums.groupBy("gid").agg((F.sum("delta") * scale).alias("betweenness"))
+    return nodes.select("gid").join(sums, "gid", "left").na.fill(0.0, ["betweenness"])
+
+
+def _dependencies(own: DataFrame, links: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """(gid, delta): what the shortest paths from the sources `own` add to each node, and the stored tables it is made of."""
+    levels = shortest_paths(own, links, scratch)
+    used, total, back = list(levels), None, None
     for k in range(len(levels) - 1, 0, -1):
         here = levels[k]
         here = here.withColumn("delta", F.lit(0.0)) if back is None else here.join(back, ["s", "v"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
         here = scratch.write(here, f"delta{k}")
+        used.append(here)
         total = here.select("v", "delta") if total is None else total.unionByName(here.select("v", "delta"))
         before = levels[k - 1].select("s", F.col("v").alias("u"), F.col("sigma").alias("su"))
         part = here.join(links, F.col("v") == F.col("dst")).join(before, (here["s"] == before["s"]) & (F.col("src") == F.col("u")))
         back = part.groupBy(here["s"].alias("s"), F.col("u").alias("v")).agg(F.sum(F.col("su") / F.col("sigma") * (1 + F.col("delta"))).alias("delta"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     if total is None:
-        return nodes.select("gid", F.lit(0.0).alias("betweenness"))
-    sums = total.groupBy(F.col("v").alias("gid")).agg((F.sum("delta") * scale).alias("betweenness"))
-    return nodes.select("gid").join(sums, "gid", "left").na.fill(0.0, ["betweenness"])
+        return own.select("gid", F.lit(0.0).alias("delta")), used
+    return total.groupBy(F.col("v").alias("gid")).agg(F.sum("delta").alias("delta")), used
 
 
 def cycles(edges: DataFrame, scratch: Scratch, longest: int = 5) -> DataFrame:
@@ -141,24 +168,91 @@ def reach_volume(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFr
     return got.agg(F.count("*").alias("n_reached")).crossJoin(volume)
 
 
-def paths(edges: DataFrame, src: int, dst: int, longest: int, scratch: Scratch) -> DataFrame:
-    """(nodes, bottleneck_kzt, n_hops): all simple paths of at most `longest` (1..6) edges, pruned by the way left to dst."""
-    longest = max(1, min(longest, 6))
-    spark = edges.sparkSession
+def _steps(edges: DataFrame, src: int, dst: int, longest: int, scratch: Scratch) -> DataFrame:
+    """(src, dst, sum_kzt, left) of the edges from which dst is within reach: left is the number of hops from the edge's end to it."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    left = reach(back, spark.range(1).select(F.lit(0).alias("key"), F.lit(dst).cast("long").alias("gid")), scratch, longest).select(F.col("gid").alias("dst"), F.col("hops").alias("left"))
-    steps = scratch.write(edges.join(left, "dst").select("src", "dst", "sum_kzt", "left"), "steps")
-    open_ = spark.range(1).select(F.array(F.lit(src).cast("long")).alias("nodes"), F.lit(float("inf")).alias("low")).filter(F.lit(src != dst))
-    out = None
+    left = reach(back, edges.sparkSession.range(1).select(F.lit(0).alias("key"), F.lit(dst).cast("long").alias("gid")), scratch, longest).select(F.col("gid").alias("dst"), F.col("hops").alias("left"))
+    return scratch.write(edges.join(left, "dst").select("src", "dst", "sum_kzt", "left"), "steps")
+
+
+def _grow(steps: DataFrame, src: int, dst: int, longest: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """(nodes, low) of all simple paths of at most `longest` of these steps, and the stored prefixes of each length."""
+    open_ = steps.sparkSession.range(1).select(F.array(F.lit(src).cast("long")).alias("nodes"), F.lit(float("inf")).alias("low")).filter(F.lit(src != dst))
+    out, grown = None, []
     for k in range(1, longest + 1):
         more = open_.join(steps, F.element_at("nodes", -1) == F.col("src")).filter((F.col("left") <= longest - k) & ~F.array_contains("nodes", F.col("dst")))
         more = scratch.write(more.select(F.array_append("nodes", F.col("dst")).alias("nodes"), F.least("low", "sum_kzt").alias("low")), f"paths{k}")
+        grown.append(more)
         done = more.filter(F.element_at("nodes", -1) == dst)
         open_ = more.filter(F.element_at("nodes", -1) != dst)
         out = done if out is None else out.unionByName(done)
+    return out, grown
+
+
+def paths(edges: DataFrame, src: int, dst: int, longest: int, scratch: Scratch) -> DataFrame:
+    """(nodes, bottleneck_kzt, n_hops): all simple paths of at most `longest` (1..6) edges, pruned by the way left to dst."""
+    longest = max(1, min(longest, 6))
+    out, _ = _grow(_steps(edges, src, dst, longest, scratch), src, dst, longest, scratch)
     return out.select("nodes", F.col("low").alias("bottleneck_kzt"), (F.size("nodes") - 1).alias("n_hops"))
 
 
+#: Thresholds tried at once, and how many walks a wanted path may have above the chosen one before it is refined.
+LEVELS, SLACK = 16, 4
+
+
+def _walks(steps: DataFrame, src: int, dst: int, longest: int, floors: list[float], scratch: Scratch) -> dict[float, float]:
+    """For each floor, the number of walks from src to dst whose amounts all reach it. Nodes carry counts, so no walk is a row."""
+    spark = steps.sparkSession
+    counts = dict.fromkeys(floors, 0.0)
+    now = spark.createDataFrame([(f, src, 1.0) for f in floors], "floor double, at long, n double")
+    for k in range(1, longest + 1):
+        ahead = now.join(steps, (F.col("at") == F.col("src")) & (F.col("sum_kzt") >= F.col("floor")) & (F.col("left") <= longest - k) & (F.col("dst") != src))
+        now = scratch.write(ahead.groupBy("floor", F.col("dst").alias("at")).agg(F.sum("n").alias("n")), "walks")
+        for floor, _, n in now.filter(F.col("at") == dst).collect():  # a row a floor
+            counts[floor] += n
+        now = now.filter(F.col("at") != dst)
+    return counts
+
+
+def widest_paths(edges: DataFrame, src: int, dst: int, longest: int, k: int, scratch: Scratch, grown: list | None = None) -> DataFrame:
+    """(nodes, bottleneck_kzt, n_hops): the k simple paths of at most `longest` (1..6) edges with the largest smallest amount;
+    equal ones by fewest hops, then by their nodes.
+
+    Branch and bound on the k-th bottleneck. Counting walks above descending floors finds a floor that about k paths reach; edges
+    below it cannot be on one of the k best once k simple paths reach it, so only the rest grow paths, and only where they can
+    still end. All paths that tie with the k-th are grown. Where walks that visit a node twice made the count too high, the floor
+    goes down. `grown` gets the number of stored prefixes of each attempt.
+    """
+    longest, k = max(1, min(longest, 6)), max(1, int(k))
+    steps = _steps(edges, src, dst, longest, scratch).filter(F.col("dst") != src)
+    everything = float("-inf")
+    ceiling, wanted = float("inf"), float(k)
+    while True:
+        floor, above = everything, ceiling
+        while True:  # floors between `floor` and `above`, the largest with enough walks and the next one
+            between = steps.filter((F.col("sum_kzt") >= floor) & (F.col("sum_kzt") < above))
+            tried = between.agg(F.percentile_approx("sum_kzt", [i / LEVELS for i in range(LEVELS)], 1000).alias("q")).first().q or []
+            tried = sorted({float(x) for x in tried} - {floor})
+            if not tried:
+                break
+            counts = _walks(steps, src, dst, longest, tried, scratch)
+            enough = [f for f in tried if counts[f] >= wanted]
+            above = min((f for f in tried if counts[f] < wanted), default=above)
+            if not enough:
+                break
+            floor = max(enough)
+            if counts[floor] <= SLACK * wanted:
+                break
+        wide = _steps(steps.filter(F.col("sum_kzt") >= floor).drop("left"), src, dst, longest, scratch)  # the way left, above the floor
+        out, stored = _grow(wide, src, dst, longest, scratch)
+        if grown is not None:
+            grown.append(sum(x.count() for x in stored))
+        if floor == everything or out.count() >= k:
+            ordered = out.select("nodes", F.col("low").alias("bottleneck_kzt"), (F.size("nodes") - 1).alias("n_hops"))
+            return ordered.orderBy(F.desc("bottleneck_kzt"), "n_hops", "nodes").limit(k)
+        ceiling, wanted = floor, wanted * 4
+
+
 def shortest_path(edges: DataFrame, src: int, dst: int, scratch: Scratch) -> DataFrame:
     """(nodes, n_hops): one path of fewest edges, by the smallest id at each step back from dst; no row where dst is out of reach.
 

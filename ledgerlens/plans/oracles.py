@@ -250,6 +250,24 @@ sw AS (SELECT [gid] AS nodes FROM sd WHERE gid = 37 UNION ALL SELECT list_prepen
 _COMMON = """
 cr AS (SELECT unnest([7, 37, 67])::BIGINT AS key, unnest([7, 37, 67])::BIGINT AS gid, 0 AS hops UNION SELECT cr.key, e.dst, hops + 1 FROM cr JOIN edges e ON e.src = cr.gid WHERE hops < 2),
 cm AS (SELECT key, gid, min(hops) AS hops FROM cr GROUP BY 1, 2)"""
+_TRACE = """
+to_ AS (SELECT 7::BIGINT AS gid, 0 AS hops UNION SELECT e.dst, hops + 1 FROM to_ JOIN edges e ON e.src = to_.gid WHERE hops < 3),
+ti_ AS (SELECT 7::BIGINT AS gid, 0 AS hops UNION SELECT e.src, hops + 1 FROM ti_ JOIN edges e ON e.dst = ti_.gid WHERE hops < 3)"""
+_UNDIRECTED = """
+ue AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+uz AS (SELECT min(gid) AS z FROM nodes WHERE gid NOT IN (SELECT src FROM edges)),
+us AS (SELECT z AS gid, 0 AS hops FROM uz UNION SELECT b, hops + 1 FROM us JOIN ue ON a = gid WHERE hops < 8),
+ud AS MATERIALIZED (SELECT gid, min(hops) AS hops FROM us GROUP BY gid),
+ub AS MATERIALIZED (SELECT b AS gid, min(a) AS before FROM ue JOIN ud x ON x.gid = a JOIN ud y ON y.gid = b WHERE y.hops = x.hops + 1 GROUP BY b),
+uw AS (SELECT [gid] AS nodes FROM ud WHERE gid = 7 UNION ALL SELECT list_prepend(ub.before, nodes) FROM uw JOIN ub ON ub.gid = nodes[1] WHERE nodes[1] <> (SELECT z FROM uz)),
+un AS (SELECT unnest(range(1, len(nodes))) AS step, nodes FROM uw WHERE nodes[1] = (SELECT z FROM uz)),
+dn AS (SELECT unnest(range(1, len(nodes))) AS step, nodes FROM sw WHERE nodes[1] = 7)"""
+_SHARED = """
+hr AS (SELECT unnest([7, 37, 67])::BIGINT AS key, unnest([7, 37, 67])::BIGINT AS gid, 0 AS hops UNION SELECT hr.key, e.dst, hops + 1 FROM hr JOIN edges e ON e.src = hr.gid WHERE hops < 4),
+hm AS MATERIALIZED (SELECT key, gid, min(hops) AS hops FROM hr GROUP BY 1, 2),
+hc AS MATERIALIZED (SELECT gid, count(*) AS n_linked, sum(hops) AS total_hops FROM hm WHERE hops > 0 AND gid NOT IN (7, 37, 67) GROUP BY gid HAVING count(*) >= 2 ORDER BY n_linked DESC, total_hops, gid LIMIT 8),
+hp AS MATERIALIZED (SELECT b.key, b.gid, min(e.src) AS before FROM edges e JOIN hm b ON b.gid = e.dst JOIN hm a ON a.key = b.key AND a.gid = e.src AND a.hops = b.hops - 1 GROUP BY 1, 2),
+hw AS (SELECT key, gid, gid AS at, hops FROM hm WHERE hops > 0 AND gid IN (SELECT gid FROM hc) UNION ALL SELECT hw.key, hw.gid, hp.before, hw.hops - 1 FROM hw JOIN hp ON hp.key = hw.key AND hp.gid = hw.at WHERE hw.hops > 1)"""
 _FLOWS = f"""
 ef AS (SELECT a.cluster_id AS ca, b.cluster_id AS cb, sum_kzt FROM edges JOIN cl a ON a.gid = src JOIN cl b ON b.gid = dst),
 cf AS (SELECT cluster_id, {_r('sum(i)', 2)} AS sum_kzt_internal, {_r('sum(x)', 2)} AS sum_kzt_in_external, {_r('sum(o)', 2)} AS sum_kzt_out_external FROM (
@@ -310,6 +328,14 @@ SQL = {
     "partners": _with() + f"SELECT src AS gid, 'in' AS direction, {_r('sum(sum_kzt)')} AS sum_kzt, count(*) AS n_tx, min(date) AS first, max(date) AS last FROM tx WHERE dst = 7 GROUP BY src UNION ALL SELECT dst, 'out', {_r('sum(sum_kzt)')}, count(*), min(date), max(date) FROM tx WHERE src = 7 GROUP BY dst",
     "top_paths": _with(_PATHS) + f"SELECT array_to_string(nodes, '>') AS nodes, {_r('low')} AS bottleneck_kzt, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM pa WHERE nodes[-1] = 37 ORDER BY low DESC, len(nodes), nodes LIMIT 20",
     "shortest_path": _with(_SHORTEST) + "SELECT array_to_string(nodes, '>') AS nodes, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM sw WHERE nodes[1] = 7",
+    "widest_paths": _with(_PATHS.replace("len(nodes) <= 3", "len(nodes) <= 4")) + f"SELECT array_to_string(nodes, '>') AS nodes, {_r('low')} AS bottleneck_kzt, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM pa WHERE nodes[-1] = 37 ORDER BY low DESC, len(nodes), nodes LIMIT 20",
+    "flow_trace": _with(_TRACE) + f"""SELECT src, dst, {_r('sum_kzt')} AS sum_kzt, n_tx, CAST(min(hops) + 1 AS INTEGER) AS level, 'out' AS direction FROM edges JOIN to_ ON gid = src GROUP BY src, dst, sum_kzt, n_tx
+        UNION ALL SELECT src, dst, {_r('sum_kzt')}, n_tx, CAST(min(hops) + 1 AS INTEGER), 'in' FROM edges JOIN ti_ ON gid = dst GROUP BY src, dst, sum_kzt, n_tx""",
+    "traced_path": _with(_SHORTEST, _UNDIRECTED) + """SELECT 7::BIGINT AS start, CAST(step AS INTEGER) AS step, nodes[step] AS src, nodes[step + 1] AS dst, true AS forward, true AS directed FROM dn
+        UNION ALL SELECT (SELECT z FROM uz), CAST(step AS INTEGER), CASE WHEN fw THEN nodes[step] ELSE nodes[step + 1] END, CASE WHEN fw THEN nodes[step + 1] ELSE nodes[step] END, fw, false
+        FROM (SELECT un.*, e.src IS NOT NULL AS fw FROM un LEFT JOIN edges e ON e.src = nodes[step] AND e.dst = nodes[step + 1])""",
+    "shared_receivers": _with(_SHARED) + """SELECT hc.gid, n_linked, CAST(total_hops AS BIGINT) AS total_hops, hw.key, CAST(hw.hops AS INTEGER) AS step, hp.before AS src, hw.at AS dst
+        FROM hc JOIN hw USING (gid) JOIN hp ON hp.key = hw.key AND hp.gid = hw.at""",
     "find_paths": _with(_PATHS) + f"SELECT array_to_string(nodes, '>') AS nodes, {_r('low')} AS bottleneck_kzt, CAST(len(nodes) - 1 AS INTEGER) AS n_hops FROM pa WHERE nodes[-1] = 37",
     "common_counterparties": _with(_COMMON) + "SELECT gid, count(*) AS n_linked, string_agg(key || ':' || hops, ',' ORDER BY key) AS linked FROM cm WHERE hops > 0 AND gid NOT IN (7, 37, 67) GROUP BY gid HAVING count(*) >= 2",
     "edge_tx_lists": _with() + "SELECT src, dst, string_agg(CAST(date AS VARCHAR) || ' ' || CAST(round_even(sum_kzt * 100, 0) AS BIGINT), ',' ORDER BY date, sum_kzt) AS transfers FROM tx GROUP BY src, dst",
@@ -342,4 +368,9 @@ SQL = {
         (SELECT coalesce(string_agg(g || ':' || CAST(round_even(s * 100, 0) AS BIGINT) || ':' || n, ',' ORDER BY s DESC, g DESC), '') FROM (SELECT src AS g, sum_kzt AS s, n_tx AS n FROM edges WHERE dst = 7 ORDER BY s DESC, g DESC LIMIT 5)) AS top_payers,
         (SELECT coalesce(string_agg(g || ':' || CAST(round_even(s * 100, 0) AS BIGINT) || ':' || n, ',' ORDER BY s DESC, g DESC), '') FROM (SELECT dst AS g, sum_kzt AS s, n_tx AS n FROM edges WHERE src = 7 ORDER BY s DESC, g DESC LIMIT 5)) AS top_payees
         FROM scored JOIN cl USING (gid) WHERE gid = 7""",
+    "stored_partners": _with(*_ALL) + f"""SELECT 7::BIGINT AS gid, direction, other, {_r('s')} AS sum_kzt, n AS n_tx, first, last, role, is_seed, priority_score FROM (
+        SELECT 'in' AS direction, src AS other, sum(sum_kzt) AS s, count(*) AS n, min(date) AS first, max(date) AS last FROM tx WHERE dst = 7 GROUP BY src
+        UNION ALL SELECT 'out', dst, sum(sum_kzt), count(*), min(date), max(date) FROM tx WHERE src = 7 GROUP BY dst) LEFT JOIN scored ON scored.gid = other""",
+    "stored_members": _with(*_ALL) + """SELECT cluster_id, count(*) OVER () AS n_nodes, count(*) FILTER (is_seed) OVER () AS n_seed, rank, gid, role
+        FROM scored JOIN cl USING (gid) WHERE cluster_id = (SELECT cluster_id FROM cl WHERE gid = 7)""",
 }

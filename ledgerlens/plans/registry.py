@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..config import EVENTS
 from ..functions.cuts import Scratch, importable
 from ..functions.scalars import rnd
-from ..operators import clusters, flows, forward, graph, lookup, priority, resilience, temporal
+from ..operators import clusters, flows, forward, graph, lookup, priority, resilience, temporal, trace
 from ..sources import network, sinks
 from .analysis import Analysis
 from .oracles import PAGERANK_STEPS, SQL
+from .saved import Saved, save
 
 _memo: dict[tuple, tuple[tuple, Analysis]] = {}
 
@@ -78,6 +79,39 @@ def _node_record(a: Analysis) -> DataFrame:
     return found.select("gid", "role", "priority_score", F.col("rank").cast("long").alias("rank"), "cluster_id", "cluster_n_nodes", "cluster_n_seed", listed("top_payers"), listed("top_payees"))
 
 
+def _traced_paths(a: Analysis) -> DataFrame:
+    """From node 7 to 37, and to node 7 from the first node that pays nobody, which directions don't allow."""
+    still = a.net.nodes.join(a.net.edges.select(F.col("src").alias("gid")), "gid", "left_anti").agg(F.min("gid")).first()[0]
+    parts = [trace.traced_path(a.net.edges, x, y, a.scratch).withColumn("start", F.lit(x).cast("long")) for x, y in ((7, 37), (still, 7))]
+    return parts[0].unionByName(parts[1])
+
+
+def _shared_receivers(a: Analysis) -> DataFrame:
+    found, routes = trace.shared_receivers(a.net.edges, [7, 37, 67], a.scratch)
+    return found.join(routes, "gid").select("gid", "n_linked", "total_hops", "key", "step", "src", "dst")
+
+
+def _stored(a: Analysis) -> Saved:
+    """The analysis saved and opened again, as another session would."""
+    spark, path = a.net.nodes.sparkSession, f"{a.scratch.root}/store"
+    if "saved" not in a.__dict__:
+        save(a, path, bucket_rows=200)
+        a.__dict__["saved"] = Saved(spark, path)
+    return a.__dict__["saved"]
+
+
+def _stored_partners(a: Analysis) -> DataFrame:
+    return _stored(a).rows("partners", 7).select("gid", "direction", "other", "sum_kzt", "n_tx", "first", "last", "role", "is_seed", "priority_score")
+
+
+def _stored_members(a: Analysis) -> DataFrame:
+    """The members of node 7's cluster, after a lookup of the node and of its cluster."""
+    saved = _stored(a)
+    node = saved.rows("nodes", 7).first()
+    about = saved.rows("clusters", node["cluster_id"]).select("cluster_id", "n_nodes", "n_seed")
+    return saved.rows("members", node["cluster_id"]).join(about, "cluster_id").select("cluster_id", "n_nodes", "n_seed", F.col("rank").cast("long").alias("rank"), "gid", "role")
+
+
 def _written(a: Analysis) -> DataFrame:
     return a.write(f"{a.scratch.root}/output")
 
@@ -110,6 +144,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "neighbors": lambda a: graph.neighbours(a.net.edges, 7),
         "partners": lambda a: lookup.partners(a.net.transactions, 7),
         "top_paths": lambda a: lookup.ranked_paths(a.net.edges, 7, 37, 3, a.scratch, 20).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "bottleneck_kzt", "n_hops"),
+        "widest_paths": lambda a: graph.widest_paths(a.net.edges, 7, 37, 4, 20, a.scratch).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "bottleneck_kzt", "n_hops"),
+        "flow_trace": lambda a: trace.flow_trace(a.net.edges, 7, a.scratch, "both"),
+        "traced_path": _traced_paths,
+        "shared_receivers": _shared_receivers,
         "shortest_path": lambda a: graph.shortest_path(a.net.edges, 7, 37, a.scratch).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "n_hops"),
         "find_paths": lambda a: graph.paths(a.net.edges, 7, 37, 3, a.scratch).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "bottleneck_kzt", "n_hops"),
         "common_counterparties": lambda a: graph.common_counterparties(a.net.edges, [7, 37, 67], "out", 2, a.scratch).select("gid", "n_linked", F.array_join(F.transform("linked", lambda x: F.concat_ws(":", x["gid"], x["hops"])), ",").alias("linked")),
@@ -144,6 +182,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_by_component": lambda a: a.top_nodes.select(F.col("rank").cast("long").alias("rank"), "gid", "role", "priority_score", "cluster_id", "is_seed", "in_kzt", "out_kzt", "confidence", "level"),
         "overview_by_component": lambda a: flows.totals(a.net).crossJoin(sinks.metrics(a.scored, a.cluster_table)),
         "node_record": _node_record,
+        "stored_partners": _stored_partners,
+        "stored_members": _stored_members,
     }
     make = lambda f, by: lambda spark, sf_dir: rounded(f(analysis(spark, sf_dir, by)))
     return {k: make(f, False) for k, f in plain.items()} | {k: make(f, True) for k, f in fixed.items()}
