@@ -8,30 +8,71 @@ from pyspark.sql import functions as F
 from ..functions.cuts import Scratch, fingerprint, finished
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, scratch: Scratch, steps: int | None = None, damping: float = 0.85, tol: float = 1e-6, most: int = 100) -> DataFrame:
+#: Iterations of PageRank in one job.
+CHAIN = 10
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, scratch: Scratch, steps: int | None = None, damping: float = 0.85, tol: float = 1e-6, most: int = 100, least: int = 1) -> DataFrame:
     """(gid, pagerank) by power iteration, weighted by money; dangling mass is spread evenly.
 
-    `steps` fixes the number of iterations; otherwise it stops when the ranks move by less than n * tol in sum. Sums are
-    partial aggregates, so a payee with a third of all edges is no hot task. A step is one job: what dangling nodes hold and
-    how far ranks moved are observed while it is written.
+    `steps` fixes the number of iterations; otherwise it stops after `least` or more when the ranks move by less than n * tol in
+    sum, at `most` at the latest.
+
+    Teleports and dangling mass add multiples of the vector of ones, so the k-th ranks are a sum of c[k, j] * v[j], where v[j] is
+    the vector of ones after j walks along the links. A job makes CHAIN of the v in one plan: it carries them as an array, needs
+    nothing from the driver in between, and all its joins read one exchange of the links, dealt by payer. What dangling nodes
+    hold of each v is observed while the table is written, which gives the c. Sums are partial aggregates, so a payee with a
+    third of all edges is no hot task.
     """
     n = nodes.count()
     if not n:
         return nodes.select("gid", F.lit(0.0).alias("pagerank"))
     out = edges.groupBy("src").agg(F.sum("sum_kzt").alias("w"))
-    links = scratch.step(edges.join(out, "src").select("src", "dst", (F.col("sum_kzt") / F.col("w")).alias("p")), "links")
+    paid = edges.join(out, "src").select("src", "dst", (F.lit(damping) * F.col("sum_kzt") / F.col("w")).alias("p"))
+    stay = nodes.select(F.col("gid").alias("src"), F.col("gid").alias("dst"), F.lit(None).cast("double").alias("p"))
+    links = scratch.step(paid.unionByName(stay), "links")
     state = nodes.select("gid").join(out.select(F.col("src").alias("gid"), F.lit(True).alias("sends")), "gid", "left")
-    state = state.select("gid", F.col("sends").isNotNull().alias("sends"), F.lit(1.0 / n).alias("r"), F.lit(0.0).alias("before"))
-    for k in range((steps or most) + 1):
+    state = scratch.step(state.select("gid", F.col("sends").isNotNull().alias("sends"), F.array(F.lit(1.0)).alias("v")), "walks")
+    lost = [float(state.filter("NOT sends").count())]
+    weights = [[1.0 / n]]  # weights[k][j] is c[k, j]
+    last = steps if steps is not None else most
+
+    def ahead() -> None:
+        """The c of one more iteration."""
+        c = weights[-1]
+        weights.append([(1 - damping) / n + damping / n * sum(x * y for x, y in zip(c, lost, strict=False)), *c])
+
+    def mix(c: list[float]):
+        return F.aggregate(F.zip_with("v", F.array(*map(F.lit, c)), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
+
+    def moved(k: int):
+        before = [*weights[k - 1], 0.0]
+        return F.sum(F.abs(mix([x - y for x, y in zip(weights[k], before, strict=True)])))
+
+    done = 0
+    while done < last:
+        width = min(CHAIN, last - done)
+        now = state
+        for _ in range(width):
+            at = links.join(now, links["src"] == now["gid"])
+            own = F.col("p").isNull()
+            grown = at.groupBy("dst").agg(F.max(F.when(own, F.col("sends"))).alias("sends"), F.max(F.when(own, F.col("v"))).alias("v"), F.coalesce(F.sum(F.when(~own, F.col("p") * F.element_at("v", -1))), F.lit(0.0)).alias("next"))
+            now = grown.select(F.col("dst").alias("gid"), "sends", F.array_append("v", F.col("next")).alias("v"))
         seen = Observation()
-        lost, moved = F.sum(F.when(~F.col("sends"), F.col("r"))), F.sum(F.abs(F.col("r") - F.col("before")))
-        state = scratch.step(state.observe(seen, lost.alias("lost"), moved.alias("moved")), "rank")
-        if k == steps or (k and not steps and seen.get["moved"] < n * tol):
-            break
-        got = links.join(state, links["src"] == state["gid"]).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("in"))
-        rank = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("in", F.lit(0.0)) + F.lit((seen.get["lost"] or 0.0) / n))
-        state = state.join(got, state["gid"] == got["dst"], "left").select("gid", "sends", rank.alias("r"), F.col("r").alias("before"))
-    return scratch.step(state, "rank").select("gid", F.col("r").alias("pagerank"))
+        held = [F.sum(F.when(~F.col("sends"), F.col("v")[done + 1 + k])).alias(f"v{k}") for k in range(width)]
+        before = state
+        state = scratch.step(now.observe(seen, *held), "walks")
+        scratch.drop(before)
+        lost += [seen.get[f"v{k}"] or 0.0 for k in range(width)]
+        for _ in range(width):
+            ahead()
+        if steps is None:
+            far = state.agg(*(moved(k).alias(f"m{k}") for k in range(done + 1, done + width + 1))).first()
+            stop = [k for k in range(max(done + 1, least), done + width + 1) if far[f"m{k}"] < n * tol]
+            if stop:
+                last = stop[0]
+        done += width
+    return scratch.step(state.select("gid", mix(weights[last]).alias("pagerank")), "rank")
 
 
 def shortest_paths(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> list[DataFrame]:

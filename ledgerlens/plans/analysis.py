@@ -21,7 +21,7 @@ INFORMATIVE = ("input_node_without_edge",)
 class Analysis:
     """Steps over one network; each is computed once, when first asked for, and kept in the shared folder.
 
-    cluster: None for communities, or a table (gid, cluster_id). pagerank_steps fixes the iterations of PageRank.
+    cluster: None for communities, or a table (gid, cluster_id). pagerank_steps is the least number of iterations of PageRank.
     """
 
     def __init__(self, net: Network, cfg: Config, cluster: DataFrame | None = None, pagerank_steps: int | None = None):
@@ -38,7 +38,7 @@ class Analysis:
 
     @cached_property
     def pagerank(self) -> DataFrame:
-        return self._keep(graph.pagerank(self.net.nodes, self.net.edges, self.scratch, steps=self.steps), "pagerank")
+        return self._keep(graph.pagerank(self.net.nodes, self.net.edges, self.scratch, least=self.steps or 1), "pagerank")
 
     @cached_property
     def betweenness(self) -> DataFrame:
