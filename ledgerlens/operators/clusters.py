@@ -9,19 +9,21 @@ from ..config import ROLE_NAMES, TYPOLOGIES
 from ..functions.cuts import Scratch
 from ..functions.scalars import money, percent, rnd, short_id
 
-#: A half of which at most one node in so many moves counts as settled.
-MOVED = 100
-#: Sweeps without fewer moves than ever before after which a level ends: moves of many nodes at once may go round in circles.
-STALLED = 3
+#: Share of the nodes with a better community that move at once, and the share of all nodes below which all of them do.
+AT_ONCE, FEW = 0.5, 0.01
+#: A move must gain so much: well above the rounding of sums.
+LEAST_GAIN = 1e-12
 
 
 def louvain(pairs: DataFrame, scratch: Scratch, runs: int = 1, resolution: float = 1.0, first: int = 0) -> DataFrame:
     """(run, gid, community) for runs first..first+runs-1 of a parallel Louvain over undirected pairs (a, b, weight).
 
-    In a sweep every node of one half (by a hash of node, sweep and run) moves to the neighbouring community with the
-    largest gain, the smallest id on ties; the other half stands still, so two nodes can't swap for ever. A level ends when
-    neither half moves more than one node in MOVED. Communities are then contracted and the sweeps repeat, until a level moves nothing. All runs share the jobs: run is part of every key. Deterministic for given data.
+    In a sweep, nodes that would gain by it move to the neighbouring community with the largest gain, the smallest id on ties;
+    which of them move at once is drawn by hashes that follow from node and run. A level ends when no node of it would gain by a move,
+    at any size of the graph; communities are then contracted, until a level moves nothing. All runs share the jobs: run is part
+    of every key. Deterministic for given data.
     """
+    ids = range(first, first + runs)
     links = pairs.select(F.explode(F.sequence(F.lit(first), F.lit(first + runs - 1))).alias("run"), "a", "b", "weight")
     links = scratch.step(links, "pairs")
     total = pairs.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
@@ -29,42 +31,88 @@ def louvain(pairs: DataFrame, scratch: Scratch, runs: int = 1, resolution: float
     members = scratch.step(members, "members")
     level = 0
     while True:
-        both = links.filter("a <> b").select("run", F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(links.filter("a <> b").select("run", F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
-        own = links.filter("a = b").select("run", F.col("a").alias("node"), (2 * F.col("weight")).alias("weight"))
-        degree = both.select("run", "node", "weight").unionByName(own).groupBy("run", "node").agg(F.sum("weight").alias("k"))
-        both = scratch.step(both, "adjacent")
-        enough = degree.count() / MOVED
+        sides = [(x, y) for x, y in (("a", "b"), ("b", "a"))]
+        ends = [links.select("run", F.col(x).alias("node"), F.col(y).alias("other"), "weight") for x, y in sides]
+        ends = ends[0].unionByName(ends[1])  # a pair inside a node counts twice, as both its ends do
+        degree = ends.groupBy("run", "node").agg(F.sum("weight").alias("k"))
+        both = scratch.step(ends.filter("node <> other").join(degree, ["run", "node"]), "adjacent")
         state = scratch.step(degree.withColumn("c", F.col("node")), "state")
-        moved_at_all, quiet, fewest, stalled, sweep = False, 0, float("inf"), 0, 0
-        while quiet < 2 and stalled < STALLED:
-            weight_in = both.join(state.select("run", F.col("node").alias("other"), "c"), ["run", "other"]).groupBy("run", "node", "c").agg(F.sum("weight").alias("w"))
-            size = state.groupBy("run", "c").agg(F.sum("k").alias("tot"))
-            now = state.withColumnRenamed("c", "own")
-            options = weight_in.join(now, ["run", "node"]).join(size, ["run", "c"])
-            rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-            gain = rnd(F.col("w") / total - F.lit(resolution) * F.col("k") * rest / (2.0 * total * total), 12)
-            options = options.select("run", "node", "own", "c", gain.alias("g"))
-            best = options.groupBy("run", "node").agg(F.max_by(F.struct("c", "g"), F.struct("g", -F.col("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
-            alone = now.join(size.withColumnRenamed("c", "own"), ["run", "own"]).select("run", "node", "k", "own", "tot")
-            stay = F.coalesce("stay", rnd(-F.lit(resolution) * F.col("k") * (F.col("tot") - F.col("k")) / (2.0 * total * total), 12))
-            turn = F.pmod(F.xxhash64("node", F.lit(level), F.lit(sweep), "run"), F.lit(2)) == 0
-            go = turn & F.col("best").isNotNull() & (F.col("best.g") > stay + 1e-12)
-            new = alone.join(best, ["run", "node"], "left").select("run", "node", "k", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("c"), F.coalesce(go, F.lit(False)).alias("moved"))
-            seen = Observation()
-            state = scratch.step(new.observe(seen, F.count_if("moved").alias("n")), "state").drop("moved")
-            n = seen.get["n"]
-            moved_at_all, quiet = moved_at_all or n > 0, 0 if n > enough else quiet + 1
-            fewest, stalled = min(n, fewest), 0 if n < fewest else stalled + 1
-            sweep += 1
-        if not moved_at_all:
-            break
+        to, moved = _settle(both, state, total, resolution, ids, level, scratch)
+        if not moved:
+            return members.select("run", "gid", F.col("node").alias("community"))
         level += 1
-        to = state.select("run", "node", "c")
+        before = members
         members = scratch.step(members.join(to, ["run", "node"]).select("run", "gid", F.col("c").alias("node")), "members")
         a, b = to.withColumnsRenamed({"node": "a", "c": "ca"}), to.withColumnsRenamed({"node": "b", "c": "cb"})
-        links = links.join(a, ["run", "a"]).join(b, ["run", "b"]).groupBy("run", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight"))
-        links = scratch.step(links, "pairs")
-    return members.select("run", "gid", F.col("node").alias("community"))
+        joined = links.join(a, ["run", "a"]).join(b, ["run", "b"]).groupBy("run", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight"))
+        old, links = links, scratch.step(joined, "pairs")
+        for table in (before, old, both, state):
+            scratch.drop(table)
+
+
+def _settle(both: DataFrame, state: DataFrame, total: float, resolution: float, ids: range, level: int, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(run, node, c) after a level, where no node would gain by a move, and whether any node moved.
+
+    Each sweep is one job: it makes the moves of the last one, finds each node's best community, and observes for each run the
+    modularity and how many nodes would gain. Where moves made at once have not raised the modularity, the run goes back to the
+    table before and lets half as many of them go; one node alone always raises it, so each run ends. Draws come from a column and not from literals: the sweeps' plans are then
+    equal, and Spark compiles them once.
+    """
+    state = state.withColumns({"went": F.lit(False), "seed": F.xxhash64("node", "run", F.lit(level))})
+    quality: dict[int, float] = {}
+    base: dict[int, DataFrame] = {}
+    share = dict.fromkeys(ids, AT_ONCE)
+    size = {r["run"]: r["n"] for r in state.groupBy("run").agg(F.count("*").alias("n")).collect()}  # a row a run
+    open_, ended, now, moved = [r for r in ids if r in size], {}, state, False
+    while open_:
+        tot = now.groupBy("run", "c").agg(F.sum("k").alias("tot"))
+        full = now.join(tot, ["run", "c"])
+        near = both.join(full.select("run", F.col("node").alias("other"), "c", "tot"), ["run", "other"]).select("run", "node", "c", "weight", "tot", "k", F.lit(False).alias("own"), F.lit(False).alias("went"), F.lit(None).cast("long").alias("seed"))
+        near = near.unionByName(full.select("run", "node", "c", F.lit(0.0).alias("weight"), "tot", "k", F.lit(True).alias("own"), "went", "seed"))
+        options = near.groupBy("run", "node", "c").agg(F.sum("weight").alias("w"), F.max("tot").alias("tot"), F.max("k").alias("k"), F.max("own").alias("own"), F.max("went").alias("went"), F.max("seed").alias("seed"))
+        rest = F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0.0)
+        options = options.withColumn("g", rnd(F.col("w") / total - F.lit(resolution) * F.col("k") * rest / (2.0 * total * total), 12))
+        mine = lambda x: F.max(F.when(F.col("own"), F.col(x)))
+        best = options.groupBy("run", "node").agg(
+            F.max("k").alias("k"), F.max("went").alias("went"), F.max("seed").alias("seed"), mine("c").alias("c"), mine("w").alias("w"), mine("tot").alias("tot"), mine("g").alias("stay"), F.max_by(F.struct("c", "g"), F.struct("g", -F.col("c"))).alias("best")
+        )
+        gains = F.col("best.g") > F.col("stay") + LEAST_GAIN
+        best = best.select("run", "node", "k", "c", F.when(gains, F.col("best.c")).alias("to"), (F.col("w") / (2 * total) - F.lit(resolution) * F.col("k") * F.col("tot") / (4 * total * total)).alias("q"), "went", F.xxhash64("seed", "node").alias("seed"))
+        seen = Observation()
+        here = lambda r, x: F.when(F.col("run") == r, x)
+        told = [F.sum(here(r, F.col("q"))).alias(f"q{r}") for r in open_] + [F.count(here(r, F.col("to"))).alias(f"n{r}") for r in open_] + [F.count_if((F.col("run") == r) & F.col("went")).alias(f"m{r}") for r in open_]
+        table = scratch.step(best.observe(seen, *told), "sweep")
+        for r in list(open_):
+            q, n, went = (seen.get[f"{x}{r}"] for x in "qnm")
+            if r in quality and not went:
+                share[r] = min(1.0, 2 * share[r])  # the draw took nobody
+                continue
+            if r in quality and q <= quality[r] + LEAST_GAIN / 10:
+                share[r] /= 2
+                continue
+            moved = moved or r in quality
+            quality[r], base[r] = q, table
+            share[r] = 1.0 if n < FEW * size[r] else max(share[r], AT_ONCE)
+            if not n:
+                open_.remove(r)
+                ended[r] = base.pop(r)
+        tables: dict[str, tuple[DataFrame, list[int]]] = {}
+        for r in open_:
+            tables.setdefault(base[r]._scratch_path, (base[r], []))[1].append(r)
+        now = None
+        for table, own in tables.values():
+            part = F.lit(0.0)
+            for r in own:
+                part = F.when(F.col("run") == r, F.lit(share[r])).otherwise(part)
+            draw = F.pmod("seed", F.lit(1 << 20)) < part * (1 << 20)
+            go = draw & F.col("to").isNotNull()
+            rows = table.filter(F.col("run").isin(own)).select("run", "node", "k", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), go.alias("went"), "seed")
+            now = rows if now is None else now.unionByName(rows)
+    out = None
+    for r, table in ended.items():
+        rows = table.filter(F.col("run") == r).select("run", "node", "c")
+        out = rows if out is None else out.unionByName(rows)
+    return (out if out is not None else state.select("run", "node", "c")), moved
 
 
 def modularity(pairs: DataFrame, member: DataFrame, resolution: float = 1.0) -> DataFrame:

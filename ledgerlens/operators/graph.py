@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.cuts import Scratch, fingerprint, finished
 
 
-#: Iterations of PageRank in one job.
-CHAIN = 10
+#: Iterations of PageRank in one job; more make its plan slower to prepare than a job's start costs.
+CHAIN = 5
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, scratch: Scratch, steps: int | None = None, damping: float = 0.85, tol: float = 1e-6, most: int = 100, least: int = 1) -> DataFrame:
@@ -59,18 +59,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, scratch: Scratch, steps: int |
             grown = at.groupBy("dst").agg(F.max(F.when(own, F.col("sends"))).alias("sends"), F.max(F.when(own, F.col("v"))).alias("v"), F.coalesce(F.sum(F.when(~own, F.col("p") * F.element_at("v", -1))), F.lit(0.0)).alias("next"))
             now = grown.select(F.col("dst").alias("gid"), "sends", F.array_append("v", F.col("next")).alias("v"))
         seen = Observation()
-        held = [F.sum(F.when(~F.col("sends"), F.col("v")[done + 1 + k])).alias(f"v{k}") for k in range(width)]
+        held = [F.sum(F.when(~F.col("sends"), F.element_at("v", k - width))).alias(f"v{k}") for k in range(width)]
         before = state
         state = scratch.step(now.observe(seen, *held), "walks")
         scratch.drop(before)
         lost += [seen.get[f"v{k}"] or 0.0 for k in range(width)]
         for _ in range(width):
             ahead()
-        if steps is None:
-            far = state.agg(*(moved(k).alias(f"m{k}") for k in range(done + 1, done + width + 1))).first()
-            stop = [k for k in range(max(done + 1, least), done + width + 1) if far[f"m{k}"] < n * tol]
-            if stop:
-                last = stop[0]
+        if steps is None and done + width >= least:
+            tried = range(max(done + 1, least), done + width + 1)
+            far = state.agg(*(moved(k).alias(f"m{k}") for k in tried)).first()
+            last = next((k for k in tried if far[f"m{k}"] < n * tol), last)
         done += width
     return scratch.step(state.select("gid", mix(weights[last]).alias("pagerank")), "rank")
 
