@@ -56,12 +56,12 @@ def _settle(both: DataFrame, state: DataFrame, total: float, resolution: float,
     Each sweep is one job: it makes the moves of the last one, finds each node's best community, and observes for each run the
     modularity and how many nodes would gain. Where moves made at once have not raised the modularity, the run goes back to the
     table before and lets half as many of them go; one node alone always raises it, so each run ends. Draws come from a column and not from literals: the sweeps' plans are then
-    equal, and Spark compiles them once.
+    equal, and Spark compiles them once; only a run that has to draw again gets a number of its own.
     """
     state = state.withColumns({"went": F.lit(False), "seed": F.xxhash64("node", "run", F.lit(level))})
     quality: dict[int, float] = {}
     base: dict[int, DataFrame] = {}
-    share = dict.fromkeys(ids, AT_ONCE)
+    share, tries = dict.fromkeys(ids, AT_ONCE), dict.fromkeys(ids, 0)
     size = {r["run"]: r["n"] for r in state.groupBy("run").agg(F.count("*").alias("n")).collect()}  # a row a run
     open_, ended, now, moved = [r for r in ids if r in size], {}, state, False
     while open_:
@@ -85,13 +85,13 @@ def _settle(both: DataFrame, state: DataFrame, total: float, resolution: float,
         for r in list(open_):
             q, n, went = (seen.get[f"{x}{r}"] for x in "qnm")
             if r in quality and not went:
-                share[r] = min(1.0, 2 * share[r])  # the draw took nobody
+                share[r], tries[r] = min(1.0, 2 * share[r]), tries[r] + 1  # the draw took nobody
                 continue
             if r in quality and q <= quality[r] + LEAST_GAIN / 10:
-                share[r] /= 2
+                share[r], tries[r] = share[r] / 2, tries[r] + 1
                 continue
             moved = moved or r in quality
-            quality[r], base[r] = q, table
+            quality[r], base[r], tries[r] = q, table, 0
             share[r] = 1.0 if n < FEW * size[r] else max(share[r], AT_ONCE)
             if not n:
                 open_.remove(r)
@@ -101,10 +101,11 @@ def _settle(both: DataFrame, state: DataFrame, total: float, resolution: float,
             tables.setdefault(base[r]._scratch_path, (base[r], []))[1].append(r)
         now = None
         for table, own in tables.values():
-            part = F.lit(0.0)
+            part, again = F.lit(0.0), F.lit(0)
             for r in own:
                 part = F.when(F.col("run") == r, F.lit(share[r])).otherwise(part)
-            draw = F.pmod("seed", F.lit(1 << 20)) < part * (1 << 20)
+                again = F.when(F.col("run") == r, F.lit(tries[r])).otherwise(again)
+            draw = F.pmod(F.xxhash64("seed", again), F.lit(1 << 20)) < part * (1 << 20)
             go = draw & F.col("to").isNotNull()
             rows = table.filter(F.col("run").isin(own)).select("run", "node", "k", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), go.alias("went"), "seed")
             now = rows if now is None else now.unionByName(rows)
