@@ -123,7 +123,8 @@ class Analysis:
     def top_nodes(self) -> DataFrame:
         best = self.scored.filter(F.col("rank") <= self.cfg.top_n).join(self.cluster_table.select("cluster_id", "hypothesis"), "cluster_id")
         return best.withColumns({"why": priority.why(), "confidence": priority.confidence_label(F.col("role_score")), "level": priority.priority_label(F.col("rank"))}).select(
-            "rank", "gid", "role", "priority_score", "why", "cluster_id", "is_seed", "in_kzt", "out_kzt", "confidence", "level"
+            "rank", "gid", "role", "priority_score", "why", "cluster_id", "is_seed", "in_kzt", "out_kzt", "confidence", "level",
+            F.when(F.col("typology") == "", "-").otherwise(F.col("typology")).alias("typology"), "role_score", (~F.col("is_seed")).alias("new_lead"), "evidence",
         )
 
     @cached_property
