@@ -139,29 +139,6 @@ def _dependencies(own: DataFrame, links: DataFrame, scratch: Scratch) -> tuple[D
     return total.groupBy(F.col("v").alias("gid")).agg(F.sum("delta").alias("delta")), used
 
 
-def cycles(edges: DataFrame, scratch: Scratch, longest: int = 5) -> DataFrame:
-    """(path, length, min_edge_kzt, total_kzt): simple directed cycles, starting at their smallest node.
-
-    Paths only grow through nodes above their start and close by an equi-join with the edge back.
-    """
-    e = edges.select("src", "dst", "sum_kzt")
-    loops = e.filter("src = dst").select(F.array("src").alias("path"), F.array("sum_kzt").alias("sums"))
-    open_ = e.filter("dst > src").select(F.array("src", "dst").alias("path"), F.array("sum_kzt").alias("sums"))
-    closed = [loops]
-    for k in range(2, longest + 1):
-        tail = open_.withColumns({"first": F.col("path")[0], "last": F.element_at("path", -1)})
-        end = e.withColumnsRenamed({"src": "s", "dst": "d", "sum_kzt": "m"})
-        closed.append(tail.join(end, (F.col("last") == F.col("s")) & (F.col("first") == F.col("d"))).select("path", F.array_append("sums", F.col("m")).alias("sums")))
-        if k < longest:
-            step = tail.join(end, F.col("last") == F.col("s")).filter((F.col("d") > F.col("first")) & ~F.array_contains("path", F.col("d")))
-            open_ = scratch.write(step.select(F.array_append("path", F.col("d")).alias("path"), F.array_append("sums", F.col("m")).alias("sums")), f"paths{k}")
-    out = closed[0]
-    for part in closed[1:]:
-        out = out.unionByName(part)
-    total = F.aggregate("sums", F.lit(0.0), lambda a, x: a + x)
-    return out.select("path", F.size("path").alias("length"), F.array_min("sums").alias("min_edge_kzt"), total.alias("total_kzt"))
-
-
 def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node; edges (u, v) undirected; component is the smallest node reachable.
 

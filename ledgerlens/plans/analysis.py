@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.cuts import Scratch
-from ..operators import clusters, flows, forward, graph, priority, resilience, roles, temporal
+from ..operators import clusters, cycles, flows, forward, graph, priority, resilience, roles, temporal
 from ..sources import sinks
 from ..sources.network import Network, check
 from . import saved
@@ -92,7 +92,7 @@ class Analysis:
 
     @cached_property
     def cycles(self) -> DataFrame:
-        return self._keep(graph.cycles(self.net.edges, self.scratch, self.cfg.cycle_max_len), "cycles")
+        return self._keep(cycles.cycles(self.net.edges, self.scratch, self.cfg.cycle_max_len), "cycles")
 
     @cached_property
     def routes(self) -> DataFrame:

@@ -320,6 +320,8 @@ SQL = {
     "robust_anomaly": _with(STRUCT, ANOMALY) + "SELECT * FROM an",
     "pagerank": _with(_pagerank()) + f"SELECT gid, {_r('pagerank')} AS pagerank FROM pr",
     "betweenness": _with(BETWEEN) + f"SELECT gid, {_r('betweenness')} AS betweenness FROM bt",
+    "strong_components": _with("sr AS (SELECT gid AS s, gid AS v FROM nodes UNION SELECT sr.s, edges.dst FROM sr JOIN edges ON edges.src = sr.v)")
+    + "SELECT x.s AS gid, min(x.v) AS component FROM sr x JOIN sr y ON y.s = x.v AND y.v = x.s GROUP BY x.s",
     "cycles": _with(CYCLES) + f"SELECT array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS length, {_r('list_min(sums)')} AS min_edge_kzt, {_r('list_sum(sums)')} AS total_kzt FROM cycles",
     "components": _with(COMPONENTS) + "SELECT gid AS node, component FROM comp",
     "seed_reach_volume": _with("rc AS (SELECT gid FROM nodes WHERE is_seed UNION SELECT dst FROM rc JOIN edges ON src = gid)") + f"SELECT count(*) AS n_reached, {_r('(SELECT sum(sum_kzt) FROM edges WHERE src IN (SELECT gid FROM rc))')} AS volume FROM rc",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EVENTS
 from ..functions.cuts import Scratch, importable
 from ..functions.scalars import rnd
-from ..operators import clusters, flows, forward, graph, lookup, priority, resilience, temporal, trace
+from ..operators import clusters, cycles, flows, forward, graph, lookup, priority, resilience, temporal, trace
 from ..sources import network, sinks
 from .analysis import Analysis
 from .oracles import PAGERANK_STEPS, SQL
@@ -138,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pagerank": lambda a: a.pagerank,
         "betweenness": lambda a: a.betweenness,
         "cycles": lambda a: a.cycles.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length", "min_edge_kzt", "total_kzt"),
+        "strong_components": lambda a: cycles.strong_components(a.net.nodes, a.net.edges, a.scratch),
         "components": components_of,
         "seed_reach_volume": lambda a: graph.reach_volume(a.net.edges, a.net.nodes.filter("is_seed"), a.scratch),
         "removal": _removal,

@@ -64,11 +64,6 @@ def test_betweenness_random(spark):
     assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
-def test_cycles(spark):
-    _, edges = tables(spark, [(1, 2), (2, 3), (3, 1), (1, 4), (4, 1)])
-    assert {tuple(r.path) for r in graph.cycles(edges, Scratch(spark)).collect()} == {(1, 2, 3), (1, 4)}
-
-
 def test_components_and_isolated(spark):
     nodes, edges = tables(spark, [(5, 4), (4, 3), (8, 9), (7, 7)], extra=[6])
     got = {r.node: r.component for r in graph.components(nodes.selectExpr("gid AS node"), edges.selectExpr("src AS u", "dst AS v"), Scratch(spark)).collect()}
