@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.cuts import Scratch, fingerprint
 
 #: Hops that one job makes before it looks whether anything has changed.
-HOPS = 3
+HOPS = 5
 
 
-def _settled(table: DataFrame, hop: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str) -> DataFrame:
-    """`hop` applied to a stored table until its rows stay the same; the tables in between are dropped."""
+def _settled(table: DataFrame, hop: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str, hops: int = HOPS) -> DataFrame:
+    """`hop` applied to a stored table until its rows stay the same, `hops` times a job; the tables in between are dropped."""
     before = fingerprint(table, *table.columns)
     while True:
         grown = table
-        for _ in range(HOPS):
+        for _ in range(hops):
             grown = hop(grown)
         grown = scratch.step(grown, name)
         scratch.drop(table)
@@ -45,29 +45,29 @@ def strong_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> D
     links = scratch.step(edges.select("src", "dst").filter("src <> dst").distinct(), "strong")
     found = None
     while True:
-        links = _settled(links, _trimmed, scratch, "trimmed")
+        links = _settled(links, _trimmed, scratch, "trimmed", 1)
         if not links.take(1):
             break
-        ends = links.select(F.explode(F.array("src", "dst")).alias("v")).distinct().select("v", F.col("v").alias("c"))
+        ends = links.select(F.col("src").alias("v")).distinct()  # each pays and is paid, as links are trimmed
+        loops = ends.select(F.col("v").alias("src"), F.col("v").alias("dst"))  # by which a node keeps what it has
+        ways = scratch.step(links.unionByName(loops), "ways")
 
-        def spread(state: DataFrame, links: DataFrame = links) -> DataFrame:
-            ahead = links.join(state, F.col("src") == F.col("v")).select(F.col("dst").alias("v"), "c")
-            return state.unionByName(ahead).groupBy("v").agg(F.max("c").alias("c"))
+        def spread(state: DataFrame, ways: DataFrame = ways) -> DataFrame:
+            return ways.join(state, F.col("src") == F.col("v")).groupBy(F.col("dst").alias("v")).agg(F.max("c").alias("c"))
 
-        colours = _settled(scratch.step(ends, "colours"), spread, scratch, "colours")
-        inner = links.join(colours.select(F.col("v").alias("src"), "c"), "src").join(colours.select(F.col("v").alias("dst"), F.col("c").alias("other")), "dst")
+        colours = _settled(scratch.step(ends.select("v", F.col("v").alias("c")), "colours"), spread, scratch, "colours")
+        inner = ways.join(colours.select(F.col("v").alias("src"), "c"), "src").join(colours.select(F.col("v").alias("dst"), F.col("c").alias("other")), "dst")
         inner = scratch.step(inner.filter("c = other").select("src", "dst", "c"), "inside")
 
         def back(state: DataFrame, inner: DataFrame = inner) -> DataFrame:
-            behind = inner.join(state.select(F.col("v").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("v"), "c")
-            return state.unionByName(behind).distinct()
+            return inner.join(state.select(F.col("v").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("v"), "c").distinct()
 
         members = _settled(scratch.step(colours.filter("v = c"), "members"), back, scratch, "members")
         found = members if found is None else found.unionByName(members)
         gone = members.select("v")
-        rest = inner.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti")
+        rest = inner.filter("src <> dst").join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti")
         before, links = links, scratch.step(rest.select("src", "dst"), "strong")
-        for table in (before, colours, inner):
+        for table in (before, ways, colours, inner):
             scratch.drop(table)
     if found is None:
         return nodes.select("gid", F.col("gid").alias("component"))
