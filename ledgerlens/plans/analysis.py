@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from ..functions.cuts import Scratch
 from ..operators import clusters, cycles, flows, forward, graph, priority, resilience, roles, temporal
 from ..sources import sinks
 from ..sources.network import Network, check
-from . import saved
+from . import report, saved
 
 #: Rules whose violations are told and break nothing.
 INFORMATIVE = ("input_node_without_edge",)
@@ -138,22 +139,24 @@ class Analysis:
     def write(self, path: str) -> DataFrame:
         """Writes all tables below path, saves the results for lookups there, and returns the checks: of the network (rules that
         begin with input_) and of the written files, read again."""
+        began = time.monotonic()
         nodes = self._keep(sinks.nodes_roles(self.scored), "nodes_roles")
         routes = self.routes.withColumns({"first": F.date_format("first", "yyyy-MM-dd"), "last": F.date_format("last", "yyyy-MM-dd")})
         cyc = self.cycles.withColumn("path", F.array_join(F.transform(F.array_append("path", F.col("path")[0]), lambda x: x.cast("string")), " → "))
-        sinks.write_csv(nodes, f"{path}/nodes_roles", ["rank"])
-        sinks.write_csv(self.cluster_table, f"{path}/clusters", ["cluster_id"])
+        counted = sinks.write_csv(nodes, f"{path}/nodes_roles", ["rank"], sinks.node_counts())
+        counted |= sinks.write_csv(self.cluster_table, f"{path}/clusters", ["cluster_id"], sinks.cluster_counts())
         sinks.write_csv(self.top_nodes, f"{path}/top_nodes", ["rank"])
-        sinks.write_csv(cyc.select("length", "path", "min_edge_kzt", "total_kzt"), f"{path}/cycles", [F.desc("min_edge_kzt"), "length", "path"])
-        sinks.write_csv(routes, f"{path}/routes", [F.desc("n_dates"), F.desc("sum_out"), "a", "b", "c"])
+        counted |= sinks.write_csv(cyc.select("length", "path", "min_edge_kzt", "total_kzt"), f"{path}/cycles", [F.desc("min_edge_kzt"), "length", "path"], {"n_cycles": F.count("*")})
+        counted |= sinks.write_csv(routes, f"{path}/routes", [F.desc("n_dates"), F.desc("sum_out"), "a", "b", "c"], {"n_routes": F.count("*")})
         sinks.write_csv(self.resilience, f"{path}/resilience", ["removed_n"])
         sinks.write_csv(self.data_requests, f"{path}/data_requests", [F.desc("node_priority"), "gid", "request"])
         sinks.write_csv(self.forward_cells.select(F.col("b_deg").alias("in_deg"), F.col("b_tx").alias("in_tx"), F.round("p", 3).alias("p_forward"), "n"), f"{path}/p_forward_table")
         for name, df in sinks.document(self.scored, self.net.edges, self.cluster_table, temporal.edge_lists(self.net.transactions)).items():
             sinks.write_json(df, f"{path}/graph/{name}")
-        sinks.metrics(self.scored, self.cluster_table).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
         tables = {f"{path}/nodes_roles": nodes, f"{path}/clusters": self.cluster_table, f"{path}/top_nodes": self.top_nodes}
         spark = self.net.nodes.sparkSession
         saved.save(self, f"{path}/store")
+        seconds = F.lit(round(time.monotonic() - began, 1)).alias("seconds")
+        report.summary(self, counted).select("*", seconds).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
         given = check(self.net).withColumn("rule", F.concat(F.lit("input_"), "rule"))
         return given.unionByName(sinks.validate(self.net.nodes, *(sinks.written(spark, p, x) for p, x in tables.items()))).unionByName(sinks.headers(spark, tables))

@@ -239,6 +239,17 @@ lz AS (SELECT scenario, low, count(*) AS n FROM (SELECT scenario, a, min(b) AS l
 lr AS (SELECT scenario, gid FROM ln WHERE is_seed UNION SELECT lr.scenario, le.dst FROM lr JOIN le ON le.scenario = lr.scenario AND le.src = lr.gid),
 lv2 AS (SELECT le.scenario, sum(sum_kzt) AS volume FROM le JOIN lr ON lr.scenario = le.scenario AND lr.gid = le.src GROUP BY 1)"""
 
+_NESTED = """
+ro AS (SELECT 0 AS chain, gid, row_number() OVER (ORDER BY gid % 7, gid) AS place FROM nodes UNION ALL SELECT 1, gid, row_number() OVER (ORDER BY gid % 10, gid) FROM nodes),
+rs AS (SELECT *, chain * 100 + n AS scenario FROM (SELECT unnest([0, 1]) AS chain), (SELECT unnest([0, 5, 20]) AS n)),
+ln AS MATERIALIZED (SELECT scenario, gid, is_seed FROM rs JOIN ro USING (chain) JOIN nodes USING (gid) WHERE place > n),
+le AS MATERIALIZED""" + _REMOVAL.split("le AS MATERIALIZED", 1)[1]
+
+_ROUTES_ONLY = "routes AS" + ROUTES.split(",\nroutes AS", 1)[1]
+_MODULARITY = """SELECT sum(l / m - (k / (2 * m)) * (k / (2 * m))) AS modularity FROM (SELECT c, sum(w) AS k, sum(i) AS l FROM (
+        SELECT x.cluster_id AS c, weight AS w, CASE WHEN x.cluster_id = y.cluster_id THEN weight ELSE 0 END AS i FROM pairs JOIN cl x ON x.gid = a JOIN cl y ON y.gid = b
+        UNION ALL SELECT y.cluster_id, weight, 0 FROM pairs JOIN cl y ON y.gid = b) GROUP BY c), (SELECT sum(weight) AS m FROM pairs)"""
+
 _PATHS = """
 pa AS (SELECT [7::BIGINT] AS nodes, 'inf'::DOUBLE AS low
        UNION ALL SELECT list_append(nodes, e.dst), least(low, sum_kzt) FROM pa JOIN edges e ON e.src = nodes[-1] WHERE len(nodes) <= 3 AND nodes[-1] <> 37 AND NOT list_contains(nodes, e.dst))"""
@@ -325,6 +336,8 @@ SQL = {
     "cycles": _with(CYCLES) + f"SELECT array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS length, {_r('list_min(sums)')} AS min_edge_kzt, {_r('list_sum(sums)')} AS total_kzt FROM cycles",
     "components": _with(COMPONENTS) + "SELECT gid AS node, component FROM comp",
     "seed_reach_volume": _with("rc AS (SELECT gid FROM nodes WHERE is_seed UNION SELECT dst FROM rc JOIN edges ON src = gid)") + f"SELECT count(*) AS n_reached, {_r('(SELECT sum(sum_kzt) FROM edges WHERE src IN (SELECT gid FROM rc))')} AS volume FROM rc",
+    "nested_removals": _with(_NESTED)
+    + f"SELECT CAST(scenario // 100 AS INTEGER) AS chain, CAST(scenario % 100 AS INTEGER) AS n, coalesce(max(lz.n), 0) AS giant, count(lz.n) AS n_components, {_r('coalesce(any_value(volume), 0)')} AS volume FROM (SELECT scenario FROM rs) LEFT JOIN lz USING (scenario) LEFT JOIN lv2 USING (scenario) GROUP BY scenario",
     "removal": _with(_REMOVAL) + f"SELECT CAST(lz.scenario AS INTEGER) AS scenario, max(n) AS giant, count(*) AS n_components, {_r('coalesce(any_value(volume), 0)')} AS volume FROM lz LEFT JOIN lv2 USING (scenario) GROUP BY lz.scenario",
     "neighbors": _with() + f"SELECT src AS gid, 'in' AS direction, {_r('sum_kzt')} AS sum_kzt, n_tx FROM edges WHERE dst = 7 UNION ALL SELECT dst, 'out', {_r('sum_kzt')}, n_tx FROM edges WHERE src = 7",
     "partners": _with() + f"SELECT src AS gid, 'in' AS direction, {_r('sum(sum_kzt)')} AS sum_kzt, count(*) AS n_tx, min(date) AS first, max(date) AS last FROM tx WHERE dst = 7 GROUP BY src UNION ALL SELECT dst, 'out', {_r('sum(sum_kzt)')}, count(*), min(date), max(date) FROM tx WHERE src = 7 GROUP BY dst",
@@ -343,9 +356,7 @@ SQL = {
     "edge_tx_lists": _with() + "SELECT src, dst, string_agg(CAST(date AS VARCHAR) || ' ' || CAST(round_even(sum_kzt * 100, 0) AS BIGINT), ',' ORDER BY date, sum_kzt) AS transfers FROM tx GROUP BY src, dst",
     "graph_totals": _with() + _TOTALS,
     "cluster_flows": _with(COMPONENTS, _FLOWS) + "SELECT * FROM cf",
-    "modularity": _with(PAIRS, COMPONENTS) + f"""SELECT {_r('sum(l / m - (k / (2 * m)) * (k / (2 * m)))')} AS modularity FROM (SELECT c, sum(w) AS k, sum(i) AS l FROM (
-        SELECT x.cluster_id AS c, weight AS w, CASE WHEN x.cluster_id = y.cluster_id THEN weight ELSE 0 END AS i FROM pairs JOIN cl x ON x.gid = a JOIN cl y ON y.gid = b
-        UNION ALL SELECT y.cluster_id, weight, 0 FROM pairs JOIN cl y ON y.gid = b) GROUP BY c), (SELECT sum(weight) AS m FROM pairs)""",
+    "modularity": _with(PAIRS, COMPONENTS) + f"SELECT {_r('modularity')} AS modularity FROM ({_MODULARITY})",
     "seed_cluster_span": _with(COMPONENTS, SPAN) + "SELECT * FROM span",
     "cluster_numbers": _with(PAIRS, COMPONENTS, _NUMBERS) + "SELECT gid, CAST(n AS INTEGER) AS cluster_id FROM cl JOIN cn ON cn.c = cluster_id",
     "roles_by_component": _with(*_ROLES) + "SELECT gid, role, role_score, alt_role, sink_status FROM rl",
@@ -366,6 +377,29 @@ SQL = {
         count(*) FILTER (rank <= 20 AND NOT is_seed) AS new_leads_top20, count(*) FILTER (in_kzt > 0 AND out_kzt / in_kzt BETWEEN 0.8 AND 1.2) AS n_ratio_near_1,
         count(DISTINCT cluster_id) AS n_clusters, (SELECT count(*) FROM (SELECT cluster_id FROM nodes JOIN cl USING (gid) WHERE is_seed GROUP BY 1 HAVING count(*) > 1)) AS n_clusters_with_seeds
         FROM scored JOIN cl USING (gid), ({_TOTALS}) t GROUP BY ALL""",
+    "run_summary": _with(*_ALL, _sensitivity(), BACKTEST, PAIRS, _ROUTES_ONLY)
+    + " UNION ALL ".join(
+        [f"SELECT 'n_{r}' AS metric, count(*) FILTER (role = '{r}')::DOUBLE AS value FROM scored" for r in ROLE_NAMES]
+        + [
+            "SELECT 'new_leads_top20', count(*) FILTER (rank <= 20 AND NOT is_seed) FROM scored",
+            "SELECT 'n_ratio_near_1', count(*) FILTER (in_kzt > 0 AND out_kzt / in_kzt BETWEEN 0.8 AND 1.2) FROM scored",
+            "SELECT 'n_clusters', count(DISTINCT cluster_id) FROM cl",
+            "SELECT 'n_clusters_with_seeds', count(*) FROM (SELECT cluster_id FROM nodes JOIN cl USING (gid) WHERE is_seed GROUP BY 1 HAVING count(*) > 1)",
+            "SELECT 'n_cycles', count(*) FROM cycles",
+            "SELECT 'n_routes', count(*) FROM routes",
+            f"SELECT 'modularity', {_r('modularity', 3)} FROM ({_MODULARITY})",
+            f"SELECT 'top20_min_overlap', {_r('min(share)', 3)} FROM sh",
+            f"SELECT 'top20_mean_overlap', {_r('avg(share)', 3)} FROM sh",
+            f"SELECT 'base_rate', {_r('avg(fwd)', 3)} FROM tr",
+            "SELECT 'n_train', count(*) FROM tr",
+            f"SELECT 'auc', {_r('auc', 3)} FROM au",
+            f"SELECT 'depth ' || depth || ' rate', {_r('avg(fwd)', 3)} FROM tr GROUP BY depth",
+            "SELECT 'depth ' || depth || ' n', count(*) FROM tr GROUP BY depth",
+            f"SELECT 'bin ' || bin || ' predicted', {_r('predicted', 3)} FROM cb",
+            f"SELECT 'bin ' || bin || ' actual', {_r('actual', 3)} FROM cb",
+            "SELECT 'bin ' || bin || ' n', n FROM cb",
+        ]
+    ),
     "node_record": _with(*_ALL) + """SELECT gid, role, priority_score, rank, cluster_id, (SELECT count(*) FROM cl x WHERE x.cluster_id = cl.cluster_id) AS cluster_n_nodes, (SELECT count(*) FROM cl x JOIN nodes USING (gid) WHERE x.cluster_id = cl.cluster_id AND is_seed) AS cluster_n_seed,
         (SELECT coalesce(string_agg(g || ':' || CAST(round_even(s * 100, 0) AS BIGINT) || ':' || n, ',' ORDER BY s DESC, g DESC), '') FROM (SELECT src AS g, sum_kzt AS s, n_tx AS n FROM edges WHERE dst = 7 ORDER BY s DESC, g DESC LIMIT 5)) AS top_payers,
         (SELECT coalesce(string_agg(g || ':' || CAST(round_even(s * 100, 0) AS BIGINT) || ':' || n, ',' ORDER BY s DESC, g DESC), '') FROM (SELECT dst AS g, sum_kzt AS s, n_tx AS n FROM edges WHERE src = 7 ORDER BY s DESC, g DESC LIMIT 5)) AS top_payees

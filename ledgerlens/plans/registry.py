@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EVENTS
@@ -12,6 +12,7 @@ from ..functions.cuts import Scratch, importable
 from ..functions.scalars import rnd
 from ..operators import clusters, cycles, flows, forward, graph, lookup, priority, resilience, temporal, trace
 from ..sources import network, sinks
+from . import report
 from .analysis import Analysis
 from .oracles import PAGERANK_STEPS, SQL
 from .saved import Saved, save
@@ -72,6 +73,12 @@ def _removal(a: Analysis) -> DataFrame:
     return resilience.measure(a.net.nodes, a.net.edges, gone, scenarios, a.scratch)
 
 
+def _nested_removals(a: Analysis) -> DataFrame:
+    """The first 5 and 20 nodes of two fixed orders: by the remainder of 7, and of 10."""
+    first = lambda chain, by: a.net.nodes.orderBy(F.col("gid") % by, "gid").limit(20).select(F.lit(chain).alias("chain"), "gid", F.row_number().over(Window.orderBy(F.col("gid") % by, "gid")).alias("at"))  # noqa: E731  20 rows
+    return resilience.nested(a.net.nodes, a.net.edges, first(0, 7).unionByName(first(1, 10)), [5, 20], a.scratch)
+
+
 def _node_record(a: Analysis) -> DataFrame:
     """Node 7 with its cluster's size and its largest payers and payees, amounts in hundredths."""
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["gid"], F.rint(x["sum_kzt"] * 100).cast("bigint"), x["n_tx"])), ",").alias(c)
@@ -142,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "components": components_of,
         "seed_reach_volume": lambda a: graph.reach_volume(a.net.edges, a.net.nodes.filter("is_seed"), a.scratch),
         "removal": _removal,
+        "nested_removals": _nested_removals,
         "neighbors": lambda a: graph.neighbours(a.net.edges, 7),
         "partners": lambda a: lookup.partners(a.net.transactions, 7),
         "top_paths": lambda a: lookup.ranked_paths(a.net.edges, 7, 37, 3, a.scratch, 20).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "bottleneck_kzt", "n_hops"),
@@ -182,6 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cluster_roles": lambda a: a.cluster_table.select("cluster_id", "roles_mix", "sum_kzt_in_external", "sum_kzt_out_external"),
         "top_by_component": lambda a: a.top_nodes.select(F.col("rank").cast("long").alias("rank"), "gid", "role", "priority_score", "cluster_id", "is_seed", "in_kzt", "out_kzt", "confidence", "level"),
         "overview_by_component": lambda a: flows.totals(a.net).crossJoin(sinks.metrics(a.scored, a.cluster_table)),
+        "run_summary": lambda a: report.long_form(report.summary(a, report.counts(a))),
         "node_record": _node_record,
         "stored_partners": _stored_partners,
         "stored_members": _stored_members,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ROLES
@@ -27,9 +27,17 @@ def nodes_roles(scored: DataFrame) -> DataFrame:
     }).select(*NODE_COLUMNS)
 
 
-def write_csv(df: DataFrame, path: str, order: list | None = None) -> None:
-    """A folder of CSV parts (UTF-8, header, LF). An order is kept by range partitions, so no task holds all rows."""
-    (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+def write_csv(df: DataFrame, path: str, order: list | None = None, seen: dict[str, Column] | None = None) -> dict:
+    """A folder of CSV parts (UTF-8, header, LF). An order is kept by range partitions, so no task holds all rows.
+
+    `seen` are aggregates that the write itself takes of its rows; they are returned. They are observed behind the last exchange,
+    where each row passes once.
+    """
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    watch = Observation()
+    out = out.observe(watch, *named(seen)) if seen else out
+    out.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    return dict(watch.get) if seen else {}
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -54,12 +62,24 @@ def document(scored: DataFrame, edges: DataFrame, clusters: DataFrame, lists: Da
     return {"nodes": nodes, "edges": links, "clusters": clusters}
 
 
-def metrics(scored: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row: how many nodes of each role, clusters, clusters with more than one seed, new leads in the top 20, ratios near 1."""
+def node_counts() -> dict[str, Column]:
+    """Aggregates over scored nodes: how many of each role, new leads in the top 20, nodes that pass on what they get."""
     ratio = F.col("out_kzt") / F.when(F.col("in_kzt") > 0, F.col("in_kzt"))
-    a = scored.agg(*(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ROLES), F.count_if((F.col("rank") <= 20) & ~F.col("is_seed")).alias("new_leads_top20"), F.count_if(ratio.between(0.8, 1.2)).alias("n_ratio_near_1"))
-    b = clusters.agg(F.count_if(F.expr("cluster_id > 0")).alias("n_clusters"), F.count_if(F.expr("cluster_id > 0 AND n_seed > 1")).alias("n_clusters_with_seeds"))
-    return a.crossJoin(b)
+    return {f"n_{r}": F.count_if(F.col("role") == r) for r in ROLES} | {"new_leads_top20": F.count_if((F.col("rank") <= 20) & ~F.col("is_seed")), "n_ratio_near_1": F.count_if(ratio.between(0.8, 1.2))}
+
+
+def cluster_counts() -> dict[str, Column]:
+    """Aggregates over the cluster table: clusters, and those with more than one seed."""
+    return {"n_clusters": F.count_if(F.expr("cluster_id > 0")), "n_clusters_with_seeds": F.count_if(F.expr("cluster_id > 0 AND n_seed > 1"))}
+
+
+def named(aggregates: dict[str, Column]) -> list[Column]:
+    return [x.alias(name) for name, x in aggregates.items()]
+
+
+def metrics(scored: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row: the counts of nodes and clusters."""
+    return scored.agg(*named(node_counts())).crossJoin(clusters.agg(*named(cluster_counts())))
 
 
 def written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
