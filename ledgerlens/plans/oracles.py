@@ -323,6 +323,8 @@ SQL = {
     "bursts": _with(BURST) + "SELECT * FROM burst",
     "repeat_amounts": _with(REPEAT) + "SELECT * FROM rep",
     "active_days": _with() + "SELECT gid, count(DISTINCT date) AS active_days FROM (SELECT src AS gid, date FROM tx UNION ALL SELECT dst, date FROM tx) GROUP BY 1",
+    "stream_patterns": _with(FAST, BURST) + f"""SELECT gid, d.date, {_r('fast_share')} AS fast_share, first_lag, burst_in, burst_in_date, burst_out, burst_out_date
+        FROM (SELECT gid, max(date) AS date FROM fd GROUP BY 1) d JOIN burst USING (gid) LEFT JOIN fast USING (gid)""",
     "fast_share": _with(FAST) + f"SELECT gid, {_r('fast_share')} AS fast_share, first_lag FROM fast",
     "routes": _with(ROUTES) + f"SELECT a, b, c, n_dates, first, last, {_r('sum_in')} AS sum_in, {_r('sum_out')} AS sum_out FROM routes",
     "p_forward_table": _with(STRUCT, FORWARD) + f"SELECT b_deg, b_tx, {_r('p')} AS p, n, {_r('base')} AS base FROM fw",

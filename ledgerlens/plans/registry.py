@@ -12,6 +12,7 @@ from ..functions.cuts import Scratch, importable
 from ..functions.scalars import rnd
 from ..operators import clusters, cycles, flows, forward, graph, lookup, priority, resilience, temporal, trace
 from ..sources import network, sinks
+from ..streaming import flows as stream_flows
 from . import report
 from .analysis import Analysis
 from .oracles import PAGERANK_STEPS, SQL
@@ -119,6 +120,20 @@ def _stored_members(a: Analysis) -> DataFrame:
     return saved.rows("members", node["cluster_id"]).join(about, "cluster_id").select("cluster_id", "n_nodes", "n_seed", F.col("rank").cast("long").alias("rank"), "gid", "role")
 
 
+def _stream_patterns(a: Analysis) -> DataFrame:
+    """The transfers as a stream, which stops and goes on from its checkpoint; a last row without ids closes all days."""
+    spark, root = a.net.nodes.sparkSession, f"{a.scratch.root}/stream"
+    if "stream" not in a.__dict__:
+        tx = a.net.transactions.select("src", "dst", F.timestamp_seconds(F.unix_date("date") * 86400).alias("ts"), "sum_kzt")
+        none = F.lit(None)
+        end = tx.agg((F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts")).select(none.cast("long").alias("src"), none.cast("long").alias("dst"), "ts", none.cast("double").alias("sum_kzt"))
+        for part in (tx, end):
+            part.write.mode("append").parquet(f"{root}/in")
+            stream_flows.run(stream_flows.node_patterns(spark.readStream.schema(tx.schema).parquet(f"{root}/in"), a.cfg, "60 days"), f"{root}/out", f"{root}/state")
+        a.__dict__["stream"] = spark.read.parquet(f"{root}/out")
+    return stream_flows.latest(a.__dict__["stream"])
+
+
 def _written(a: Analysis) -> DataFrame:
     return a.write(f"{a.scratch.root}/output")
 
@@ -136,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bursts": lambda a: temporal.bursts(a.net.transactions),
         "repeat_amounts": lambda a: temporal.repeat_amounts(a.net.transactions, a.cfg),
         "active_days": lambda a: temporal.active_days(a.net.transactions),
+        "stream_patterns": _stream_patterns,
         "fast_share": lambda a: temporal.fast_share(a.net.transactions, a.cfg),
         "routes": lambda a: temporal.routes(a.net.transactions, a.cfg),
         "p_forward_table": lambda a: a.forward_cells.select("b_deg", "b_tx", "p", "n", "base"),
