@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import re
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +17,18 @@ from pyspark.sql import functions as F
 #: Parquet size up to which a loop's table is one partition.
 SMALL_BYTES = 2 << 20
 
+#: Masters whose workers run on the driver's machine.
+LOCAL = r"local(\[.*\])?"
+
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where that is unset, on a local master, a folder of our own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not re.fullmatch(LOCAL, spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
@@ -31,11 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package from where the driver has it."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join(x for x in [root, *paths] if x)
+    """Lets Python workers import the package: on a local master from where the driver has it, on a cluster from an archive that
+    every executor fetches, those that come later too. The archive lies in the shared folder, one an application."""
+    package, sc = Path(__file__).resolve().parents[1], spark.sparkContext
+    if re.fullmatch(LOCAL, sc.master):
+        root, env = str(package.parent), sc.environment
+        paths = env.get("PYTHONPATH", "").split(os.pathsep)
+        if root not in paths:
+            env["PYTHONPATH"] = os.pathsep.join(x for x in [root, *paths] if x)
+    elif sc.applicationId not in _shipped:
+        at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ledgerlens/code-{sc.applicationId}.zip")
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        out = fs.create(at, True)
+        out.write(archive(package))
+        out.close()
+        sc.addPyFile(fs.makeQualified(at).toString())
+        _shipped.add(sc.applicationId)
+
+
+def archive(package: Path) -> bytes:
+    """The package's modules as a zip file that Python can import from."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    return held.getvalue()
 
 
 class Scratch:
