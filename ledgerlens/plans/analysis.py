@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.cuts import Scratch
 from ..operators import clusters, cycles, flows, forward, graph, priority, resilience, roles, temporal
-from ..sources import sinks
+from ..sources import files, sinks
 from ..sources.network import Network, check
-from . import report, saved
+from . import export, report, saved
 
 #: Rules whose violations are told and break nothing.
 INFORMATIVE = ("input_node_without_edge",)
@@ -137,8 +137,8 @@ class Analysis:
         return resilience.resilience(self.scored.select("gid", "is_seed", "rank"), self.net.edges, self.scratch)
 
     def write(self, path: str) -> DataFrame:
-        """Writes all tables below path, saves the results for lookups there, and returns the checks: of the network (rules that
-        begin with input_) and of the written files, read again."""
+        """Writes all tables below path, each as a folder of parts and as a single file, with one document of all results; saves the
+        results for lookups there; returns the checks: of the network (rules that begin with input_) and of the single files, read again."""
         began = time.monotonic()
         nodes = self._keep(sinks.nodes_roles(self.scored), "nodes_roles")
         routes = self.routes.withColumns({"first": F.date_format("first", "yyyy-MM-dd"), "last": F.date_format("last", "yyyy-MM-dd")})
@@ -151,12 +151,14 @@ class Analysis:
         sinks.write_csv(self.resilience, f"{path}/resilience", ["removed_n"])
         sinks.write_csv(self.data_requests, f"{path}/data_requests", [F.desc("node_priority"), "gid", "request"])
         sinks.write_csv(self.forward_cells.select(F.col("b_deg").alias("in_deg"), F.col("b_tx").alias("in_tx"), F.round("p", 3).alias("p_forward"), "n"), f"{path}/p_forward_table")
-        for name, df in sinks.document(self.scored, self.net.edges, self.cluster_table, temporal.edge_lists(self.net.transactions)).items():
-            sinks.write_json(df, f"{path}/graph/{name}")
-        tables = {f"{path}/nodes_roles": nodes, f"{path}/clusters": self.cluster_table, f"{path}/top_nodes": self.top_nodes}
+        tables = {f"{path}/nodes_roles.csv": nodes, f"{path}/clusters.csv": self.cluster_table, f"{path}/top_nodes.csv": self.top_nodes}
         spark = self.net.nodes.sparkSession
         saved.save(self, f"{path}/store")
         seconds = F.lit(round(time.monotonic() - began, 1)).alias("seconds")
         report.summary(self, counted).select("*", seconds).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+        summary = files.read_small(spark, f"{path}/metrics")
+        files.join_document(spark, summary, {}, f"{path}/metrics.json")
+        export.document(self, path, summary)
+        export.tables(self, path)
         given = check(self.net).withColumn("rule", F.concat(F.lit("input_"), "rule"))
         return given.unionByName(sinks.validate(self.net.nodes, *(sinks.written(spark, p, x) for p, x in tables.items()))).unionByName(sinks.headers(spark, tables))

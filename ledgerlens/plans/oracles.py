@@ -412,3 +412,4 @@ SQL = {
     "stored_members": _with(*_ALL) + """SELECT cluster_id, count(*) OVER () AS n_nodes, count(*) FILTER (is_seed) OVER () AS n_seed, rank, gid, role
         FROM scored JOIN cl USING (gid) WHERE cluster_id = (SELECT cluster_id FROM cl WHERE gid = 7)""",
 }
+SQL["exported_nodes"] = SQL["priority_by_component"]

@@ -11,7 +11,7 @@ from ..config import EVENTS
 from ..functions.cuts import Scratch, importable
 from ..functions.scalars import rnd
 from ..operators import clusters, cycles, flows, forward, graph, lookup, priority, resilience, temporal, trace
-from ..sources import network, sinks
+from ..sources import files, network, sinks
 from ..streaming import flows as stream_flows
 from . import report
 from .analysis import Analysis
@@ -134,6 +134,15 @@ def _stream_patterns(a: Analysis) -> DataFrame:
     return stream_flows.latest(a.__dict__["stream"])
 
 
+def _exported_nodes(a: Analysis) -> DataFrame:
+    """The node table, written as parts, joined to one file, and read back from it."""
+    spark, folder, nodes = a.net.nodes.sparkSession, f"{a.scratch.root}/single/nodes_roles", sinks.nodes_roles(a.scored)
+    sinks.write_csv(nodes, folder, ["rank"])
+    files.join_csv(spark, folder, f"{folder}.csv")
+    back = sinks.written(spark, f"{folder}.csv", nodes)
+    return back.select("gid", "priority_score", "prio_role", "prio_flow", "prio_centrality", "prio_seed", "prio_flags", F.col("rank").cast("long").alias("rank"))
+
+
 def _written(a: Analysis) -> DataFrame:
     return a.write(f"{a.scratch.root}/output")
 
@@ -207,6 +216,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_by_component": lambda a: a.top_nodes.select(F.col("rank").cast("long").alias("rank"), "gid", "role", "priority_score", "cluster_id", "is_seed", "in_kzt", "out_kzt", "confidence", "level"),
         "overview_by_component": lambda a: flows.totals(a.net).crossJoin(sinks.metrics(a.scored, a.cluster_table)),
         "run_summary": lambda a: report.long_form(report.summary(a, report.counts(a))),
+        "exported_nodes": _exported_nodes,
         "node_record": _node_record,
         "stored_partners": _stored_partners,
         "stored_members": _stored_members,

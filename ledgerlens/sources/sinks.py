@@ -44,22 +44,32 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; ids as strings, which keep all their digits everywhere."""
+def write_json(df: DataFrame, path: str, order: list | None = None, separator: str = "\n") -> None:
+    """JSON records with all keys, one after the other; ids as strings, which keep all their digits everywhere."""
     ids = {c: F.col(c).cast("string") for c in df.columns if c in ("gid", "src", "dst")}
-    df.withColumns(ids).write.mode("overwrite").json(path)
-
-
-def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
-
-
-def document(scored: DataFrame, edges: DataFrame, clusters: DataFrame, lists: DataFrame) -> dict[str, DataFrame]:
-    """Sections of the result document: nodes, edges with their transfers, clusters; one JSON record a row."""
-    nodes = scored.select(F.col("gid").cast("string").alias("id"), "rank", "role", "role_score", F.col("cluster_id").alias("cluster"), "is_seed", "flags", "typology", "evidence",
-                          F.struct(*(F.col(f"prio_{k}").alias(k) for k in ("role", "flow", "centrality", "seed", "flags"))).alias("prio_parts"))
-    links = edges.join(lists, ["src", "dst"], "left").select(F.col("src").cast("string").alias("from"), F.col("dst").cast("string").alias("to"), F.col("sum_kzt").alias("sum"), "n_tx", F.col("transfers").alias("tx"))
-    return {"nodes": nodes, "edges": links, "clusters": clusters}
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    out.withColumns(ids).write.mode("overwrite").option("ignoreNullFields", False).option("lineSep", separator).json(path)
+
+
+def document(scored: DataFrame, edges: DataFrame, clusters: DataFrame, lists: DataFrame, top: DataFrame) -> dict[str, tuple[DataFrame, list]]:
+    """Sections of the result document with their order: nodes, edges with their transfers, clusters, top nodes; one record a row."""
+    text = lambda c: F.col(c).cast("string")
+    money = ("in_kzt", "out_kzt")
+    plain = ("role", "rule_fired", "typology", "evidence", "is_seed", "depth", "truncated", "sink_status", "in_deg", "out_deg", "in_tx", "out_tx", "flags")
+    nodes = scored.select(
+        text("gid").alias("id"), F.col("rank"), *plain, *(rnd(F.col(c), 2).alias(c) for c in money), F.when(F.col("alt_role") == "-", "").otherwise(F.col("alt_role")).alias("alt_role"),
+        rnd(F.col("role_score"), 3).alias("role_score"), rnd(F.col("priority_score"), 4).alias("priority"), F.col("cluster_id").alias("cluster"),
+        F.when(F.col("truncated"), rnd(F.col("p_forward"), 3)).alias("p_forward"), rnd(F.col("fast_share"), 3).alias("fast_share"),
+        *(rnd(F.col(c), 6).alias(c) for c in ("pagerank", "betweenness")), F.struct(*(rnd(F.col(f"prio_{k}"), 4).alias(k) for k in ("role", "flow", "centrality", "seed", "flags"))).alias("prio_parts"),
+    )
+    links = edges.join(lists, ["src", "dst"], "left").select(text("src").alias("from"), text("dst").alias("to"), rnd(F.col("sum_kzt"), 2).alias("sum"), "n_tx", F.col("transfers").alias("tx"))
+    mix = scored.groupBy("cluster_id", "role").agg(F.count("*").alias("n")).groupBy("cluster_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "n"))).alias("roles"))  # six roles
+    groups = clusters.join(mix, "cluster_id", "left").select(
+        F.col("cluster_id").alias("id"), "n_nodes", "n_seed", F.col("sum_kzt_internal").alias("sum_internal"), "hypothesis",
+        F.filter(F.split("top_gids", ";"), lambda x: x != "").alias("top_gids"), "roles", "stability", "isolated_fragment",
+    )
+    best = top.select("rank", text("gid").alias("gid"), "role", F.col("priority_score").alias("priority"), "why", "is_seed")
+    return {"nodes": (nodes, ["rank"]), "edges": (links, ["from", "to"]), "clusters": (groups, ["id"]), "top": (best, ["rank"])}
 
 
 def node_counts() -> dict[str, Column]:
