@@ -20,7 +20,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST_REPEATS = 1.5, 2
 #: Slope of a source's weight over time, by place of the source: rising, level, falling. Each keeps the same integral.
 SLOPES = (0.5, 0.0, -0.5)
-WORDS_IN_BUCKET = 4_000_000
+#: Most words, and most rows, that a range of a source should hold on average.
+WORDS_IN_BUCKET, ROWS_IN_BUCKET = 4_000_000, 250_000
 #: Positions are whole ticks of training time.
 TICKS = 1_000_000_000
 
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     by_source = cut.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
     goal = targets(by_source, scratch)
     words = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    ranges = max(1, math.ceil(words / WORDS_IN_BUCKET))
+    ranges = max(1, math.ceil(words / WORDS_IN_BUCKET), math.ceil(cut.count() / ROWS_IN_BUCKET))
     cut = cut.withColumn("range", F.call_function("div", F.col("o"), F.lit(2**60 // ranges + 1)))
     sums = cut.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("m")).alias("n"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -187,6 +187,12 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_ranges_of_the_mix_do_not_change_it(docs, monkeypatch):
+    whole = Counter(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "ROWS_IN_BUCKET", 3)
+    assert Counter(map(tuple, mixing.mix(docs).collect())) == whole
+
+
 def test_training_order_follows_the_mix(docs):
     mixed = mixing.mix(docs)
     out = mixing.training_order(docs, mixed)
