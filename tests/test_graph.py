@@ -120,3 +120,14 @@ def test_louvain_two_cliques(spark):
     assert {r.stability for r in clusters.stability(runs).collect()} == {1.0}
     q = clusters.modularity(pairs, runs.filter("run = 0").select("gid", "community")).first()[0]
     assert q == pytest.approx(12 / 13 - 0.5)
+
+
+def test_blocks_of_betweenness_are_bounded_by_rows(spark, monkeypatch):
+    pairs = random_pairs(3)
+    nodes, edges = tables(spark, pairs)
+    n, sizes, whole = nodes.count(), [], graph._dependencies
+    monkeypatch.setattr(graph, "ROWS", 4 * n)
+    monkeypatch.setattr(graph, "_dependencies", lambda own, *rest: sizes.append(own.count()) or whole(own, *rest))
+    got = {r.gid: r.betweenness for r in graph.betweenness(nodes, edges, Scratch(spark)).collect()}
+    assert len(sizes) == -(-n // 4) and sum(sizes) == n
+    assert got == pytest.approx(brandes(sorted(got), pairs))
