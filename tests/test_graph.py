@@ -6,10 +6,11 @@ import itertools
 import random
 from collections import defaultdict, deque
 
+import pyarrow as pa
 import pytest
 
 from ledgerlens.functions.cuts import Scratch
-from ledgerlens.operators import clusters, graph
+from ledgerlens.operators import clusters, graph, packed
 
 
 def tables(spark, pairs, extra=()):
@@ -131,3 +132,40 @@ def test_blocks_of_betweenness_are_bounded_by_rows(spark, monkeypatch):
     got = {r.gid: r.betweenness for r in graph.betweenness(nodes, edges, Scratch(spark)).collect()}
     assert len(sizes) == -(-n // 4) and sum(sizes) == n
     assert got == pytest.approx(brandes(sorted(got), pairs))
+
+#: Ties, a loop, nodes out of reach, a hub with more neighbours than a slice, ids far apart.
+ODD = sorted({*random_pairs(11, 14, 34), *((20, x) for x in range(12)), *((x, 21) for x in range(3, 14)), (21, 20), (-7, 20), (3, 3), (1 << 60, 2)})
+
+
+@pytest.mark.parametrize("held", [1000, 0])
+def test_betweenness_in_tasks_and_by_rows(spark, monkeypatch, held):
+    by_rows, whole = [], graph._by_rows
+    monkeypatch.setattr(graph, "HELD", held)
+    monkeypatch.setattr(graph, "WORK", 400)
+    monkeypatch.setattr(graph, "_by_rows", lambda *a: by_rows.append(1) or whole(*a))
+    nodes, edges = tables(spark, ODD, extra=[40, 41])
+    got = {r.gid: r.betweenness for r in graph.betweenness(nodes, edges, Scratch(spark), sources=9).collect()}
+    assert got == pytest.approx(brandes(sorted(got), ODD))
+    assert bool(by_rows) == (not held)
+
+
+def test_betweenness_task_in_slices(monkeypatch):
+    for name, size in (("SIDE", 3), ("WIDE", 4), ("CHUNK", 5)):
+        monkeypatch.setattr(packed, name, size)
+    ids = sorted({x for p in ODD for x in p})
+    links = [p for p in ODD if p[0] != p[1]] + [(x, None) for x in [*ids, 99, 1 << 61]]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)], ["src", "dst"])
+    (found,) = packed.task(iter([batch(links[:20]), batch(links[20:])]))
+    got = dict.fromkeys(ids, 0.0) | dict(zip(found["gid"].to_pylist(), found["delta"].to_pylist(), strict=True))
+    n = len(ids)
+    assert got == pytest.approx({k: x * (n - 1) * (n - 2) for k, x in brandes(ids, ODD).items()})
+    assert [x["gid"].to_pylist() for x in packed.task(iter([batch([(4, None)])]))] == [[]]
+
+
+def test_betweenness_makes_no_tables_of_pairs(spark):
+    """A job a block, however many levels the shortest paths have: here 60."""
+    nodes, edges = tables(spark, [(k, k + 1) for k in range(60)])
+    scratch = Scratch(spark)
+    got = {r.gid: r.betweenness for r in graph.betweenness(nodes, edges, scratch).collect()}
+    assert got == pytest.approx({k: k * (60 - k) / (60 * 59) for k in range(61)})
+    assert scratch.count <= 3
