@@ -95,3 +95,12 @@ def test_self_pairs_and_no_pairs(spark):
     got = {r.gid: r.community for r in clusters.louvain(pairs, Scratch(spark)).collect()}
     assert got[2] == got[3] != got[1]
     assert clusters.louvain(pairs.limit(0), Scratch(spark)).count() == 0
+
+
+def test_sweeps_leave_no_tables(spark, tmp_path):
+    """What stays of a call is the result's table, whatever the number of sweeps."""
+    scratch = Scratch(spark)
+    scratch.root = f"file://{tmp_path}/scratch"
+    clusters.louvain(spark.createDataFrame(graph_of(4, n=40), "a long, b long, weight double"), scratch, runs=2)
+    left = [x.name for x in (tmp_path / "scratch").iterdir()]
+    assert left and not [x for x in left if x.split("-", 1)[1] in ("sweep", "adjacent", "settled")]
