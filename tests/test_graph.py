@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 from collections import defaultdict, deque
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -169,3 +171,51 @@ def test_betweenness_makes_no_tables_of_pairs(spark):
     got = {r.gid: r.betweenness for r in graph.betweenness(nodes, edges, scratch).collect()}
     assert got == pytest.approx({k: k * (60 - k) / (60 * 59) for k in range(61)})
     assert scratch.count <= 3
+
+
+def test_betweenness_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "WORK", 1)
+    monkeypatch.setattr(graph, "SOURCES", 2)
+    nodes, edges = tables(spark, ODD, extra=[40, 41])
+    got = {r.gid: r.betweenness for r in graph.betweenness(nodes, edges, Scratch(spark)).collect()}
+    assert got == pytest.approx(brandes(sorted(got), ODD))
+
+
+@pytest.mark.parametrize("n", [254, 255, 256, 600])
+def test_betweenness_task_with_long_paths(n):
+    """Hops of more than a byte, in a path and in a ring."""
+    for ring in (False, True):
+        links = [(k, k + 1) for k in range(n)] + [(n, 0)] * ring
+        rows = [*links, *((k, None) for k in range(n + 1))]
+        (found,) = packed.task(iter([pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)], ["src", "dst"])]))
+        got = dict(zip(found["gid"].to_pylist(), found["delta"].to_pylist(), strict=True))
+        assert got == ({k: n * (n - 1) / 2 for k in range(n + 1)} if ring else {k: k * (n - k) for k in range(1, n)})
+
+
+def random_links(n, m, sources):
+    """Batches of a task: random links of n nodes, and the first nodes as sources."""
+    rng = np.random.default_rng(1)
+    src, dst = rng.integers(0, n, (2, m))
+    whole = [pa.array(np.concatenate((src, np.arange(sources)))), pa.array(np.concatenate((dst, np.zeros(sources, np.int64))), mask=np.arange(m + sources) >= m)]
+    return [pa.RecordBatch.from_arrays(whole, ["src", "dst"])]
+
+
+def test_betweenness_task_in_copies(monkeypatch):
+    found = []
+    for links in (1, 1000, 7000, 1_000_000):
+        monkeypatch.setattr(packed, "TOGETHER", links)
+        found += [x.to_pydict() for x in packed.task(iter(random_links(300, 1000, 100)))]
+    assert all(x["gid"] == found[0]["gid"] and x["delta"] == pytest.approx(found[0]["delta"]) for x in found)
+
+
+def test_betweenness_task_takes_few_passes_over_the_links():
+    """Time as a multiple of adding up along all links once for each source: about 4; 14 and more where every level read the payers of all open nodes."""
+    n, m, sources = 9000, 42_000, 256
+    batches, to, total = random_links(n, m, sources), np.random.default_rng(2).integers(0, n, m), np.zeros(n)
+    took = []
+    for f in (lambda: [np.add.at(total, to, total[to] * 1e-3 + 1) for _ in range(sources)], lambda: list(packed.task(iter(batches)))):
+        f()
+        began = time.process_time()
+        f()
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0]
